@@ -1,6 +1,6 @@
 """WARC archives: written by tasks, read back sequentially.
 
-Writer: pages are dealt to archives by a hash, and each task writes one
+Writer: each task writes its partition's pages to one
 ``.warc.gz`` file in the shared folder, one gzip member per record. A file's name
 holds an id of the task attempt, and only files whose row reached the written
 manifest are read, so a task that was lost or ran twice leaves nothing behind that is
@@ -171,8 +171,8 @@ def mark_revisits(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
     return found.select("page_id", "url", "html", F.col("_sha").isNotNull().alias("revisit"), "refers_to")
 
 
-def write_warcs(marked: DataFrame, folder: str, n_archives: int) -> DataFrame:
-    """Writes the archives; returns the manifest (path, records, bytes), written."""
+def write_warcs(marked: DataFrame, folder: str) -> DataFrame:
+    """Writes an archive for each partition; returns the manifest (path, records, bytes), written."""
     date = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,12 +188,10 @@ def write_warcs(marked: DataFrame, folder: str, n_archives: int) -> DataFrame:
             out.close()
             yield pd.DataFrame({"path": [path], "records": [records], "bytes": [size]})
 
-    ids = marked.withColumns({"page_id": F.col("page_id"), "refers_to": F.col("refers_to")})
-    dealt = ids.repartition(n_archives, F.xxhash64("page_id", "url"))
-    return written(dealt.mapInPandas(run, MANIFEST), "manifest")
+    return written(marked.mapInPandas(run, MANIFEST), "manifest")
 
 
-def read_warcs(manifest: DataFrame, n_tasks: int, payloads: bool = True) -> DataFrame:
+def read_warcs(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per record of the archives named in ``manifest``.
 
     payload_bytes and payload_digest are of the payload found in the record; for a
@@ -236,12 +234,13 @@ def read_warcs(manifest: DataFrame, n_tasks: int, payloads: bool = True) -> Data
                 if rows:
                     yield frame(rows)
 
-    return manifest.select("path").repartition(n_tasks, "path").mapInPandas(run, RECORDS)
+    spread = F.count(F.lit(1)).alias("n")
+    n = max(1, min(10_000, manifest.agg(spread).first()["n"]))
+    return manifest.select("path").repartition(n, "path").mapInPandas(run, RECORDS)
 
 
-def warc_round_trip(pages: DataFrame, n_archives: int | None = None, min_revisit: int = 1000) -> DataFrame:
+def warc_round_trip(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
     """Writes ``pages`` as archives in the shared folder and reads them back."""
     spark = pages.sparkSession
-    n = n_archives or max(8, pages.rdd.getNumPartitions())
-    manifest = write_warcs(mark_revisits(pages, min_revisit), fresh_path(spark, "warc"), n)
-    return read_warcs(manifest, n)
+    manifest = write_warcs(mark_revisits(pages, min_revisit), fresh_path(spark, "warc"))
+    return read_warcs(manifest)

@@ -14,7 +14,7 @@ def test_round_trip(spark, tmp_path):
     rows = [(i, f"http://x/{i}", big, "c", "d") for i in (3, 9, 5)] + [(i, None, small, "c", "d") for i in (1, 2)]
     rows += [(20, "http://x/\r\ny", None, None, None), (None, "u", "b" * 1000, None, None), (21, "u", "b" * 1000, None, None), (30, "u", "<p>\r\n\r\nWARC/1.1</p>" * 9000, "", "")]
     rows += [(9, "http://x/9", big, "c", "d")]
-    got = warc.warc_round_trip(spark.createDataFrame(rows, SCHEMA), 3).collect()
+    got = warc.warc_round_trip(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == len(rows) and all(r.digest_ok for r in got)
     by = {r.page_id: r for r in got}
     assert [(by[i].record_type, by[i].refers_to) for i in (3, 5, 9, 1, 2)] == [("revisit", 9), ("revisit", 9), ("response", None), ("response", None), ("response", None)]
@@ -39,4 +39,4 @@ def test_one_member_per_record_and_broken_archives():
 
 
 def test_empty_table(spark):
-    assert warc.warc_round_trip(spark.createDataFrame([], SCHEMA), 2).count() == 0
+    assert warc.warc_round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
