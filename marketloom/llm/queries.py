@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, packing, warc
-from .common import Query, table
+from . import ann, chat, langid, packing, quality, toxicity, warc
+from .common import Query, crc32_mod, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,6 +64,27 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
+def held_out() -> Column:
+    return F.coalesce(crc32_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out()))
+    return langid.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.warc_round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
@@ -86,6 +107,9 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_one_bit_neighbours": op2_one_bit_neighbours,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
+    "op8_language": op8_language,
     "op10_warc": op10_warc,
 }
 
