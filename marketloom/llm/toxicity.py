@@ -6,9 +6,10 @@ sentences, 1 - prod(1 - p). Only document labels are needed to train it, by
 gradient descent on the noisy-or's likelihood; afterwards the sentence scores show
 where the offence is.
 
-It is trained on at most ``max_docs`` labelled documents, those with the smallest
-keyed hash of their id; tasks turn whole texts into hashed features first. Every
-whole text is then scored.
+It is trained on at most ``per_class`` toxic and twice as many other labelled documents,
+those with the smallest keyed hash of their id, the latter weighted up to their share of
+all labels; tasks turn whole texts into hashed features first. Every whole text is
+then scored.
 
 Defined results: a null or empty text has no sentence and scores 0; repeated rows
 score alike; a document with several labels counts as toxic if one says so; without
@@ -37,7 +38,7 @@ def word_features(word: str) -> tuple[int, ...]:
     """Hashes of a word and of its beginnings; none for a word without letters or digits."""
     word = word.strip(_EDGES).lower()
     mask = (1 << BITS) - 1
-    parts = (word, "4" + word[:4], "5" + word[:5], "6" + word[:6]) if len(word) > 3 else (word,)
+    parts = (word, "4" + word[:4], "5" + word[:5]) if len(word) > 3 else (word,)
     return tuple(zlib.crc32(p.encode()) & mask for p in parts) if word else ()
 
 
@@ -76,21 +77,23 @@ class Scorer:
 
 
 def _bags(sample: DataFrame) -> pd.DataFrame:
-    """Feature hashes of sampled documents: doc_id, toxic, features, lengths."""
+    """Feature hashes of sampled documents: doc_id, toxic, and as 32-bit integers the
+    features of all sentences and each sentence's number of features."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packed = lambda x: np.array(x, dtype="<i4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text, toxic in zip(batch["doc_id"], batch["text"], batch["toxic"], strict=True):
                 bags = [sorted({i for w in set(s.split()) for i in word_features(w)}) for s in SENTENCE.split(text or "")]
                 bags = [b for b in bags if b]
-                rows.append((doc_id, toxic, [i for b in bags for i in b], [len(b) for b in bags]))
+                rows.append((doc_id, toxic, packed([i for b in bags for i in b]), packed([len(b) for b in bags])))
             yield pd.DataFrame(rows, columns=["doc_id", "toxic", "features", "lengths"])
 
-    return sample.mapInPandas(run, "doc_id long, toxic int, features array<int>, lengths array<int>").toPandas()
+    return sample.mapInPandas(run, "doc_id long, toxic int, features binary, lengths binary").toPandas()
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, steps: int = 120, prior: float = 20.0, seed: int = 11) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, steps: int = 120, prior: float = 20.0, seed: int = 11) -> Model:
     """``labels``: (doc_id, toxic), already limited to rows that may be learned from.
 
     A word's weight begins at its smoothed log odds between toxic and other
@@ -98,34 +101,38 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, steps: int =
     ``prior``, so that rare words stay near 0. Weights are never negative: harmless
     words around an offence don't make up for it.
     """
-    few = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_docs)
-    )
-    bags = _bags(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic"))
-    bags = bags[bags["lengths"].map(len) > 0].sort_values("doc_id", kind="stable")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     weights = np.zeros(1 << BITS, dtype=np.float32)
-    if not len(bags) or bags["toxic"].nunique() < 2:
+    if len(totals) < 2:
         return Model(weights, -30.0)
-    features = np.concatenate([np.asarray(x, dtype=np.int64) for x in bags["features"]])
-    lengths = np.concatenate([np.asarray(x, dtype=np.int64) for x in bags["lengths"]])
-    per_doc = bags["lengths"].map(len).to_numpy()
+    first = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
+    few = first(1, per_class).unionByName(first(0, 2 * per_class))
+    bags = _bags(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic"))
+    bags = bags[bags["lengths"].map(len) > 0].sort_values(["doc_id", "lengths"], kind="stable")
     y = bags["toxic"].to_numpy(dtype=np.float64)
+    if len(set(y.tolist())) < 2:
+        return Model(weights, -30.0)
+    features = np.concatenate([np.frombuffer(x, "<i4") for x in bags["features"]])
+    per_doc = bags["lengths"].map(len).to_numpy() // 4
+    lengths = np.concatenate([np.frombuffer(x, "<i4") for x in bags["lengths"]])
+    del bags
     # features of one or two sentences tell nothing that holds elsewhere
-    common = np.bincount(features, minlength=1 << BITS) >= (3 if len(bags) > 1000 else 2)
-    index = np.full(1 << BITS, -1)
+    common = np.bincount(features, minlength=1 << BITS) >= (3 if len(y) > 1000 else 2)
+    index = np.full(1 << BITS, -1, dtype=np.int32)
     index[common] = np.arange(common.sum())
     size = int(common.sum())
-    sentence_of = np.repeat(np.arange(len(lengths)), lengths)
-    keep = index[features] >= 0
-    features, sentence_of = index[features[keep]], sentence_of[keep]
+    sentence_of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    features = index[features]
+    sentence_of, features = sentence_of[features >= 0], features[features >= 0]
     doc_of = np.repeat(np.arange(len(y)), per_doc)
-    seen = np.unique(np.stack([features, doc_of[sentence_of]]), axis=1)
-    held = [np.bincount(seen[0][y[seen[1]] == k], minlength=size) for k in (0, 1)]
+    seen = np.unique(features.astype(np.int64) * len(y) + doc_of[sentence_of])
+    held = [np.bincount((seen // len(y))[y[seen % len(y)] == k], minlength=size) for k in (0, 1)]
+    del seen
     share = y.mean()
     w = np.log((held[1] + prior * share) / share) - np.log((held[0] + prior * (1 - share)) / (1 - share))
     w = np.maximum(w - 1, 0)
+    clean = max(1.0, totals[0] / totals[1] * y.sum() / (len(y) - y.sum()))
     b, pace = -6.0, 0.5 / (np.bincount(features, minlength=size) + prior)
     mw, mb = np.zeros(size), 0.0
     for _ in range(steps):
@@ -133,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, steps: int =
         p = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
         log_clean = np.maximum(-np.bincount(doc_of, weights=np.logaddexp(0, logit), minlength=len(y)), -50.0)
         toxic = np.maximum(-np.expm1(log_clean), 1e-9)
-        grad = p * np.where(y == 1, -np.exp(log_clean) / toxic, 1.0)[doc_of]
+        grad = p * np.where(y == 1, -np.exp(log_clean) / toxic, clean)[doc_of]
         mw = 0.8 * mw - pace * (np.bincount(features, weights=grad[sentence_of], minlength=size) + 0.02 * w + 0.1)
         mb = 0.8 * mb - 0.5 * grad.sum() / (len(lengths) ** 0.5 + prior)
         w, b = np.maximum(w + mw, 0), b + min(max(mb, -0.5), 0.5)
