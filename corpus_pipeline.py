@@ -1,6 +1,81 @@
-STAGES = []
+"""The corpus pipeline: five operators one after another over ``documents``.
+
+Each stage takes what its predecessor kept, and its result is written before the
+next one reads it. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketloom.llm import jaccard, langid, linededup, packing, queries, toxicity
+from marketloom.llm.common import crc32_mod, table, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: A language is accepted when its mean probability over a text's bytes is at least this.
+LEAST_LANGUAGE_SCORE = 0.5
+#: A document is toxic from this score on.
+TOXIC_SCORE = 0.3
+
+
+def _learnable() -> Column:
+    return F.coalesce(crc32_mod(F.col("doc_id"), 4) != 2, F.lit(False))
+
+
+def _keep(docs: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among the accepted; rows that share an
+    id go only together. Rows with a null id are judged by no id and stay."""
+    narrow = accepted.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("rejected").alias("rejected")).where("rejected")
+    return docs.join(narrow, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(docs.where(_learnable()))
+    found = langid.predict(docs, model)
+    bad = (F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)
+    return _keep(docs, written(found.select("doc_id", bad.alias("rejected")), "language"))
+
+
+def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(_learnable()))
+    found = toxicity.score(docs, model)
+    return _keep(docs, written(found.select("doc_id", (F.col("score") >= TOXIC_SCORE).alias("rejected")), "toxicity"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(docs).select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps each near-duplicate group's document with the smallest id."""
+    found = jaccard.near_duplicates(docs, k=5, percent=80)
+    return _keep(docs, written(found.select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("rejected")), "groups"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(docs, queries.tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", by_language),
+    ("toxicity", by_toxicity),
+    ("line dedup", without_repeated_lines),
+    ("near duplicates", one_of_each_group),
+    ("packing", packed),
+]
+
+#: Models and tokenizers are not expressible in SQL; tests hold the stages against
+#: brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{k}")
+    return docs
