@@ -45,11 +45,11 @@ def e12_rank_lists(spark: SparkSession, d: str) -> DataFrame:
     return rank_lists(src.candles(spark, d)).select("date", "list_type", F.col("rank").cast("long").alias("rank"), "ticker", F.round("score", 6).alias("score"))
 
 
-@register(with_(BARS, LISTS, OUTCOMES) + """SELECT list_type, ticker, date, evaluated_days, round(entry_price, 6) AS entry_price, round(return_1d, 6) AS return_1d, round(return_5d, 6) AS return_5d,
+@register(with_(BARS, LISTS, OUTCOMES) + """SELECT list_type, ticker, date, evaluated_days, entry_price, round(return_1d, 6) AS return_1d, round(return_5d, 6) AS return_5d,
  round(return_10d, 6) AS return_10d, round(return_20d, 6) AS return_20d, round(max_runup, 6) AS max_runup, round(max_drawdown, 6) AS max_drawdown FROM outcomes""")
 def l8_forward_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    values = ["entry_price", "return_1d", "return_5d", "return_10d", "return_20d", "max_runup", "max_drawdown"]
-    return scored_lists(spark, d).select("list_type", "ticker", "date", "evaluated_days", *(F.round(v, 6).alias(v) for v in values))
+    values = ["return_1d", "return_5d", "return_10d", "return_20d", "max_runup", "max_drawdown"]
+    return scored_lists(spark, d).select("list_type", "ticker", "date", "evaluated_days", "entry_price", *(F.round(v, 6).alias(v) for v in values))
 
 
 @register(with_(BARS, LISTS, OUTCOMES) + """, q AS (SELECT CASE WHEN abs(return_1d) > 0.75 THEN 'one_day_return_exceeded' WHEN return_20d > 2.0 THEN 'twenty_day_return_high' WHEN return_20d < -0.7 THEN 'twenty_day_return_low' END AS reason FROM outcomes)
@@ -106,10 +106,10 @@ e AS (SELECT list_type, ticker, date, entry, stop, t2, d AS exit_date, c, CASE W
 x AS (SELECT *, CASE exit_type WHEN 'stop' THEN stop WHEN 'target_2' THEN t2 ELSE c END AS exit_price FROM e)"""
 
 
-@register(with_(BARS, LISTS) + _TRADES + "SELECT list_type, ticker, date, exit_type, t1_hit, exit_date, round(exit_price, 6) AS exit_price, round((exit_price - entry) / (entry - stop), 6) AS actual_rr FROM x")
+@register(with_(BARS, LISTS) + _TRADES + "SELECT list_type, ticker, date, exit_type, t1_hit, exit_date, exit_price, round((exit_price - entry) / (entry - stop), 6) AS actual_rr FROM x")
 def l5_exit_replay(spark: SparkSession, d: str) -> DataFrame:
     x = exits(src.candles(spark, d))
-    return x.select("list_type", "ticker", "date", "exit_type", "t1_hit", "exit_date", F.round("exit_price", 6).alias("exit_price"), F.round("actual_rr", 6).alias("actual_rr"))
+    return x.select("list_type", "ticker", "date", "exit_type", "t1_hit", "exit_date", "exit_price", F.round("actual_rr", 6).alias("actual_rr"))
 
 
 def exits(bars: DataFrame) -> DataFrame:
