@@ -111,11 +111,11 @@ def e13_swing_points(spark: SparkSession, d: str) -> DataFrame:
     return ind.swings(src.candles(spark, d)).select("ticker", "date", "swing_high", "swing_low")
 
 
-@register(with_(BARS) + """, v AS (SELECT date, close, lag(close) OVER (ORDER BY date) AS p FROM spy) SELECT date, round((close - p) / p * 100, 6) AS change_pct FROM v WHERE p IS NOT NULL""")
+@register(with_(BARS) + """, v AS (SELECT date, close, lag(close) OVER (ORDER BY date) AS p FROM spy) SELECT date, (close - p) / p * 100 AS change_pct FROM v WHERE p IS NOT NULL""")
 def e10_rate_of_change(spark: SparkSession, d: str) -> DataFrame:
     b = src.benchmark(spark, d).withColumn("ticker", F.lit("SPY"))
     p = F.lag("close").over(src.over())
-    return b.withColumn("p", p).where("p is not null").select("date", F.round((F.col("close") - F.col("p")) / F.col("p") * 100, 6).alias("change_pct"))
+    return b.withColumn("p", p).where("p is not null").select("date", ((F.col("close") - F.col("p")) / F.col("p") * 100).alias("change_pct"))
 
 
 @register(with_(BARS) + """, v AS (SELECT date, close, lag(close, 5) OVER w AS c5, lag(close, 10) OVER w AS c10, lag(close, 20) OVER w AS c20 FROM spy WINDOW w AS (ORDER BY date))

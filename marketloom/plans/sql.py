@@ -12,7 +12,7 @@ bars AS (
   SELECT 'T' || CAST(s_suppkey AS VARCHAR) AS ticker, n_name AS sector, r_name AS exchange
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 ), spy AS (
-  SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 4) AS close, count(*) AS volume FROM orders GROUP BY 1
+  SELECT CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS close, count(*) AS volume FROM orders GROUP BY 1
 ), sectors AS (
   SELECT n_name AS ticker, date, arg_min(p, k) AS open, max(p) AS high, min(p) AS low, arg_max(p, k) AS close, CAST(sum(q) AS BIGINT) AS volume
   FROM bars JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name, date

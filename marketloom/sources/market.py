@@ -44,9 +44,9 @@ def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index series: mean order value a day (to four places), number of orders as volume."""
+    """The index series: mean order value a day, summed exactly in cents; number of orders as volume."""
     o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.avg("o_totalprice"), 4).alias("close"), F.count(F.lit(1)).alias("volume"))
+    return o.groupBy(F.to_date("o_orderdate").alias("date")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / F.count(F.lit(1)) / 100).alias("close"), F.count(F.lit(1)).alias("volume"))
 
 
 def sector_series(spark: SparkSession, sf_dir: str) -> DataFrame:
