@@ -181,12 +181,12 @@ def _search(model_of, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, lists: int | None = None, probed: float = 0.5, block: int = 4096, query_block: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, lists: int | None = None, probed: float = 1.0, block: int = 4096, query_block: int = 1024) -> DataFrame:
     """The k nearest by cosine of every query row among all other rows:
     query_id, rank, vec_id, score.
 
     ``lists`` defaults to a number that grows with the square root of the rows;
-    each query looks into the share ``probed`` of them. A list's rows are dealt to as
+    each query looks into the share ``probed`` of them, all by default. A list's rows are dealt to as
     many parts as keep the largest possible list at about ``lists`` blocks a part.
     """
     spark = vectors.sparkSession
