@@ -232,7 +232,7 @@ def h13_stress_windows(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").select("o_orderkey", date.alias("date"), F.explode(names).alias("name"))
 
 
-@register("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1.15 WHEN '2-HIGH' THEN 1.05 WHEN '4-NOT SPECIFIED' THEN 0.85 WHEN '5-LOW' THEN 0.7 ELSE 1.0 END AS mult, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'risk_on' WHEN o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') THEN 'risk_off' ELSE 'unknown' END AS segment FROM orders""")
+@register("""SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 1.15 WHEN '2-HIGH' THEN 1.05 WHEN '4-NOT SPECIFIED' THEN 0.85 WHEN '5-LOW' THEN 0.7 ELSE 1.0 END AS DOUBLE) AS mult, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'risk_on' WHEN o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') THEN 'risk_off' ELSE 'unknown' END AS segment FROM orders""")
 def h6_h12_multipliers(spark: SparkSession, d: str) -> DataFrame:
     label = fn.lookup(F.col("o_orderpriority"), {"1-URGENT": "strong_bull", "2-HIGH": "bull", "3-MEDIUM": "neutral", "4-NOT SPECIFIED": "correction", "5-LOW": "bear"}, None)
     return t(spark, d, "orders").select("o_orderkey", fn.regime_multiplier(label).alias("mult"), fn.regime_segment(label).alias("segment"))

@@ -183,7 +183,7 @@ def l19_rendered_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("date", F.concat(F.lit("| Rank | Ticker | Score |\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("body"))
 
 
-@register("SELECT event_id, CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 0.75 WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.25 ELSE 0.0 END AS code FROM events")
+@register("SELECT event_id, CAST(CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 0.75 WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.25 ELSE 0.0 END AS DOUBLE) AS code FROM events")
 def l22_ordinal_encoding(spark: SparkSession, d: str) -> DataFrame:
     code = fn.lookup(F.col("event_type"), {"purchase": 1.0, "signup": 0.75, "click": 0.5, "view": 0.25}, 0.0)
     return src.table(spark, d, "events").select("event_id", code.alias("code"))
