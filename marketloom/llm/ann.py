@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import sampled, written
 
 #: Widths of the error bound, in its standard deviations.
 EPSILON = 1.9
@@ -62,9 +62,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> Model | None:
-    """Centroids from the ``sample`` vectors with the smallest keyed hash of their id."""
-    rows = vectors.select("embedding").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).toPandas()
+def fit(vectors: DataFrame, lists: int, total: int, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> Model | None:
+    """Centroids from the ``sample`` of ``total`` vectors with the smallest keyed hash of their id."""
+    rows = sampled(vectors.select("vec_id", "embedding"), sample, total, seed, "vec_id").select("embedding").toPandas()
     if rows.empty:
         return None
     dim = len(rows["embedding"][0])
@@ -193,7 +193,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, lists: int | None
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     n, asked_n = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     lists = lists or int(min(1024, max(8, n**0.5 / 3.5)))
-    model = fit(rows, lists)
+    model = fit(rows, lists, n)
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = len(model.centroids)

@@ -14,12 +14,12 @@ other than doc_id, text and lang are ignored, and lang serves training only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -125,8 +125,12 @@ def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_windows(docs: DataFrame, per_lang: int, windows: int, seed: int) -> pd.DataFrame:
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    w = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)), "doc_id")
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    # a cut on the hash leaves about four times as many of each language for the ordering
+    totals = ids.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    near = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) <= F.least(F.lit(1.0), F.lit(4.0 * per_lang + 100) / F.col("_n")) * (1 << 30)
+    ids = ids.join(totals, F.col("lang") == F.col("_l")).where(near)
     few = ids.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_lang).select("doc_id", F.col("lang").alias("label")).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,9 +176,12 @@ def train(docs: DataFrame, per_lang: int = 400, windows: int = 10, steps: int =
     return model
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred and score of every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def verdicts(spark: SparkSession, model: Model | None) -> Callable[[Column], Column]:
+    """A function of a text column that gives structs (lang_pred, score).
+
+    Only the text goes to Python, so a filter on the verdict moves no other column.
+    """
+    shared = spark.sparkContext.broadcast(model)
 
     def judged(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
         data = [t.encode() if t and any(map(str.isalpha, t)) else b"" for t in texts]
@@ -198,12 +205,19 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             (model.langs[k], float(row[k] / max(row.sum(), 1e-12))) if len(d) else ("und", 0.0) for d, k, row in zip(data, best, pooled, strict=True)
         ]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
+            found: list[tuple[str, float]] = []
             for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                found = judged(model, list(part["text"])) if model else [("und", 0.0)] * len(part)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
+                part = list(batch.iloc[at : at + 256])
+                found += judged(model, part) if model else [("und", 0.0)] * len(part)
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()
+
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang_pred and score of every row of ``docs``."""
+    verdict = verdicts(docs.sparkSession, model)
+    return docs.select("doc_id", verdict(F.col("text")).alias("v")).select("doc_id", "v.lang_pred", "v.score")

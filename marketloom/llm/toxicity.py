@@ -20,14 +20,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 BITS = 20
 SENTENCE = re.compile(r"[.?!\n]+")
 _EDGES = "\"'()[]{}<>,;:*#$%&|=-_/\\"
@@ -106,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, steps: int
     weights = np.zeros(1 << BITS, dtype=np.float32)
     if len(totals) < 2:
         return Model(weights, -30.0)
-    first = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
+    first = lambda y, n: sampled(known.where(F.col("toxic") == y), n, totals[y], seed, "doc_id")
     few = first(1, per_class).unionByName(first(0, 2 * per_class))
     bags = _bags(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic"))
     bags = bags[bags["lengths"].map(len) > 0].sort_values(["doc_id", "lengths"], kind="stable")
@@ -148,16 +150,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, steps: int
     return Model(weights, float(b))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scores(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A function of a text column that gives scores; only the text goes to Python."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": [scorer.document(t or "") for t in batch["text"]]})
+            yield pd.Series([scorer.document(t or "") for t in batch], dtype="float64")
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return F.pandas_udf(run, "double").asNondeterministic()
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of every row of ``docs``."""
+    return docs.select("doc_id", scores(docs.sparkSession, model)(F.col("text")).alias("score"))
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
