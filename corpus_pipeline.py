@@ -24,25 +24,18 @@ def _learnable() -> Column:
     return F.coalesce(crc32_mod(F.col("doc_id"), 4) != 2, F.lit(False))
 
 
-def _keep(docs: DataFrame, accepted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among the accepted; rows that share an
-    id go only together. Rows with a null id are judged by no id and stay."""
-    narrow = accepted.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("rejected").alias("rejected")).where("rejected")
-    return docs.join(narrow, "doc_id", "left_anti").select(*COLUMNS)
-
-
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.train(docs.where(_learnable()))
-    found = langid.predict(docs, model)
-    bad = (F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)
-    return _keep(docs, written(found.select("doc_id", bad.alias("rejected")), "language"))
+    """Keeps rows whose language is known well enough; nothing is shuffled."""
+    verdict = langid.verdicts(spark, langid.train(docs.where(_learnable())))
+    known = (F.col("_v.lang_pred") != "und") & (F.col("_v.score") >= LEAST_LANGUAGE_SCORE)
+    return docs.withColumn("_v", verdict(F.col("text"))).where(known).select(*COLUMNS)
 
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps rows that score under the threshold; nothing is shuffled."""
     labels = table(spark, sf_dir, "labels")
-    model = toxicity.train(docs, labels.where(_learnable()))
-    found = toxicity.score(docs, model)
-    return _keep(docs, written(found.select("doc_id", (F.col("score") >= TOXIC_SCORE).alias("rejected")), "toxicity"))
+    score = toxicity.scores(spark, toxicity.train(docs, labels.where(_learnable())))
+    return docs.withColumn("_s", score(F.col("text"))).where(F.col("_s") < TOXIC_SCORE).select(*COLUMNS)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +43,13 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps each near-duplicate group's document with the smallest id."""
-    found = jaccard.near_duplicates(docs, k=5, percent=80)
-    return _keep(docs, written(found.select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("rejected")), "groups"))
+    """Keeps each near-duplicate group's document with the smallest id.
+
+    Rows that share an id go only together; rows with a null id, which no id tells apart, stay.
+    """
+    found = jaccard.near_duplicates(docs, k=5, percent=80).where(F.col("doc_id").isNotNull())
+    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("node"))
+    return jaccard.without(docs.withColumn("node", F.col("doc_id")), written(gone, "near-duplicates")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
