@@ -42,7 +42,7 @@ PIECES = T.StructType(
 PLACED = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
 #: Python's word cache: words held at most in each worker process.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 600_000
 _caches: dict[str, "WordCache"] = {}
 
 

@@ -33,7 +33,7 @@ from .common import sampled
 BITS = 20
 SENTENCE = re.compile(r"[.?!\n]+")
 _EDGES = "\"'()[]{}<>,;:*#$%&|=-_/\\"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
