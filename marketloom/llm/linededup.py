@@ -2,13 +2,13 @@
 
 Everything here is built from DataFrame functions.
 
-A text's lines are hashed; a rolling (cyclic) hash over the last ``WINDOW_LINES``
-line hashes ends a chunk where it is smaller than at both neighbouring lines, so
-boundaries follow the content, come back in step after insertions, and never follow
-each other: chunks have three lines on average and, but for a text's last line, two at
-least. Chunks of two lines or more that hold something but white space are counted by (64-bit hash, length). Only chunks counted
-twice or more are looked at again: their bytes are compared within each hash group, and
-all but the first occurrence (smallest id, then text hash, then line) are removed.
+Every run of ``WINDOW_LINES`` lines that holds something but white space is a chunk; chunks
+overlap, so no boundary has to be found and a passage's chunks are the same wherever it
+stands. They are counted by (64-bit hash, length). Only chunks counted twice or more are
+looked at again: their bytes are compared within each hash group, and the lines of all but the
+first occurrence (smallest id, then text hash, then line) are removed. A passage of two
+lines or more that occurred before is covered by such chunks from its first line to its last.
+A removed line's text stays where it occurred first.
 
 Plan: a narrow pass counts hashes; one shuffle of the documents brings each its list of
 repeated chunks; the repeated chunks' bytes are compared by a map-side-combined minimum and
@@ -37,38 +37,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _rolled(hashes: Column, i: Column) -> Column:
-    """The cyclic hash of line i and the WINDOW_LINES - 1 lines before it."""
-    out = hashes[i]
-    for back in range(1, WINDOW_LINES):
-        h = F.get(hashes, i - back)
-        turned = F.shiftleft(h, back).bitwiseOR(F.shiftrightunsigned(h, 64 - back))
-        out = out.bitwiseXOR(F.when(i >= back, turned).otherwise(F.lit(0).cast("long")))
-    return out
-
-
 def _chunks(lines: Column) -> Column:
-    """Structs (first, n, hash, length) of the multi-line chunks of an array of lines."""
-
-    def of(lines: Column, rolled: Column) -> Column:
-        n = F.size(lines)
-        cut = lambda i: (i == n - 1) | ((i > 0) & (rolled[i] < F.get(rolled, i - 1)) & (rolled[i] < F.get(rolled, i + 1)))
-        ends = F.filter(F.sequence(F.lit(0), n - 1), cut)
-        spans = let(
-            ends,
-            lambda e: F.transform(
-                e, lambda end, k: let(F.when(k == 0, F.lit(0)).otherwise(F.get(e, k - 1) + 1), lambda first: F.struct(first.alias("first"), (end - first + 1).alias("n")))
-            ),
-        )
-        many = F.filter(spans, lambda s: s["n"] >= 2)
+    """Structs (first, n, hash, length) of the runs of WINDOW_LINES lines of an array of lines."""
+
+    def of(lines: Column) -> Column:
+        last = F.size(lines) - WINDOW_LINES
+        firsts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: i <= last)
+        spans = F.transform(firsts, lambda i: F.struct(i.alias("first"), F.lit(WINDOW_LINES).alias("n")))
         full = F.transform(
-            many,
+            spans,
             lambda s: let(body_of(lines, s), lambda b: F.struct(s["first"].alias("first"), s["n"].alias("n"), F.xxhash64(b).alias("hash"), F.octet_length(b).alias("length"), F.rlike(b, F.lit(r"\S")).alias("some"))),
         )
         return F.transform(F.filter(full, lambda c: c["some"]), lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), c["hash"].alias("hash"), c["length"].alias("length")))
 
-    hashed = let(F.transform(lines, lambda line: F.xxhash64(line)), lambda h: F.transform(h, lambda _, i: _rolled(h, i)))
-    return let(F.struct(lines.alias("l"), hashed.alias("r")), lambda x: of(x["l"], x["r"]))
+    return let(lines, of)
 
 
 def body_of(lines: Column, span: Column) -> Column:
@@ -86,12 +68,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return chunks.join(again, ["hash", "length"]).groupBy("doc_id", "_th").agg(F.collect_list(F.struct("first", "n", "hash", "length")).alias("_found"))
 
 
+def _covered(gone: Column) -> Column:
+    """The lines of the spans ``gone`` (first, n), once each."""
+    return F.array_distinct(F.flatten(F.transform(gone, lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1))))
+
+
 def _cut(text: Column, gone: Column) -> Column:
     """``text`` without the lines of the spans ``gone`` (first, n)."""
 
     def of(lines: Column) -> Column:
-        out = F.flatten(F.transform(gone, lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out)
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), _covered(gone))
         return F.array_join(F.transform(kept, lambda i: lines[i]), "\n")
 
     return let(split_lines(text), of)
@@ -119,7 +105,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     joined = cut.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_th2")), "left")
     text = F.when(F.col("_gone").isNotNull(), _cut(F.col("text"), F.col("_gone"))).otherwise(F.col("text"))
-    n_gone = F.coalesce(F.aggregate("_gone", F.lit(0).cast("long"), lambda n, s: n + s["n"]), F.lit(0).cast("long"))
+    n_gone = F.when(F.col("_gone").isNotNull(), F.size(_covered(F.col("_gone")))).otherwise(0).cast("long")
     changed = joined.withColumns({"text": text, "removed_lines": n_gone}).select(*columns, "removed_lines")
     same = met.where(F.col("_found").isNull()).select(*columns, F.lit(0).cast("long").alias("removed_lines"))
     out = same.unionByName(changed)

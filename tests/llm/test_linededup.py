@@ -53,3 +53,18 @@ def test_clean_documents_stay_and_order_of_columns(spark):
     assert {r.text for r in got} == {"a b\nc d\ne f", "a b\nx y\ne f"}
     assert linededup.dedup_lines(frame).columns == [*frame.columns, "removed_lines"]
     assert run(spark, [])[1] == []
+
+
+def test_short_passages_go_whole(spark):
+    rng = random.Random(12)
+    line = lambda: " ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(10**6)) for _ in range(8))
+    rows, own = [], {}
+    for k in range(80):
+        passage = [line() for _ in range(2 + k % 6)]
+        for i in (2 * k, 2 * k + 1):
+            before, after = [line() for _ in range(rng.randrange(4))], [line() for _ in range(1, 4)]
+            own[i] = "\n".join(before + (passage if i % 2 == 0 else []) + after)
+            rows.append((i, "\n".join(before + passage + after), "s"))
+    _, got = run(spark, rows)
+    assert {r.doc_id: r.text for r in got} == own
+    assert all(r.removed_lines == (2 + r.doc_id // 2 % 6 if r.doc_id % 2 else 0) for r in got)
