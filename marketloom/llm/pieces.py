@@ -5,12 +5,13 @@ encoding is done here. A text gets the model's leading space and is cut into uni
 run of spaces with what follows up to the next space or line end, because no piece of
 such a model spans more. Each unit begins as characters; an agenda holds the
 neighbouring pairs whose union is a piece, best score first, leftmost on ties, and the
-best is merged until none is left. With merge-dropout a candidate that comes off the
-agenda is skipped when a hash keyed by seed, variant, unit and the candidate's place falls
-under the rate, so that a seed fixes the segmentation, and other seeds vary it.
+best is merged until none is left. With merge-dropout each candidate that comes off the
+agenda is skipped when a hash keyed by seed, document id, the unit's place in the text and the
+candidate's number falls under the rate, so that a seed fixes the segmentation, other
+seeds vary it, and so does each occurrence of a unit.
 
-Each document takes one of ``variants`` keys by a hash of its id and the seed; so
-a word has at most that many segmentations under one seed, and they can be kept.
+What is kept by unit does not depend on those keys: the segmentation for each set of skipped
+candidates, reached from one skip to the next, beginning with none.
 Characters without a piece, and the character U+2581 itself, become byte pieces: decoding
 gives every text back exactly.
 
@@ -20,27 +21,42 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-CACHE_UNITS = 1_000_000
+#: Segmentations that are kept, at most.
+CACHE_UNITS = 500_000
+#: Candidates of a unit that are drawn at once, and units.
+DRAWN, BATCH = 32, 4096
 NORMAL = 1
 #: Units of up to so many characters are merged in a list, longer ones with a heap.
 SHORT, NEVER = 40, 1 << 40
 
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
 _loaded: dict[tuple, "PieceCoder"] = {}
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _B
+    x = (x ^ (x >> np.uint64(27))) * _C
+    return x ^ (x >> np.uint64(31))
+
+
 class PieceCoder:
-    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, variants: int = 2):
+    """With a number of ``variants``, documents share so many keys; without, each has its own."""
+
+    def __init__(self, path: str, rate: float = 0.1, seed: int = 0, variants: int | None = None):
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -56,40 +72,48 @@ class PieceCoder:
         for b, i in enumerate(self.byte_ids):
             self.plain[i] = bytes([b])
         self.limit, self.seed, self.variants = int(rate * 2**32), seed, variants
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        #: by unit: [its candidates that may still be skipped, ids (none if there are more than DRAWN), nodes by the next one skipped]
+        self.kept: dict[str, list] = {}
+        self.nodes = 0
 
     def variant(self, doc_id: int | None) -> int:
+        if self.variants is None:
+            return int.from_bytes(hashlib.blake2b(str(doc_id).encode(), digest_size=8).digest(), "little")
         return zlib.crc32(f"{self.seed}:{doc_id}".encode()) % self.variants
 
-    def _skipped(self, key: int, rank: int, i: int, j: int) -> bool:
-        """Whether the candidate of this rank, with parts from characters i and j, is skipped."""
-        mixed = (key ^ (i * 0x9E3779B1) ^ (j * 0x85EBCA77) ^ (rank * 0xC2B2AE3D)) * 0x27D4EB2F
-        return (mixed >> 7) & 0xFFFFFFFF < self.limit
-
-    def _merged_short(self, parts: list[str], key: int) -> list[str]:
-        """For short units the agenda is a list of ranks beside the parts."""
-        rank_of, limit = self.rank_of.get, self.limit
+    def _skips(self, variant: int, first: int, units: int, candidates: int) -> np.ndarray:
+        """A row for each of the units from place ``first`` on: whether its candidates are skipped."""
+        if not self.limit:
+            return np.zeros((units, candidates), bool)
+        key = int.from_bytes(hashlib.blake2b(b"%d:%d" % (self.seed, variant), digest_size=8).digest(), "little")
+        unit = _mixed(np.arange(first + 1, first + 1 + units, dtype=np.uint64) * _A ^ np.uint64(key))
+        step = np.arange(1, candidates // 2 + 1, dtype=np.uint64) * _A
+        return _mixed(unit[:, None] + step[None, :]).view(np.uint32) <= np.uint32(self.limit - 1)
+
+    def _merged_short(self, parts: list[str], skipped: set[int]) -> tuple[list[str], int]:
+        """The parts and the number of candidates. For short units the agenda is a list of ranks beside the parts."""
+        rank_of, n = self.rank_of.get, -1
         agenda = [rank_of(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
-        at = list(range(len(parts)))
         while agenda:
             rank = min(agenda)
             if rank == NEVER:
                 break
             i = agenda.index(rank)
-            if limit and self._skipped(key, rank, at[i], at[i + 1]):
+            n += 1
+            if n in skipped:
                 agenda[i] = NEVER
                 continue
             parts[i] += parts[i + 1]
-            del parts[i + 1], at[i + 1], agenda[i]
+            del parts[i + 1], agenda[i]
             if i:
                 agenda[i - 1] = rank_of(parts[i - 1] + parts[i], NEVER)
             if i < len(agenda):
                 agenda[i] = rank_of(parts[i] + parts[i + 1], NEVER)
-        return parts
+        return parts, n + 1
 
-    def _merged_long(self, parts: list[str], key: int) -> list[str]:
+    def _merged_long(self, parts: list[str], skipped: set[int]) -> tuple[list[str], int]:
         """The same with a heap and linked neighbours."""
-        rank_of, n = self.rank_of.get, len(parts)
+        rank_of, n, candidate = self.rank_of.get, len(parts), -1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[int, int, str, str]] = []
 
@@ -103,7 +127,8 @@ class PieceCoder:
             rank, i, left, right = heapq.heappop(agenda)
             if parts[i] != left or (j := after[i]) >= n or parts[j] != right:
                 continue
-            if self.limit and self._skipped(key, rank, i, j):
+            candidate += 1
+            if candidate in skipped:
                 continue
             parts[i], parts[j] = left + right, ""
             k = after[i] = after[j]
@@ -112,34 +137,63 @@ class PieceCoder:
                 add(i, k)
             if before[i] >= 0:
                 add(before[i], i)
-        return [p for p in parts if p]
+        return [p for p in parts if p], candidate + 1
 
-    def unit(self, text: str, variant: int) -> bytes:
-        """The ids of one unit, as unsigned 32-bit integers."""
-        key = zlib.crc32(text.encode(), zlib.crc32(b"%d:%d" % (self.seed, variant))) if self.limit else 0
+    def _segmented(self, text: str, skipped: set[int]) -> tuple[int, bytes]:
+        """The number of candidates of one unit, and its ids as unsigned 32-bit integers."""
         if SPACE in text:  # the character itself has no piece
             parts = ["\0" + c if c == SPACE else SPACE if c == " " else c for c in text]
         else:
             parts = list(text.replace(" ", SPACE))
         out = array("I")
-        for part in self._merged_short(parts, key) if len(parts) <= SHORT else self._merged_long(parts, key):
+        parts, n = self._merged_short(parts, skipped) if len(parts) <= SHORT else self._merged_long(parts, skipped)
+        for part in parts:
             rank = self.rank_of.get(part)
             if rank is not None:
                 out.append(self.id_of[rank])
             else:
                 out.extend(self.byte_ids[b] for b in part[-1:].encode())
-        return out.tobytes()
+        return n, out.tobytes()
+
+    def unit(self, text: str, variant: int, at: int = 0) -> bytes:
+        """The ids of the unit at this place; each merge makes two candidates at most."""
+        most = -(-max(3 * len(text), DRAWN) // 2) * 2
+        return self._segmented(text, set(np.flatnonzero(self._skips(variant, at, 1, most)[0]).tolist()))[1]
+
+    def _node(self, text: str, skipped: int) -> list:
+        n, data = self._segmented(text, {k for k in range(DRAWN) if skipped >> k & 1})
+        return [((1 << n) - 1) >> skipped.bit_length() << skipped.bit_length(), data if n <= DRAWN else None, None]
+
+    def _found(self, text: str, mask: int) -> bytes | None:
+        """The ids of a unit whose candidates in ``mask`` are skipped; none if it has more than are drawn."""
+        node = self.kept.get(text)
+        if node is None:
+            node = self._node(text, 0)
+            if self.nodes < CACHE_UNITS and len(text) < 64:
+                self.kept[text], self.nodes = node, self.nodes + 1
+        skipped = 0
+        while node[1] is not None and (hit := mask & node[0]):
+            low = hit & -hit
+            skipped |= low
+            after = node[2].get(low) if node[2] else None
+            if after is None:
+                after = self._node(text, skipped)
+                if self.nodes < CACHE_UNITS and len(text) < 64:
+                    if node[2] is None:
+                        node[2] = {}
+                    node[2][low], self.nodes = after, self.nodes + 1
+            node = after
+        return node[1]
 
     def encode(self, text: str, variant: int = 0) -> array:
-        units, kept = UNIT.findall(" " + text) if text else [], self.kept[variant]
-        parts = list(map(kept.get, units))
-        if None in parts:
-            for k, part in enumerate(parts):
-                if part is None:
-                    unit = units[k]
-                    parts[k] = data = kept.get(unit) or self.unit(unit, variant)
-                    if len(kept) < CACHE_UNITS // self.variants and len(unit) < 64:
-                        kept[unit] = data
+        units, kept, parts = UNIT.findall(" " + text) if text else [], self.kept.get, []
+        for first in range(0, len(units), BATCH):
+            some = units[first : first + BATCH]
+            masks = np.packbits(self._skips(variant, first, len(some), DRAWN), axis=1, bitorder="little").view("<u4").ravel().tolist()
+            for at, (unit, mask) in enumerate(zip(some, masks, strict=True), first):
+                node = kept(unit)
+                data = self._found(unit, mask) if node is None or node[1] is None or mask & node[0] else node[1]
+                parts.append(self.unit(unit, variant, at) if data is None else data)
         out = array("I")
         out.frombytes(b"".join(parts))
         return out
@@ -155,7 +209,7 @@ def coder(*key) -> PieceCoder:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0, variants: int = 2) -> DataFrame:
+def encode(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0, variants: int | None = None) -> DataFrame:
     """doc_id and ids (array<int>) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,10 +235,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0, variants: int = 2) -> DataFrame:
+def digests(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0, variants: int | None = None) -> DataFrame:
     """Encodes and decodes every row in one pass: doc_id, n_tokens, ids_crc32 (little-endian
     32-bit ids), decoded_chars, decoded_sha256 and lossless (decoded as it was)."""
-    import hashlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = coder(path, rate, seed, variants)

@@ -56,3 +56,20 @@ def test_jobs(spark):
     assert len(got) == len(rows) and all(r.lossless for r in got)
     assert {r.doc_id: r.n_tokens for r in got}[50] == 0
     assert pieces.encode(spark.createDataFrame([], DOCS), PATH).count() == 0
+
+
+def test_each_occurrence_has_its_own_dropout():
+    coder, rng = pieces.PieceCoder(PATH, 0.1, 3), random.Random(9)
+    cuts = lambda text, doc: tuple(coder.encode(text, coder.variant(doc)))
+    assert len({cuts("internationalisation", doc) for doc in range(300)}) > 10
+    once = pieces.PieceCoder(PATH, 0.0)
+    pair = next(w for w in ("is", "in", "to") if len(once.encode("\n" + w)) == 3)
+    n = 20_000
+    whole = sum(len(coder.unit(pair, 5, at)) == 4 for at in range(n))
+    assert abs(whole / n - 0.9) < 0.01
+    units = pieces.UNIT.findall(" " + "internationalisation of the thing " * 400)
+    assert len({coder.unit(u, 7, at) for at, u in enumerate(units) if "national" in u}) > 10
+    # what is kept gives what a unit alone gives
+    for text in [*TEXTS, "internationalisation of the thing " * 400, *[random_text(rng) for _ in range(100)]]:
+        units = pieces.UNIT.findall(" " + text) if text else []
+        assert coder.encode(text, 7).tobytes() == b"".join(coder.unit(u, 7, at) for at, u in enumerate(units))
