@@ -263,6 +263,28 @@ def c5_theta_days_between(spark: SparkSession, d: str) -> DataFrame:
     return older.join(o.withColumnRenamed("date", "newer"), ["ticker", "n"]).select("ticker", "older", "newer", (F.col("n") - F.col("m")).cast("long").alias("sessions"))
 
 
+@register(with_(BARS) + """, x AS (SELECT t.ticker, s.date, s.close FROM (SELECT DISTINCT ticker FROM candles) t CROSS JOIN spy s)
+SELECT x.ticker, x.date, x.close, c.date AS as_of, c.close AS bar_close FROM x ASOF LEFT JOIN candles c ON x.ticker = c.ticker AND x.date >= c.date""")
+def c7_asof_join_all(spark: SparkSession, d: str) -> DataFrame:
+    """Newest bar of every ticker at or before each index date, a window partition a ticker."""
+    bar = src.candles(spark, d)
+    both = bar.select("ticker").distinct().crossJoin(src.benchmark(spark, d).select("date", "close")).withColumn("bar", F.lit(None).cast("struct<as_of:date,bar_close:double>")).unionByName(
+        bar.select("ticker", "date", F.lit(None).cast("double").alias("close"), F.struct(F.col("date").alias("as_of"), F.col("close").alias("bar_close")).alias("bar"))
+    )
+    w = src.over("date", F.col("bar").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("last", F.last("bar", ignorenulls=True).over(w)).where(F.col("bar").isNull())
+    return found.select("ticker", "date", "close", F.col("last.as_of").alias("as_of"), F.col("last.bar_close").alias("bar_close"))
+
+
+@register(with_(BARS) + """, o AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM candles), k AS (SELECT unnest([1, 2, 3]) AS k)
+SELECT a.ticker, a.date AS older, b.date AS newer, CAST(k.k AS BIGINT) AS sessions FROM o a CROSS JOIN k JOIN o b ON a.ticker = b.ticker AND b.n = a.n + k.k""")
+def c5_theta_days_between_all(spark: SparkSession, d: str) -> DataFrame:
+    """Older and newer bars of a ticker within three sessions, over all bars."""
+    o = src.candles(spark, d).select("ticker", "date", ind.ordinal().alias("n"))
+    older = o.select("ticker", F.col("date").alias("older"), F.explode(F.sequence(F.col("n") + 1, F.col("n") + 3)).alias("n"), F.col("n").alias("m"))
+    return older.join(o.withColumnRenamed("date", "newer"), ["ticker", "n"]).select("ticker", "older", "newer", (F.col("n") - F.col("m")).cast("long").alias("sessions"))
+
+
 @register(with_(BARS) + "SELECT date, close FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS k FROM spy) WHERE k = 250")
 def f3_offset(spark: SparkSession, d: str) -> DataFrame:
     return src.benchmark(spark, d).select("date", "close").orderBy(F.desc("date")).limit(250).orderBy("date").limit(1)
