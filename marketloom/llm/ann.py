@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import sampled, written
+from .common import bounded_batches, sampled, written
 
 #: Widths of the error bound, in its standard deviations.
 EPSILON = 1.9
@@ -190,6 +190,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, lists: int | None
     many parts as keep the largest possible list at about ``lists`` blocks a part.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     n, asked_n = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     lists = lists or int(min(1024, max(8, n**0.5 / 3.5)))

@@ -42,6 +42,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the batches that go to Python workers.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches to Python workers hold at most BATCH_BYTES (or a single row) from now on, not
+    10,000 rows of whatever length; a smaller setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+class BoundedCache(dict):
+    """A dictionary of strings or bytes that takes nothing more at about ``size`` bytes, and no key of ``longest`` or more."""
+
+    ENTRY = 160  # objects and table slots of one entry
+
+    def __init__(self, size: int, longest: int = 64):
+        super().__init__()
+        self.left, self.longest = size, longest
+
+    def offer(self, key, value, weight: int) -> None:
+        """Keeps ``value``, which takes ``weight`` bytes besides an entry's own, if there is room."""
+        if self.left > 0 and len(key) < self.longest and key not in self:
+            self[key] = value
+            self.left -= self.ENTRY + len(key) + weight
+
+
 def crc32_mod(col: Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
 

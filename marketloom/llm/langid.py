@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import bounded_batches
+
 WINDOW, HIDDEN, CHUNK = 64, 8, 2048
 
 
@@ -124,13 +126,17 @@ def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(n, WINDOW), lengths
 
 
-def sample_windows(docs: DataFrame, per_lang: int, windows: int, seed: int) -> pd.DataFrame:
-    w = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)), "doc_id")
+def sample_windows(docs: DataFrame, per_lang: int, windows: int, seed: int, langs: int) -> pd.DataFrame:
+    h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
+    w = Window.partitionBy("lang").orderBy(h, "doc_id")
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    # a cut on the hash leaves about four times as many of each language for the ordering
-    totals = ids.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    near = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) <= F.least(F.lit(1.0), F.lit(4.0 * per_lang + 100) / F.col("_n")) * (1 << 30)
-    ids = ids.join(totals, F.col("lang") == F.col("_l")).where(near)
+    totals = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
+    if not totals:
+        return pd.DataFrame(columns=["doc_id", "k", "label", "window"])
+    # rows are cut by their hash where they are read: about four times as many of each language as are
+    # wanted are left to be ordered, so that no language fills a task
+    cuts = F.create_map(*(F.lit(x) for r in totals for x in (r["lang"], int(min(1.0, (4 * per_lang + 100) / r["count"]) * (1 << 30)))))
+    ids = ids.where(h <= F.try_element_at(cuts, F.col("lang")))
     few = ids.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_lang).select("doc_id", F.col("lang").alias("label")).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,30 +149,32 @@ def sample_windows(docs: DataFrame, per_lang: int, windows: int, seed: int) -> p
                         rows.append((doc_id, k, label, cut[k, : lengths[k]].tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "k", "label", "window"])
 
-    # at most per_lang narrow rows for each language
+    # at most per_lang narrow rows for each of at most ``langs`` languages
+    bounded_batches(docs.sparkSession)
     chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
     return chosen.mapInPandas(run, "doc_id long, k int, label string, window binary").toPandas()
 
 
-def train(docs: DataFrame, per_lang: int = 400, windows: int = 10, steps: int = 260, batch: int = 192, seed: int = 5) -> Model | None:
-    """``docs``: the documents that may be learned from (doc_id, text, lang)."""
-    rows = sample_windows(docs, per_lang, windows, seed).sort_values(["doc_id", "k"], kind="stable")
-    langs = sorted(rows["label"].unique())
-    if not langs:
+def train(docs: DataFrame, per_lang: int = 400, windows: int = 10, steps: int = 260, batch: int = 192, seed: int = 5, langs: int = 1000) -> Model | None:
+    """``docs``: the documents that may be learned from (doc_id, text, lang). At most the ``langs``
+    commonest languages are learned."""
+    rows = sample_windows(docs, per_lang, windows, seed, langs).sort_values(["doc_id", "k"], kind="stable")
+    labels = sorted(rows["label"].unique())
+    if not labels:
         return None
     x = np.zeros((len(rows), WINDOW), dtype=np.int64)
     lengths = rows["window"].map(len).to_numpy()
     for i, data in enumerate(rows["window"]):
         x[i, : len(data)] = np.frombuffer(data, np.uint8)
-    y = np.searchsorted(langs, rows["label"].to_numpy())
+    y = np.searchsorted(labels, rows["label"].to_numpy())
     rng = np.random.default_rng(seed)
     normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-    model = Model(langs, normal(512, 3 * HIDDEN, scale=0.4), normal(2, HIDDEN, 3 * HIDDEN, scale=0.3), normal(2, HIDDEN, len(langs), scale=0.3), np.zeros(len(langs), np.float32))
+    model = Model(labels, normal(512, 3 * HIDDEN, scale=0.4), normal(2, HIDDEN, 3 * HIDDEN, scale=0.3), normal(2, HIDDEN, len(labels), scale=0.3), np.zeros(len(labels), np.float32))
     weights = [model.inputs, model.recurrent, model.output, model.bias]
     m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    by_label = [np.flatnonzero(y == k) for k in range(len(langs))]
+    by_label = [np.flatnonzero(y == k) for k in range(len(labels))]
     for step in range(1, steps + 1):
-        pick = np.array([rng.choice(by_label[k]) for k in rng.integers(0, len(langs), batch)])
+        pick = np.array([rng.choice(by_label[k]) for k in rng.integers(0, len(labels), batch)])
         _, grads = gradients(model, x[pick], lengths[pick], y[pick])
         rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
         for w, g, a, b in zip(weights, grads, m, v, strict=True):
@@ -182,6 +190,7 @@ def verdicts(spark: SparkSession, model: Model | None) -> Callable[[Column], Col
     Only the text goes to Python, so a filter on the verdict moves no other column.
     """
     shared = spark.sparkContext.broadcast(model)
+    bounded_batches(spark)
 
     def judged(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
         data = [t.encode() if t and any(map(str.isalpha, t)) else b"" for t in texts]

@@ -17,6 +17,7 @@ broadcast.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import BoundedCache, bounded_batches, written
 
 PIECES = T.StructType(
     [
@@ -41,8 +42,8 @@ PIECES = T.StructType(
 )
 PLACED = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-#: Python's word cache: words held at most in each worker process.
-CACHE_WORDS = 600_000
+#: Bytes of the words that a worker process keeps.
+CACHE_BYTES = 64 << 20
 _caches: dict[str, "WordCache"] = {}
 
 
@@ -55,11 +56,12 @@ class WordCache:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self.known = BoundedCache(CACHE_BYTES)
         self.sentinel = self.special[0] if self.special else None
 
     def _ids(self, text: str) -> np.ndarray:
@@ -74,8 +76,8 @@ class WordCache:
         cuts = np.flatnonzero(ids == mark)
         starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
         out = {w: ids[a:b].tobytes() for w, a, b in zip(words, starts, ends, strict=True)}
-        if len(self.known) < CACHE_WORDS:
-            self.known.update(out)
+        for w, ids in out.items():
+            self.known.offer(w, ids, len(ids))
         return out
 
     def encode(self, text: str) -> bytes:
@@ -91,9 +93,7 @@ class WordCache:
 
 def _cache(path: str) -> WordCache:
     if path not in _caches:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _caches.clear()
         _caches[path] = WordCache(path)
     return _caches[path]
 
@@ -119,6 +119,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, PIECES)
 
 

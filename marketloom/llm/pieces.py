@@ -32,6 +32,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 SPACE = "▁"
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Segmentations that are kept, at most.
@@ -220,6 +222,7 @@ def encode(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0, variant
                 ids = [list(c.encode(t or "", c.variant(_whole(i)))) for i, t in zip(part["doc_id"], part["text"], strict=True)]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object), "ids": ids})
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
 
 
@@ -232,6 +235,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             text = [c.decode(ids) if ids is not None else "" for ids in batch["ids"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": text})
 
+    bounded_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
 
@@ -250,6 +254,7 @@ def digests(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0, varian
             out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_crc32", "decoded_chars", "decoded_sha256", "lossless"])
             yield out.astype({"doc_id": "Int64"})
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_chars long, decoded_sha256 string, lossless boolean")
 
 

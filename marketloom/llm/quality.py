@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import bounded_batches, written
 
 #: Relative width of a bucket.
 ACCURACY = 0.02
@@ -80,6 +80,7 @@ def measured(docs: DataFrame) -> DataFrame:
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield pd.concat([out, counts], axis=1)
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text", "lang", "source").mapInPandas(run, STATS)
 
 

@@ -76,7 +76,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "sentence", "sentence_score")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

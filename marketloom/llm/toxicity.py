@@ -11,7 +11,7 @@ those with the smallest keyed hash of their id, the latter weighted up to their
 all labels; tasks turn whole texts into hashed features first. Every whole text is
 then scored.
 
-Defined results: a null or empty text has no sentence and scores 0; repeated rows
+Defined results: a null or empty text has no sentence (its number and score are null) and scores 0; repeated rows
 score alike; a document with several labels counts as toxic if one says so; without
 labelled documents every score is 0. Columns other than doc_id and text are ignored.
 """
@@ -28,12 +28,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sampled
+from .common import BoundedCache, bounded_batches, sampled
 
 BITS = 20
 SENTENCE = re.compile(r"[.?!\n]+")
 _EDGES = "\"'()[]{}<>,;:*#$%&|=-_/\\"
-CACHE_WORDS = 300_000
+#: Bytes of the words that a task keeps, and features that descent takes at a time.
+CACHE_BYTES, BLOCK = 32 << 20, 1 << 19
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -54,12 +55,11 @@ class Scorer:
     """Scores texts; keeps the summed weights of words that it has met."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known = model, BoundedCache(CACHE_BYTES)
 
     def _weight(self, word: str) -> float:
         value = float(sum(self.model.weights[i] for i in word_features(word)))
-        if len(self.known) < CACHE_WORDS:
-            self.known[word] = value
+        self.known.offer(word, value, 24)
         return value
 
     def sentences(self, text: str) -> list[float]:
@@ -72,10 +72,14 @@ class Scorer:
                 out.append(sum(sorted(values)))
         return out
 
-    def document(self, text: str) -> float:
+    def document(self, text: str) -> tuple[float, int | None, float | None]:
+        """The noisy-or of the sentences, the number of the strongest sentence (the first, if
+        several are) and its own score."""
         if not (logits := self.sentences(text)):
-            return 0.0
-        return float(-np.expm1(-np.logaddexp(0, np.array(logits) + self.model.bias).sum()))
+            return 0.0, None, None
+        score = float(-np.expm1(-np.logaddexp(0, np.array(logits) + self.model.bias).sum()))
+        worst = max(logits)
+        return score, logits.index(worst), float(1 / (1 + np.exp(-(worst + self.model.bias))))
 
 
 def _bags(sample: DataFrame) -> pd.DataFrame:
@@ -92,6 +96,7 @@ def _bags(sample: DataFrame) -> pd.DataFrame:
                 rows.append((doc_id, toxic, packed([i for b in bags for i in b]), packed([len(b) for b in bags])))
             yield pd.DataFrame(rows, columns=["doc_id", "toxic", "features", "lengths"])
 
+    bounded_batches(sample.sparkSession)
     return sample.mapInPandas(run, "doc_id long, toxic int, features binary, lengths binary").toPandas()
 
 
@@ -115,35 +120,47 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, steps: int
     y = bags["toxic"].to_numpy(dtype=np.float64)
     if len(set(y.tolist())) < 2:
         return Model(weights, -30.0)
-    features = np.concatenate([np.frombuffer(x, "<i4") for x in bags["features"]])
     per_doc = bags["lengths"].map(len).to_numpy() // 4
     lengths = np.concatenate([np.frombuffer(x, "<i4") for x in bags["lengths"]])
+    features = np.concatenate([np.frombuffer(x, "<i4") for x in bags["features"]])
     del bags
     # features of one or two sentences tell nothing that holds elsewhere
-    common = np.bincount(features, minlength=1 << BITS) >= (3 if len(y) > 1000 else 2)
+    common = sum(np.bincount(features[at : at + BLOCK], minlength=1 << BITS) for at in range(0, len(features), BLOCK)) >= 3
     index = np.full(1 << BITS, -1, dtype=np.int32)
     index[common] = np.arange(common.sum())
     size = int(common.sum())
-    sentence_of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    features = index[features]
-    sentence_of, features = sentence_of[features >= 0], features[features >= 0]
     doc_of = np.repeat(np.arange(len(y)), per_doc)
-    seen = np.unique(features.astype(np.int64) * len(y) + doc_of[sentence_of])
-    held = [np.bincount((seen // len(y))[y[seen % len(y)] == k], minlength=size) for k in (0, 1)]
-    del seen
+    # blocks of whole documents: (first sentence, last, sentence of each feature, features)
+    blocks, held, sentences = [], np.zeros((2, size)), np.concatenate([[0], np.cumsum(per_doc)])
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    doc = 0
+    while doc < len(y):
+        last = max(doc + 1, int(np.searchsorted(ends[sentences], ends[sentences[doc]] + BLOCK, side="right")) - 1)
+        s, e = sentences[doc], sentences[last]
+        own, of = index[features[ends[s] : ends[e]]], np.repeat(np.arange(e - s, dtype=np.int32), lengths[s:e])
+        of, own = of[own >= 0], own[own >= 0]
+        seen = np.unique(own.astype(np.int64) * len(y) + doc_of[s + of])
+        for k in (0, 1):
+            held[k] += np.bincount((seen // len(y))[y[seen % len(y)] == k], minlength=size)
+        blocks.append((s, e, of, own))
+        doc = last
+    del features
     share = y.mean()
     w = np.log((held[1] + prior * share) / share) - np.log((held[0] + prior * (1 - share)) / (1 - share))
     w = np.maximum(w - 1, 0)
     clean = max(1.0, totals[0] / totals[1] * y.sum() / (len(y) - y.sum()))
-    b, pace = -6.0, 0.5 / (np.bincount(features, minlength=size) + prior)
+    b, pace = -6.0, 0.5 / (sum(np.bincount(own, minlength=size) for *_, own in blocks) + prior)
     mw, mb = np.zeros(size), 0.0
+    logit = np.empty(len(lengths))
     for _ in range(steps):
-        logit = np.bincount(sentence_of, weights=w[features], minlength=len(lengths)) + b
+        for s, e, of, own in blocks:
+            logit[s:e] = np.bincount(of, weights=w[own], minlength=e - s) + b
         p = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
         log_clean = np.maximum(-np.bincount(doc_of, weights=np.logaddexp(0, logit), minlength=len(y)), -50.0)
         toxic = np.maximum(-np.expm1(log_clean), 1e-9)
         grad = p * np.where(y == 1, -np.exp(log_clean) / toxic, clean)[doc_of]
-        mw = 0.8 * mw - pace * (np.bincount(features, weights=grad[sentence_of], minlength=size) + 0.02 * w + 0.1)
+        of_words = sum(np.bincount(own, weights=grad[s:e][of], minlength=size) for s, e, of, own in blocks)
+        mw = 0.8 * mw - pace * (of_words + 0.02 * w + 0.1)
         mb = 0.8 * mb - 0.5 * grad.sum() / (len(lengths) ** 0.5 + prior)
         w, b = np.maximum(w + mw, 0), b + min(max(mb, -0.5), 0.5)
     weights[common] = w
@@ -151,25 +168,31 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, steps: int
 
 
 def scores(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
-    """A function of a text column that gives scores; only the text goes to Python."""
+    """A function of a text column that gives structs (score, sentence, sentence_score): the
+    document's score, and the place and score of its strongest sentence, null where there is
+    none. Only the text goes to Python."""
     shared = spark.sparkContext.broadcast(model)
+    bounded_batches(spark)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield pd.Series([scorer.document(t or "") for t in batch], dtype="float64")
+            out = pd.DataFrame([scorer.document(t or "") for t in batch], columns=["score", "sentence", "sentence_score"])
+            yield out.astype({"sentence": "Int32"})
 
-    return F.pandas_udf(run, "double").asNondeterministic()
+    return F.pandas_udf(run, "score double, sentence int, sentence_score double").asNondeterministic()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row of ``docs``."""
-    return docs.select("doc_id", scores(docs.sparkSession, model)(F.col("text")).alias("score"))
+    """doc_id, score, sentence and sentence_score of every row of ``docs``."""
+    found = docs.select("doc_id", scores(docs.sparkSession, model)(F.col("text")).alias("v"))
+    return found.select("doc_id", "v.score", "v.sentence", "v.sentence_score")
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The sentences with a score of at least ``least``: doc_id, sentence, text, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)

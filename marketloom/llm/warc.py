@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import bounded_batches, fresh_path, written
 
 BLOCK = 1 << 16
 VERSION = b"WARC/1.1"
@@ -242,5 +242,6 @@ def read_warcs(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 def warc_round_trip(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
     """Writes ``pages`` as archives in the shared folder and reads them back."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     manifest = write_warcs(mark_revisits(pages, min_revisit), fresh_path(spark, "warc"))
     return read_warcs(manifest)
