@@ -35,7 +35,7 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps rows that score under the threshold; nothing is shuffled."""
     labels = table(spark, sf_dir, "labels")
     score = toxicity.scores(spark, toxicity.train(docs, labels.where(_learnable())))
-    return docs.withColumn("_s", score(F.col("text"))).where(F.col("_s") < TOXIC_SCORE).select(*COLUMNS)
+    return docs.withColumn("_s", score(F.col("text"))["score"]).where(F.col("_s") < TOXIC_SCORE).select(*COLUMNS)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
