@@ -1,14 +1,21 @@
 """Quality rules whose cutoffs come from the corpus itself.
 
-Every text is measured; every language and source gets a quantile sketch of each
-measure, and a text is kept when its measures lie inside fences drawn from its own
-group's quartiles. A sketch is the count of values in geometric buckets (a value is
-known to within ``ACCURACY``), so sketches merge by adding counts: map-side, across
-sources, or across days. Groups with fewer than ``min_rows`` texts use the merged
-sketch of their language, and languages with fewer the merged sketch of everything.
+Every text is measured; every language and source gets a quantile sketch of each measure, and
+a text is kept when its measures lie inside the cutoffs drawn from its own group's quantiles:
+``high + fence * (high - median)``, where ``high`` is the quantile of the measure's level, and
+alike below the median for a measure with two sides. Level and fence are the measure's own, all
+distances are the corpus's. The resolution of a ratio is allowed for: what ``1 + fence``
+occurrences make in a short text of the group (of its 0.1 quantile) never drops a text.
+
+A sketch is the count of values in geometric buckets (a value is known to within
+``ACCURACY``), so sketches merge by adding counts: map-side, across sources, or across days.
+A group's quantiles are drawn towards those of its language, and a language's towards those of
+everything, as if the parent had given ``PRIOR`` more texts: a large group goes its own way,
+a small one follows its parent, without a size at which one turns into the other.
 
 Defined results: a null text has no words and fails the base rule; null languages and
-sources are groups of their own; repeated rows are judged alike, each for itself.
+sources are groups of their own; repeated rows are judged alike, each for itself; where no text
+passes the base rule there are no cutoffs and nothing is kept.
 Columns other than doc_id, text, lang and source are ignored.
 """
 
@@ -28,15 +35,18 @@ from .common import bounded_batches, written
 #: Relative width of a bucket.
 ACCURACY = 0.02
 
-#: measure -> (numerator, denominator, allowance beyond the fence, fenced below too)
+#: measure -> (numerator, denominator, level of the quantile that counts as high, fence: a cutoff's
+#: distance from it in distances of that quantile from the median, two sides)
 MEASURES = {
-    "word_length": ("word_chars", "n_words", 0.5, True),
-    "symbols": ("n_symbols", "word_chars", 0.02, False),
-    "repeated_lines": ("n_dup_lines", "n_lines", 0.35, False),
-    "repeated_words": ("n_repeat_words", "n_words", 0.45, False),
+    "word_length": ("word_chars", "n_words", 0.75, 20.0, True),
+    "symbols": ("n_symbols", "word_chars", 0.75, 4.0, False),
+    "repeated_lines": ("n_dup_lines", "n_lines", 0.99, 3.0, False),
+    "repeated_words": ("n_repeat_words", "n_words", 0.99, 3.0, False),
 }
-#: Widths of a fence beyond the quartiles, in interquartile ranges.
-FENCE = 6.0
+#: Measures whose resolution in a short text is allowed for.
+FINE = ["symbols", "repeated_words"]
+#: Texts that a group's parent counts for in its quantiles.
+PRIOR = 100.0
 
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 _SPACES = str.maketrans("", "", " \t\n\x0b\x0c\r")
@@ -90,11 +100,11 @@ def _ratio(name: str) -> Column:
 
 
 def sketches(stats: DataFrame) -> DataFrame:
-    """(lang, source, measure, bucket, n): the mergeable sketch of each group."""
-    bucket = lambda name: F.when(_ratio(name) > 0, F.ceil(F.log(_ratio(name)) / F.log(F.lit(1 + ACCURACY)))).otherwise(F.lit(-(10**6)))
-    rows = stats.select(
-        "lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(m).cast("int").alias("bucket")) for m in MEASURES))).alias("x")
-    )
+    """(lang, source, measure, bucket, n): the mergeable sketch of each group's measures, and of
+    the texts' sizes (``size of`` a measure is its denominator)."""
+    bucket = lambda x: F.when(x > 0, F.ceil(F.log(x) / F.log(F.lit(1 + ACCURACY)))).otherwise(F.lit(-(10**6))).cast("int")
+    values = {m: _ratio(m) for m in MEASURES} | {f"size of {m}": F.col(MEASURES[m][1]).cast("double") for m in FINE}
+    rows = stats.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(x).alias("bucket")) for m, x in values.items()))).alias("x"))
     return rows.groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -102,40 +112,60 @@ def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """For each group: rows, and a map of measure to (low, high)."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """For each group: its number of texts and a map from measure to (low, median, high).
+
+    Low is the 1 - level quantile, and the 0.1 quantile of a size.
+    """
     w = Window.partitionBy(*keys, "measure")
     run = sketch.withColumns({"below": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w)})
     value = F.when(F.col("bucket") > -(10**6), F.pow(F.lit(1 + ACCURACY), F.col("bucket") - 0.5)).otherwise(F.lit(0.0))
+    level = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for m, (_, _, q, *_) in MEASURES.items() for x in (m, q))), F.col("measure")), F.lit(0.9))
     at = lambda q: F.min(F.when(F.col("below") >= F.col("total") * q, F.struct("bucket", value.alias("v"))))["v"]
-    quartiles = run.groupBy(*keys, "measure").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.first("total").alias("rows"))
-    allowance = F.create_map(*(F.lit(x) for m, (_, _, a, _) in MEASURES.items() for x in (m, a)))[F.col("measure")]
-    reach = (F.col("q3") - F.col("q1")) * FENCE + allowance
-    fence = F.struct((F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
-    return quartiles.groupBy(*keys).agg(F.max("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("measure", fence.alias("fence")))).alias("fences"))
+    found = run.groupBy(*keys, "measure").agg(at(1 - level).alias("low"), at(F.lit(0.5)).alias("median"), at(level).alias("high"), F.first("total").alias("rows"))
+    entry = F.struct("measure", F.struct("low", "median", "high").alias("q"))
+    return found.groupBy(*keys).agg(F.max("rows").alias("rows"), F.map_from_entries(F.collect_list(entry)).alias("quantiles"))
+
+
+def drawn_to(own: Column, rows: Column, parent: Column) -> Column:
+    """A group's quantiles with the parent's counted as PRIOR more texts."""
+    mixed = lambda a, b: (a * rows + b * PRIOR) / (rows + PRIOR)
+    return F.transform_values(own, lambda m, q: F.struct(*(mixed(q[x], parent[m][x]).alias(x) for x in ("low", "median", "high"))))
 
 
-def judge(docs: DataFrame, min_words: int = 50, min_rows: int = 200) -> DataFrame:
-    """Counts, base rule and verdict of every document of ``docs``."""
+def cutoffs(stats: DataFrame) -> DataFrame:
+    """(lang, source, cutoffs): for each group a map from measure to (low, high)."""
+    by_source = written(sketches(stats), "sketches")
+    # the merged sketch of everything gives one row
+    whole = quantiles(merge(by_source, []).withColumn("_one", F.lit(1)), ["_one"]).select(F.col("quantiles").alias("_w"))
+    by_lang = quantiles(merge(by_source, ["lang"]), ["lang"]).crossJoin(F.broadcast(whole))
+    by_lang = by_lang.select(F.col("lang").alias("_l"), drawn_to(F.col("quantiles"), F.col("rows"), F.col("_w")).alias("_p"))
+    own = quantiles(by_source, ["lang", "source"]).join(by_lang, F.col("lang").eqNullSafe(F.col("_l")))
+    own = own.select("lang", "source", drawn_to(F.col("quantiles"), F.col("rows"), F.col("_p")).alias("q"))
+    entries = []
+    for m, (_, _, _, fence, two_sides) in MEASURES.items():
+        q = F.col("q")[m]
+        low = q["median"] - (1 + fence) * (q["median"] - q["low"]) if two_sides else F.lit(None).cast("double")
+        high = q["median"] + (1 + fence) * (q["high"] - q["median"])
+        if m in FINE:
+            high = F.greatest(high, (1 + fence) / F.col("q")[f"size of {m}"]["low"])
+        entries += [F.lit(m), F.struct(low.alias("low"), high.alias("high"))]
+    return own.select("lang", "source", F.create_map(*entries).alias("cutoffs"))
+
+
+def judge(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """Counts, base rule and verdict of every document of ``docs``; ``outside`` lists the measures
+    that lie beyond their cutoffs, of texts that pass the base rule."""
     stats = written(measured(docs), "quality")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = stats.withColumn("base_failed", base)
-    by_source = written(sketches(stats.where(~F.col("base_failed"))), "sketches")
-    by_lang = fences(merge(by_source, ["lang"]), ["lang"]).select(F.col("lang").alias("_l"), F.col("rows").alias("_lr"), F.col("fences").alias("_lf"))
-    # the merged sketch of everything gives one row
-    whole = fences(merge(by_source, []).withColumn("_one", F.lit(1)), ["_one"]).select(F.col("fences").alias("_wf"))
-    own = fences(by_source, ["lang", "source"]).where(F.col("rows") >= min_rows)
-    own = own.select(F.col("lang").alias("_ol"), F.col("source").alias("_os"), F.col("fences").alias("_of"))
-    found = (
-        stats.join(own, F.col("lang").eqNullSafe(F.col("_ol")) & F.col("source").eqNullSafe(F.col("_os")), "left")
-        .join(by_lang.where(F.col("_lr") >= min_rows), F.col("lang").eqNullSafe(F.col("_l")), "left")
-        .join(F.broadcast(whole), F.lit(True), "left")
-    )
-    fence = F.coalesce("_of", "_lf", "_wf")
-    inside = F.lit(True)
-    for name, (_, _, _, low) in MEASURES.items():
-        ok = _ratio(name) <= fence[name]["high"]
-        inside = inside & F.coalesce(ok & (_ratio(name) >= fence[name]["low"]) if low else ok, F.lit(True))
+    known = cutoffs(stats.where(~F.col("base_failed"))).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "cutoffs")
+    found = stats.join(known, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    cut = F.col("cutoffs")
+    # a bucket's values lie within ACCURACY of its middle
+    beyond = [F.when((_ratio(m) > cut[m]["high"] * (1 + ACCURACY)) | F.coalesce(_ratio(m) < cut[m]["low"] * (1 - ACCURACY), F.lit(False)), F.lit(m)) for m in MEASURES]
+    outside = F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*beyond)))
     return found.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "lang", "source"
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & (F.size(outside) == 0)).alias("kept"), outside.alias("outside"), "lang", "source",
+    )
