@@ -1,23 +1,31 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Each vector is normalised, set off from its list's centroid, turned by a random
-orthogonal matrix and reduced to the signs of its components: one bit a dimension,
-plus three scalars (length of the offset, inner product of the offset direction with
-its own code, inner product with the centroid). From the packed bits and the scalars
-comes an estimate of the cosine with a query and a bound on its error that holds with
-high probability. Only vectors whose upper bound reaches the k-th best are reranked
-with the original vectors in double precision.
-
-The index is fitted on at most ``sample`` vectors (centroids; k-means) but holds
-every vector. Vectors and queries meet list by list in blocks: a list's vectors are
-cut into blocks of at most ``block`` rows, a list's queries into blocks of at most
-``query_block``, and blocks of the same list are joined. A list that holds a third of
-all vectors is many blocks, dealt to many tasks.
-
-Defined results: null vectors, vectors of another length than the first sampled one,
-zero vectors and vectors with null or non-finite components take no part, neither as
-queries nor as candidates. A repeated id is another candidate. Ties go to the smaller id.
-Columns other than the two named are ignored; an empty table gives an empty result.
+Each vector is normalised, set off from its list's centroid, padded with zeros to ``EXPAND``
+times its length, turned by a random orthogonal matrix and reduced to the signs of its
+components: one bit for each turned component, packed, plus three scalars (length of the offset, inner
+product of the offset's direction with its own code, inner product with the centroid). A query's
+turned components are rounded to four bits, so that its inner product with a code is a few
+counts of common bits. From that and the scalars comes an estimate of the cosine with a query
+and a bound on its error that holds with high probability.
+
+1. The scan reads codes and scalars alone. Vectors and queries meet list by list in blocks: a
+   list's codes are dealt to parts and cut into blocks of at most ``block`` rows, a list's queries
+   into blocks of at most ``query_block``, and blocks of one list and part are joined. A list
+   that holds a third of all vectors is many blocks, dealt to many tasks. Rows come out whose
+   upper bound reaches the k-th best lower bound that their query has in that task.
+2. The ``first`` rows with the best estimates of each query are compared exactly, by a join to the
+   original vectors; the k-th best cosine found so is the query's bar.
+3. All rows whose upper bound reaches the bar are compared exactly.
+
+The index is fitted on at most ``sample`` vectors (centroids; k-means) but holds every
+vector.
+
+Defined results: null vectors, zero vectors, vectors with null or non-finite components, those of
+another length than most, and rows with a null id take no part, neither as queries nor
+as candidates. Each row stands for itself: a repeated id is another candidate, also of the other
+rows with that id, and each query row gets its own ranks from 1, so that an id that two query
+rows share has each rank twice. Ties go to the smaller id. Columns other than the two named are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,18 +44,23 @@ from .common import bounded_batches, sampled, written
 #: Widths of the error bound, in its standard deviations.
 EPSILON = 1.9
 
-INDEX = "vec_id long, list int, part int, bits binary, offset float, align float, along float, embedding array<float>"
-HITS = "query_id long, vec_id long, score double"
+#: Components of a turned vector for each of the original one.
+EXPAND = 4
+
+INDEX = "row long, list int, part int, bits binary, offset float, align float, along float"
+FOUND = "query long, row long, estimate float, high float"
 
 
 @dataclass
 class Model:
+    """Centroids (lists, dim) and the rows of an orthogonal matrix that a padded vector meets (dim, width)."""
+
     centroids: np.ndarray
     rotation: np.ndarray
 
     @property
-    def dim(self) -> int:
-        return self.rotation.shape[0]
+    def width(self) -> int:
+        return self.rotation.shape[1]
 
 
 def usable(vector: Column) -> Column:
@@ -62,13 +75,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(vectors: DataFrame, lists: int, total: int, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> Model | None:
-    """Centroids from the ``sample`` of ``total`` vectors with the smallest keyed hash of their id."""
-    rows = sampled(vectors.select("vec_id", "embedding"), sample, total, seed, "vec_id").select("embedding").toPandas()
-    if rows.empty:
-        return None
-    dim = len(rows["embedding"][0])
-    x = _unit(np.stack([v for v in rows["embedding"] if len(v) == dim]))
+def fit(vectors: DataFrame, lists: int, total: int, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> Model:
+    """Centroids from the ``sample`` of ``total`` vectors with the smallest keyed hash of their row."""
+    rows = sampled(vectors.select("row", "embedding"), sample, total, seed, "row").select("embedding").toPandas()
+    x = _unit(np.stack(rows["embedding"].to_numpy()))
     rng = np.random.default_rng(seed)
     lists = min(lists, len(x))
     centers = x[rng.choice(len(x), lists, replace=False)]
@@ -78,18 +88,18 @@ def fit(vectors: DataFrame, lists: int, total: int, sample: int = 20_000, rounds
         np.add.at(sums, nearest, x)
         filled = np.bincount(nearest, minlength=lists) > 0
         centers[filled] = sums[filled] / np.maximum(np.linalg.norm(sums[filled], axis=1, keepdims=True), 1e-12)
-    rotation, upper = np.linalg.qr(rng.standard_normal((dim, dim)))
-    return Model(centers, rotation * np.sign(np.diag(upper)))
+    width = -(-EXPAND * x.shape[1] // 64) * 64
+    rotation, upper = np.linalg.qr(rng.standard_normal((width, width)))
+    return Model(centers, (rotation * np.sign(np.diag(upper)))[: x.shape[1]])
 
 
 def build_index(vectors: DataFrame, model: Model, parts: int = 1) -> DataFrame:
-    """Every usable vector with its list, packed code, scalars and original."""
+    """Every vector's row number with its list, packed code and scalars."""
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for batch in batches:
-            batch = batch[batch["embedding"].map(len) == m.dim]
             if batch.empty:
                 continue
             x = _unit(np.stack(batch["embedding"].to_numpy()))
@@ -98,23 +108,23 @@ def build_index(vectors: DataFrame, model: Model, parts: int = 1) -> DataFrame:
             turned = (x - c) @ m.rotation
             size = np.linalg.norm(turned, axis=1)
             safe = np.where(size > 1e-12, size, 1.0)
-            align = np.abs(turned).sum(axis=1) / (np.sqrt(m.dim) * safe)
+            align = np.abs(turned).sum(axis=1) / (np.sqrt(m.width) * safe)
             yield pd.DataFrame(
                 {
-                    "vec_id": batch["vec_id"].to_numpy(), "list": where.astype("int32"), "part": batch["part"].to_numpy(),
+                    "row": batch["row"].to_numpy(), "list": where.astype("int32"), "part": batch["part"].to_numpy(),
                     "bits": [row.tobytes() for row in np.packbits(turned > 0, axis=1)], "offset": size.astype("f4"),
-                    "align": np.where(size > 1e-12, align, 1.0).astype("f4"), "along": (x * c).sum(axis=1).astype("f4"), "embedding": batch["embedding"].to_numpy(),
+                    "align": np.where(size > 1e-12, align, 1.0).astype("f4"), "along": (x * c).sum(axis=1).astype("f4"),
                 }
             )
 
-    rows = vectors.where(usable(F.col("embedding"))).select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
+    rows = vectors.select("row", "embedding", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
     return rows.mapInPandas(run, INDEX)
 
 
-def _blocks(index: DataFrame, keys: list[str], size: int, columns: list[str], number: str) -> DataFrame:
+def _blocks(rows: DataFrame, keys: list[str], size: int, columns: list[str], number: str) -> DataFrame:
     """Rows gathered into arrays of at most ``size``, dealt by ``keys``."""
-    w = Window.partitionBy(*keys).orderBy("vec_id")
-    cut = index.withColumn(number, F.floor((F.row_number().over(w) - 1) / size))
+    w = Window.partitionBy(*keys).orderBy("row")
+    cut = rows.withColumn(number, F.floor((F.row_number().over(w) - 1) / size))
     return cut.groupBy(*keys, number).agg(F.collect_list(F.struct(*columns)).alias(f"{number}_rows"))
 
 
@@ -130,83 +140,105 @@ def probe(queries: DataFrame, model: Model, probes: int) -> DataFrame:
             near = _unit(np.stack(batch["embedding"].to_numpy())) @ m.centroids.T
             n = min(probes, near.shape[1])
             lists = np.argpartition(-near, n - 1, axis=1)[:, :n]
-            yield pd.DataFrame({"vec_id": np.repeat(batch["vec_id"].to_numpy(), n), "list": lists.ravel().astype("int32"), "embedding": np.repeat(batch["embedding"].to_numpy(), n)})
+            yield pd.DataFrame({"row": np.repeat(batch["row"].to_numpy(), n), "list": lists.ravel().astype("int32"), "embedding": np.repeat(batch["embedding"].to_numpy(), n)})
+
+    return queries.select("row", "embedding").mapInPandas(run, "row long, list int, embedding array<float>")
 
-    return queries.select("vec_id", "embedding").mapInPandas(run, "vec_id long, list int, embedding array<float>")
 
+def common_bits(turned: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of turned queries (Q, width), rounded to four bits a component, with the
+    codes' signs / sqrt(width), for packed codes (n, width / 64); and each query's rounding step."""
+    width = turned.shape[1]
+    low = turned.min(axis=1)
+    step = np.maximum((turned.max(axis=1) - low) / 15, 1e-12)
+    levels = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.float32)
+    total = low * width + step * levels.sum(axis=1, dtype=np.int64)
+    out = np.empty((len(turned), len(codes)), dtype=np.float32)
+    for i, level in enumerate(levels):
+        planes = np.packbits((level[None, :] >> np.arange(4, dtype=np.uint8)[:, None]) & 1, axis=1).view(np.uint64)
+        counts = sum(np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int32) << j for j, plane in enumerate(planes))
+        out[i] = (2 * (low[i] * ones + step[i] * counts) - total[i]) / np.sqrt(width)
+    return out, step
 
-def _search(model_of, k: int):
+
+def _scan(model_of, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model = model_of.value
-        floor: dict[int, float] = {}  # each query's k-th best so far in this task
+        floor: dict[int, float] = {}  # each query's k-th best lower bound so far in this task
         for batch in batches:
             for here, qs, vs in zip(batch["list"], batch["q_rows"], batch["v_rows"], strict=True):
-                q_ids, q = np.array([r["vec_id"] for r in qs]), np.stack([r["embedding"] for r in qs]).astype(np.float64)
-                v_ids, v = np.array([r["vec_id"] for r in vs]), np.stack([r["embedding"] for r in vs]).astype(np.float64)
+                q_rows, q = np.array([r["row"] for r in qs]), np.stack([r["embedding"] for r in qs]).astype(np.float64)
+                rows = np.array([r["row"] for r in vs])
                 offset, align, along = (np.array([r[x] for r in vs], dtype=np.float32) for x in ("offset", "align", "along"))
-                codes = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in vs), np.uint8).reshape(len(v), -1), axis=1, count=m.dim)
-                signs = (codes.astype(np.float32) * 2 - 1) / np.sqrt(m.dim)
-                c = m.centroids[here]
-                unit = _unit(q)
+                codes = np.frombuffer(b"".join(r["bits"] for r in vs), np.uint64).reshape(len(rows), -1)
+                c, unit = m.centroids[here], _unit(q)
                 rest = (unit - c) @ m.rotation
-                # <o, q> = <o, c> + |o - c| <direction, q - c> + <o - c, c> terms gathered in along
-                from_c = unit @ c - c @ c
-                estimate = (rest.astype(np.float32) @ signs.T) / align * offset
-                estimate += along + from_c.astype(np.float32)[:, None]
-                spread = offset * np.sqrt(np.maximum(1 - align**2, 0)) / align * (EPSILON / np.sqrt(max(m.dim - 1, 1)))
-                slack = np.linalg.norm(rest, axis=1).astype(np.float32)[:, None] * spread + 1e-5
-                own = q_ids[:, None] == v_ids
-                low = np.where(own, -np.inf, estimate - slack)
-                if len(v) > k:
-                    bar = np.partition(low, len(v) - k, axis=1)[:, len(v) - k]
-                else:
-                    bar = np.full(len(q), -np.inf)
-                bar = np.maximum(bar, [floor.get(i, -np.inf) for i in q_ids.tolist()])
-                keep = (estimate + slack >= bar[:, None]) & ~own
-                norms = np.sqrt((v * v).sum(axis=1))
-                out = []
-                for i, q_id in enumerate(q_ids.tolist()):
-                    at = np.flatnonzero(keep[i])
-                    if not len(at):
-                        continue
-                    # a row's sum is formed alike wherever the row lies: equal vectors get equal scores
-                    scores = (v[at] * q[i]).sum(axis=1) / (norms[at] * np.sqrt((q[i] * q[i]).sum()))
-                    best = np.lexsort((v_ids[at], -scores))[:k]
-                    if len(best) == k:
-                        floor[q_id] = max(floor.get(q_id, -np.inf), scores[best[-1]] - 1e-9)
-                    out.append(pd.DataFrame({"query_id": q_id, "vec_id": v_ids[at][best], "score": scores[best]}))
-                if out:
-                    yield pd.concat(out)
+                products, step = common_bits(rest, codes)
+                # <x, q> = <x, c> + <x - c, q - c> + <c, q - c>
+                estimate = products / align * offset + along + (unit @ c - c @ c).astype(np.float32)[:, None]
+                spread = offset * np.sqrt(np.maximum(1 - align**2, 0)) / align * (EPSILON / np.sqrt(m.width - 1))
+                rounding = (EPSILON / np.sqrt(12) * step).astype(np.float32)[:, None] * (offset / align)
+                slack = np.linalg.norm(rest, axis=1).astype(np.float32)[:, None] * spread + rounding + np.float32(1e-5)
+                own = q_rows[:, None] == rows
+                low = np.where(own, np.float32(-np.inf), estimate - slack)
+                bar = np.partition(low, -k, axis=1)[:, -k] if len(rows) >= k else np.full(len(q), -np.inf)
+                bar = np.maximum(bar, [floor.get(i, -np.inf) for i in q_rows.tolist()])
+                floor.update(zip(q_rows.tolist(), bar.tolist(), strict=True))
+                high = estimate + slack
+                i, j = np.nonzero((high >= bar[:, None]) & ~own)
+                yield pd.DataFrame({"query": q_rows[i], "row": rows[j], "estimate": estimate[i, j], "high": high[i, j]})
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, lists: int | None = None, probed: float = 1.0, block: int = 4096, query_block: int = 1024) -> DataFrame:
+def compared(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pairs (query, row) of row numbers with their ids and cosine, in double precision.
+
+    The sums run in the order of the components, so that equal vectors get equal scores.
+    """
+    one = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), F.col("norm").alias("_qn"))
+    found = pairs.select("query", "row").join(vectors.select("row", "vec_id", "embedding", "norm"), "row").join(one, "query")
+    score = F.aggregate(F.zip_with("embedding", "_q", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) / (F.col("norm") * F.col("_qn"))
+    return found.select("query", "row", "query_id", "vec_id", score.alias("score"))
+
+
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = 5, lists: int | None = None, probed: float = 0.75, first: int = 50, block: int = 4096, query_block: int = 256
+) -> DataFrame:
     """The k nearest by cosine of every query row among all other rows:
     query_id, rank, vec_id, score.
 
     ``lists`` defaults to a number that grows with the square root of the rows;
-    each query looks into the share ``probed`` of them, all by default. A list's rows are dealt to as
+    each query looks into the share ``probed`` of them. A list's rows are dealt to as
     many parts as keep the largest possible list at about ``lists`` blocks a part.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    n, asked_n = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
+    usual = vectors.select("vec_id", "embedding", is_query.alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    dim = usual.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if dim is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    numbered = usual.where(F.size("embedding") == dim["dim"]).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding", norm.alias("norm"), "asks")
+    rows = written(numbered, "vectors")  # row numbers are fixed from here on
+    n, asked_n = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     lists = lists or int(min(1024, max(8, n**0.5 / 3.5)))
     model = fit(rows, lists, n)
-    if model is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = len(model.centroids)
     probes = max(1, round(lists * probed))
-    v_parts = max(1, n * 8 // (lists * block))
-    q_parts = max(1, asked_n * probes // (lists * query_block))
+    v_parts, q_parts = max(1, n * 8 // (lists * block)), max(1, asked_n * probes // (lists * query_block))
     index = written(build_index(rows, model, v_parts), "codes")
-    v = _blocks(index, ["list", "part"], block, ["vec_id", "bits", "offset", "align", "along", "embedding"], "v")
-    asked = probe(index.where(is_query), model, probes)
-    q = _blocks(asked.withColumn("q_part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(q_parts))), ["list", "q_part"], query_block, ["vec_id", "embedding"], "q")
-    met = q.join(v, "list").select("list", "q_rows", "v_rows")
-    hits = met.mapInPandas(_search(spark.sparkContext.broadcast(model), k), HITS)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    v = _blocks(index, ["list", "part"], block, ["row", "bits", "offset", "align", "along"], "v")
+    asked = rows.where("asks")
+    near = probe(asked, model, probes).withColumn("q_part", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(q_parts)))
+    q = _blocks(near, ["list", "q_part"], query_block, ["row", "embedding"], "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1))))
+    met = q.join(v, ["list", "part"]).select("list", "q_rows", "v_rows")
+    found = written(met.mapInPandas(_scan(spark.sparkContext.broadcast(model), k), FOUND), "found")
+    best = lambda rows, n, *order: rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= n)
+    tried = written(compared(best(found, first, F.desc("estimate"), "row"), rows, asked), "tried")
+    bars = best(tried, k, F.desc("score"), "vec_id", "row").groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("bar"))
+    left = found.join(bars, "query").where(F.col("bar").isNull() | (F.col("high") >= F.col("bar")))
+    left = left.join(tried.select("query", "row"), ["query", "row"], "left_anti")
+    every = tried.unionByName(compared(left, rows, asked))
+    return best(every, k, F.desc("score"), "vec_id", "row").select("query_id", "rank", "vec_id", "score")

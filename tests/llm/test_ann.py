@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import ann
 
-SCHEMA = "vec_id long, embedding array<float>, score string, list string"
+SCHEMA = "vec_id long, embedding array<float>, score string, list string, row string, asks string"
 
 
 def brute(rows, queries, k):
@@ -22,7 +22,7 @@ def test_recall_and_scores_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centers = rng.standard_normal((10, 48))
     rows = [(i, (centers[i % 10] * 0.7 + rng.standard_normal(48)).tolist()) for i in range(2000)]
-    frame = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
+    frame = spark.createDataFrame([(i, v, "x", "y", "z", "u") for i, v in rows], SCHEMA)
     got = ann.nearest(frame, F.col("vec_id") % 50 == 0, k=5, block=256).collect()
     want = brute(rows, range(0, 2000, 50), 5)
     found = total = 0
@@ -37,7 +37,8 @@ def test_recall_and_scores_against_brute_force(spark):
 
 def test_unusable_vectors_ties_and_few_rows(spark):
     bad = [None, [], [0.0, 0.0], [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [1.0, 2.0, 3.0]]
-    rows = [(100 + i, v, "a", "b") for i, v in enumerate(bad)] + [(i, [1.0, 1.0], "a", "b") for i in (50, 3, 9, 7)] + [(0, [-1.0, 1.0], None, None), (None, [1.0, 0.0], None, None)]
+    rows = [(100 + i, v) for i, v in enumerate(bad)] + [(i, [1.0, 1.0]) for i in (50, 3, 9, 7)] + [(0, [-1.0, 1.0]), (None, [1.0, 0.0])]
+    rows = [(i, v, "a", "b", None, "c") for i, v in rows]
     got = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, k=5, lists=1, probed=1.0).collect()
     by = {q: [(r.vec_id, round(r.score, 9)) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 50)}
     assert by[50] == [(3, 1.0), (7, 1.0), (9, 1.0), (0, 0.0)]
@@ -47,3 +48,36 @@ def test_unusable_vectors_ties_and_few_rows(spark):
 
 def test_empty_table(spark):
     assert ann.nearest(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
+
+
+def test_each_row_stands_for_itself(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (3, [1.0, 0.1]), (4, [0.1, 1.0]), (3, [1.0, 0.1])]
+    frame = spark.createDataFrame([(i, v, "a", "b", "c", "d") for i, v in rows], SCHEMA)
+    got = sorted((r["rank"], r.vec_id, round(r.score, 4)) for r in ann.nearest(frame, F.col("vec_id") == 50, k=3, probed=1.0).collect())
+    assert got == [(1, 3, 0.995), (1, 4, 0.995), (2, 3, 0.0995), (2, 3, 0.995), (3, 3, 0.0995), (3, 4, 0.0995)]
+
+
+def test_products_from_common_bits():
+    rng = np.random.default_rng(1)
+    turned, signs = rng.standard_normal((7, 128)), rng.random((90, 128)) < 0.5
+    codes = np.packbits(signs, axis=1).view(np.uint64)
+    got, step = ann.common_bits(turned, codes)
+    want = turned @ (signs * 2.0 - 1).T / np.sqrt(128)
+    assert np.abs(got - want).max() < 5 * step.max() / np.sqrt(12)
+
+
+def test_estimates_lie_within_their_bounds(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.standard_normal(48).tolist()) for i in range(1500)], "row long, embedding array<float>")
+    model = ann.fit(rows, 8, 1500)
+    index = ann.build_index(rows, model).collect()
+    assert len(index) == 1500 and all(len(r.bits) * 8 == model.width for r in index)
+    x = {r.row: np.array(r.embedding, dtype=np.float64) for r in rows.collect()}
+    blocks = [{"list": here, "q_rows": [{"row": -1, "embedding": x[0].astype("f4")}], "v_rows": [r.asDict() for r in index if r.list == here]} for here in range(8)]
+    shared = type("Held", (), {"value": model})()
+    inside = total = 0
+    for part in ann._scan(shared, 10**6)(iter([ann.pd.DataFrame(blocks)])):
+        for row, estimate, high in zip(part["row"], part["estimate"], part["high"], strict=True):
+            true = x[row] @ x[0] / np.linalg.norm(x[row]) / np.linalg.norm(x[0])
+            inside, total = inside + (abs(true - estimate) <= high - estimate), total + 1
+    assert total == 1500 and inside / total > 0.92
