@@ -11,11 +11,12 @@ and a bound on its error that holds with high probability.
 1. The scan reads codes and scalars alone. Vectors and queries meet list by list in blocks: a
    list's codes are dealt to parts and cut into blocks of at most ``block`` rows, a list's queries
    into blocks of at most ``query_block``, and blocks of one list and part are joined. A list
-   that holds a third of all vectors is many blocks, dealt to many tasks. Rows come out whose
-   upper bound reaches the k-th best lower bound that their query has in that task.
-2. The ``first`` rows with the best estimates of each query are compared exactly, by a join to the
-   original vectors; the k-th best cosine found so is the query's bar.
-3. All rows whose upper bound reaches the bar are compared exactly.
+   that holds a third of all vectors is many blocks, dealt to many tasks.
+2. A first scan of each query's very nearest lists gives the ``first`` rows with the best estimates;
+   they are compared exactly, by a join to the original vectors, and the k-th best cosine found
+   so is the query's bar.
+3. A second scan of all lists that the query looks into gives the rows whose upper bound reaches
+   the bar (and the k-th best lower bound met in the task), which are compared exactly.
 
 The index is fitted on at most ``sample`` vectors (centroids; k-means) but holds every
 vector.
@@ -45,10 +46,10 @@ from .common import bounded_batches, sampled, written
 EPSILON = 1.9
 
 #: Components of a turned vector for each of the original one.
-EXPAND = 4
+EXPAND = 8
 
 INDEX = "row long, list int, part int, bits binary, offset float, align float, along float"
-FOUND = "query long, row long, estimate float, high float"
+FOUND = "query long, row long, estimate float"
 
 
 @dataclass
@@ -129,7 +130,7 @@ def _blocks(rows: DataFrame, keys: list[str], size: int, columns: list[str], num
 
 
 def probe(queries: DataFrame, model: Model, probes: int) -> DataFrame:
-    """Each query with the ``probes`` lists whose centroids are nearest."""
+    """Each query (row, embedding, bar) with the ``probes`` lists whose centroids are nearest."""
     shared = queries.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,9 +141,9 @@ def probe(queries: DataFrame, model: Model, probes: int) -> DataFrame:
             near = _unit(np.stack(batch["embedding"].to_numpy())) @ m.centroids.T
             n = min(probes, near.shape[1])
             lists = np.argpartition(-near, n - 1, axis=1)[:, :n]
-            yield pd.DataFrame({"row": np.repeat(batch["row"].to_numpy(), n), "list": lists.ravel().astype("int32"), "embedding": np.repeat(batch["embedding"].to_numpy(), n)})
+            yield pd.DataFrame({"row": np.repeat(batch["row"].to_numpy(), n), "list": lists.ravel().astype("int32"), "embedding": np.repeat(batch["embedding"].to_numpy(), n), "bar": np.repeat(batch["bar"].astype("Float64").to_numpy(), n)})
 
-    return queries.select("row", "embedding").mapInPandas(run, "row long, list int, embedding array<float>")
+    return queries.select("row", "embedding", "bar").mapInPandas(run, "row long, list int, embedding array<float>, bar double")
 
 
 def common_bits(turned: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +163,9 @@ def common_bits(turned: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.n
     return out, step
 
 
-def _scan(model_of, k: int):
+def _scan(model_of, k: int, first: int | None = None):
+    """Rows whose upper bound reaches their query's bar, or each block's ``first`` best estimates."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model = model_of.value
         floor: dict[int, float] = {}  # each query's k-th best lower bound so far in this task
@@ -181,13 +184,20 @@ def _scan(model_of, k: int):
                 rounding = (EPSILON / np.sqrt(12) * step).astype(np.float32)[:, None] * (offset / align)
                 slack = np.linalg.norm(rest, axis=1).astype(np.float32)[:, None] * spread + rounding + np.float32(1e-5)
                 own = q_rows[:, None] == rows
+                if first is not None:
+                    estimate[own] = -np.inf
+                    i = np.repeat(np.arange(len(q)), n := min(first, len(rows)))
+                    j = np.argpartition(-estimate, n - 1, axis=1)[:, :n].ravel()
+                    i, j = i[good := np.isfinite(estimate[i, j])], j[good]
+                    yield pd.DataFrame({"query": q_rows[i], "row": rows[j], "estimate": estimate[i, j]})
+                    continue
                 low = np.where(own, np.float32(-np.inf), estimate - slack)
                 bar = np.partition(low, -k, axis=1)[:, -k] if len(rows) >= k else np.full(len(q), -np.inf)
-                bar = np.maximum(bar, [floor.get(i, -np.inf) for i in q_rows.tolist()])
+                asked = np.array([-np.inf if r["bar"] is None else r["bar"] for r in qs])
+                bar = np.maximum.reduce([bar, asked, [floor.get(i, -np.inf) for i in q_rows.tolist()]])
                 floor.update(zip(q_rows.tolist(), bar.tolist(), strict=True))
-                high = estimate + slack
-                i, j = np.nonzero((high >= bar[:, None]) & ~own)
-                yield pd.DataFrame({"query": q_rows[i], "row": rows[j], "estimate": estimate[i, j], "high": high[i, j]})
+                i, j = np.nonzero((estimate + slack >= bar[:, None]) & ~own)
+                yield pd.DataFrame({"query": q_rows[i], "row": rows[j], "estimate": estimate[i, j]})
 
     return run
 
@@ -204,13 +214,13 @@ def compared(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFr
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 5, lists: int | None = None, probed: float = 0.75, first: int = 50, block: int = 4096, query_block: int = 256
+    vectors: DataFrame, is_query: Column, k: int = 5, lists: int | None = None, probed: float = 0.75, first: int = 20, block: int = 4096, query_block: int = 256
 ) -> DataFrame:
     """The k nearest by cosine of every query row among all other rows:
     query_id, rank, vec_id, score.
 
     ``lists`` defaults to a number that grows with the square root of the rows;
-    each query looks into the share ``probed`` of them. A list's rows are dealt to as
+    each query looks into the share ``probed`` of them, and into a seventh of those first. A list's rows are dealt to as
     many parts as keep the largest possible list at about ``lists`` blocks a part.
     """
     spark = vectors.sparkSession
@@ -230,15 +240,18 @@ def nearest(
     v_parts, q_parts = max(1, n * 8 // (lists * block)), max(1, asked_n * probes // (lists * query_block))
     index = written(build_index(rows, model, v_parts), "codes")
     v = _blocks(index, ["list", "part"], block, ["row", "bits", "offset", "align", "along"], "v")
-    asked = rows.where("asks")
-    near = probe(asked, model, probes).withColumn("q_part", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(q_parts)))
-    q = _blocks(near, ["list", "q_part"], query_block, ["row", "embedding"], "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1))))
-    met = q.join(v, ["list", "part"]).select("list", "q_rows", "v_rows")
-    found = written(met.mapInPandas(_scan(spark.sparkContext.broadcast(model), k), FOUND), "found")
+    shared, asked = spark.sparkContext.broadcast(model), rows.where("asks")
+
+    def scanned(queries: DataFrame, probes: int, first: int | None = None) -> DataFrame:
+        near = probe(queries, model, probes).withColumn("q_part", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(q_parts)))
+        q = _blocks(near, ["list", "q_part"], query_block, ["row", "embedding", "bar"], "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1))))
+        return q.join(v, ["list", "part"]).select("list", "q_rows", "v_rows").mapInPandas(_scan(shared, k, first), FOUND)
+
     best = lambda rows, n, *order: rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= n)
-    tried = written(compared(best(found, first, F.desc("estimate"), "row"), rows, asked), "tried")
-    bars = best(tried, k, F.desc("score"), "vec_id", "row").groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("bar"))
-    left = found.join(bars, "query").where(F.col("bar").isNull() | (F.col("high") >= F.col("bar")))
-    left = left.join(tried.select("query", "row"), ["query", "row"], "left_anti")
-    every = tried.unionByName(compared(left, rows, asked))
+    begun = scanned(asked.withColumn("bar", F.lit(None).cast("double")), -(-probes // 7), first)
+    tried = written(compared(best(begun, first, F.desc("estimate"), "row"), rows, asked), "tried")
+    # a whisker below the exact score, as bounds are single precision
+    bars = best(tried, k, F.desc("score"), "vec_id", "row").groupBy(F.col("query").alias("row")).agg(F.when(F.count(F.lit(1)) == k, F.min("score") - 1e-6).alias("bar"))
+    found = scanned(asked.join(bars, "row", "left"), probes).join(tried.select("query", "row"), ["query", "row"], "left_anti")
+    every = tried.unionByName(compared(found, rows, asked))
     return best(every, k, F.desc("score"), "vec_id", "row").select("query_id", "rank", "vec_id", "score")
