@@ -31,6 +31,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes that a task gathers before it writes a row group.
+ROW_GROUP = 32 << 20
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
@@ -38,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,6 +74,28 @@ class BoundedCache(dict):
             self.left -= self.ENTRY + len(key) + weight
 
 
+#: Most bits (as a power of two) of a filter: 2 ** 20 words, 16 MB, whatever the input.
+FILTER_BITS = 26
+
+
+def parted(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose bigint column ``key`` is surely not in that of ``keys``, and the others, which hold all
+    that are and a few that are not; nothing is shuffled. Null keys are surely not in it.
+
+    The filter that is broadcast has 16 bits for each of ``keys``, FILTER_BITS at most; a full filter
+    calls all rows likely, which costs a shuffle of them and changes no result.
+    """
+    size = 1 << min(FILTER_BITS, max(10, (16 * keys.count()).bit_length()))
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(size))
+    word, bit = f"_w_{uuid.uuid4().hex}", f"_b_{uuid.uuid4().hex}"
+    bit_of = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place(k), F.lit(64)).cast("int"))
+    known = keys.where(F.col(key).isNotNull())
+    bits = known.select(F.floor(place(key) / 64).cast("int").alias(word), bit_of(key).alias(bit)).groupBy(word).agg(F.bit_or(bit).alias(bit))
+    met = rows.join(F.broadcast(bits), F.when(F.col(key).isNotNull(), F.floor(place(key) / 64).cast("int")) == F.col(word), "left")
+    held = F.coalesce(F.col(bit).bitwiseAND(bit_of(key)) != 0, F.lit(False))
+    return met.where(~held).drop(word, bit), met.where(held).drop(word, bit)
+
+
 def crc32_mod(col: Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
 

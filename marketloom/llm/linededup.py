@@ -5,19 +5,21 @@ Everything here is built from DataFrame functions.
 Every run of ``WINDOW_LINES`` lines that holds something but white space is a chunk; chunks
 overlap, so no boundary has to be found and a passage's chunks are the same wherever it
 stands. They are counted by (64-bit hash, length). Only chunks counted twice or more are
-looked at again: their bytes are compared within each hash group, and the lines of all but the
+looked at again: they are grouped by their bytes, and the lines of all but the
 first occurrence (smallest id, then text hash, then line) are removed. A passage of two
 lines or more that occurred before is covered by such chunks from its first line to its last.
 A removed line's text stays where it occurred first.
 
-Plan: a narrow pass counts hashes; one shuffle of the documents brings each its list of
-repeated chunks; the repeated chunks' bytes are compared by a map-side-combined minimum and
-maximum; only documents with such chunks are shuffled a second time to be cut.
+Plan: a narrow pass counts hashes; documents with repeated chunks are found by a bit
+filter and shuffled once to get the list of these; the chunks' bytes are grouped with their
+first places map-side; documents that lose lines are shuffled a second time to be cut. All
+others stay where they are.
 
 Defined results: a null text stays null. Rows with the same id and text are one document
-twice and are cut alike. Different chunks under one hash and length, which the
-comparison finds, all stay. Other columns are carried through; ``n_chars``, if present, is set
-anew. Null ids are smaller than all others.
+twice and are cut alike. Different chunks under one hash and length are told apart. Other
+columns are carried through, whatever their names; ``n_chars``, if present, is set anew, and a
+column ``removed_lines`` is replaced. Null ids are smaller than all others. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import parted, written
 
 WINDOW_LINES = 2
 
@@ -37,6 +39,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def chunk_hash(body: Column) -> Column:
+    return F.xxhash64(body)
+
+
 def _chunks(lines: Column) -> Column:
     """Structs (first, n, hash, length) of the runs of WINDOW_LINES lines of an array of lines."""
 
@@ -46,7 +52,7 @@ def _chunks(lines: Column) -> Column:
         spans = F.transform(firsts, lambda i: F.struct(i.alias("first"), F.lit(WINDOW_LINES).alias("n")))
         full = F.transform(
             spans,
-            lambda s: let(body_of(lines, s), lambda b: F.struct(s["first"].alias("first"), s["n"].alias("n"), F.xxhash64(b).alias("hash"), F.octet_length(b).alias("length"), F.rlike(b, F.lit(r"\S")).alias("some"))),
+            lambda s: let(body_of(lines, s), lambda b: F.struct(s["first"].alias("first"), s["n"].alias("n"), chunk_hash(b).alias("hash"), F.octet_length(b).alias("length"), F.rlike(b, F.lit(r"\S")).alias("some"))),
         )
         return F.transform(F.filter(full, lambda c: c["some"]), lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), c["hash"].alias("hash"), c["length"].alias("length")))
 
@@ -62,10 +68,11 @@ def split_lines(text: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, _th (text hash) and ``_found``: the chunks whose hash and length occur twice or more."""
-    chunks = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.explode(_chunks(split_lines(F.col("text")))).alias("c")).select("doc_id", "_th", "c.*")
-    again = chunks.groupBy("hash", "length").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash", "length")
-    return chunks.join(again, ["hash", "length"]).groupBy("doc_id", "_th").agg(F.collect_list(F.struct("first", "n", "hash", "length")).alias("_found"))
+    """doc_id, th (text hash) and ``found``: the chunks whose hash and length occur twice or more."""
+    chunks = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(_chunks(split_lines(F.col("text")))).alias("c")).select("doc_id", "th", "c.*")
+    # written, so that the join below has plain exchanges, whose large partitions are split
+    again = written(chunks.groupBy("hash", "length").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash", "length"), "repeated")
+    return chunks.join(again, ["hash", "length"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "n", "hash", "length")).alias("found"))
 
 
 def _covered(gone: Column) -> Column:
@@ -83,30 +90,52 @@ def _cut(text: Column, gone: Column) -> Column:
     return let(split_lines(text), of)
 
 
+def _with(rows: DataFrame, found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, node, ...) surely without a row of ``found`` (doc_id, th, name), and the others
+    with its column ``name``, null where there is none; only the latter are shuffled."""
+    right = found.select(F.xxhash64("doc_id", "th").alias("node"), F.col("doc_id").alias("_id"), F.col("th").alias("_th"), name)
+    clear, likely = parted(rows, right, "node")
+    right = right.drop("node")
+    return clear, likely.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").drop("_id", "_th")
+
+
+def _keepers(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks of equal bytes by (hash, length) with the place of their first: those whose hash and
+    length no other bytes have, and the others, with their bytes."""
+    groups = bodies.groupBy("hash", "length", "body").agg(F.min("place").alias("keeper"))
+    seen = groups.groupBy("hash", "length").agg(F.count(F.lit(1)).alias("k"), F.min("keeper").alias("keeper"))
+    several = seen.where("k > 1").select("hash", "length")
+    return written(seen.where("k = 1").select("hash", "length", "keeper"), "keepers"), written(groups.join(several, ["hash", "length"]), "keepers")
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any others) without repeated chunks, plus
-    ``removed_lines`` long, the number of lines taken out."""
-    columns = docs.columns
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    found = repeated_chunks(docs).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_th2"), "_found")
-    met = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_th2")), "left").drop("_id", "_th2")
-    met = written(met, "line-chunks")
-    cut = met.where(F.col("_found").isNotNull())
-
-    place = F.struct("doc_id", "_th", F.col("c.first").alias("first"))
-    bodies = cut.select("doc_id", "_th", F.explode(let(split_lines(F.col("text")), lambda lines: F.transform("_found", lambda c: F.struct(c["hash"].alias("hash"), c["length"].alias("length"), c["first"].alias("first"), body_of(lines, c).alias("body"))))).alias("c"))
-    groups = bodies.groupBy("c.hash", "c.length").agg(F.min("c.body").alias("least"), F.max("c.body").alias("most"), F.min(place).alias("keeper"))
-    alike = groups.where(F.col("least") == F.col("most")).select("hash", "length", "keeper")
-
-    spans = cut.select("doc_id", "_th", F.explode("_found").alias("c")).select("doc_id", "_th", "c.*")
-    place = F.struct("doc_id", "_th", "first")
-    gone = spans.join(alike, ["hash", "length"]).where(~place.eqNullSafe(F.col("keeper")))
-    gone = gone.groupBy("doc_id", "_th").agg(F.collect_set(F.struct("first", "n")).alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_th2"), "_gone")
-
-    joined = cut.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_th2")), "left")
-    text = F.when(F.col("_gone").isNotNull(), _cut(F.col("text"), F.col("_gone"))).otherwise(F.col("text"))
-    n_gone = F.when(F.col("_gone").isNotNull(), F.size(_covered(F.col("_gone")))).otherwise(0).cast("long")
-    changed = joined.withColumns({"text": text, "removed_lines": n_gone}).select(*columns, "removed_lines")
-    same = met.where(F.col("_found").isNull()).select(*columns, F.lit(0).cast("long").alias("removed_lines"))
-    out = same.unionByName(changed)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in columns else out
+    ``removed_lines`` long, the number of lines taken out, in place of a column of that name."""
+    columns = [c for c in docs.columns if c != "removed_lines"]
+    # the input's columns travel in one struct, so that none can clash with those made here
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    rows = rows.withColumn("node", F.xxhash64("doc_id", "th"))
+    found = written(repeated_chunks(docs.select("doc_id", "text")), "chunks")
+    clear, likely = _with(rows, found, "found")
+    met = written(likely, "line-chunks")
+
+    text = F.col("row.text")
+    body = F.transform("found", lambda c: F.struct(F.struct("doc_id", "th", c["first"].alias("first")).alias("place"), c["n"].alias("n"), c["hash"].alias("hash"), c["length"].alias("length")))
+    spans = met.select(F.explode(body).alias("c")).select("c.*")
+    bodies = met.where(F.col("found").isNotNull()).select(
+        F.explode(let(split_lines(text), lambda lines: F.transform("found", lambda c: F.struct(F.struct("doc_id", "th", c["first"].alias("first")).alias("place"), c["n"].alias("n"), c["hash"].alias("hash"), c["length"].alias("length"), body_of(lines, c).alias("body"))))).alias("c")
+    ).select("c.*")
+    single, several = _keepers(bodies)
+    gone = spans.join(single, ["hash", "length"]).where(~F.col("place").eqNullSafe(F.col("keeper"))).select("place", "n")
+    more = bodies.join(several, ["hash", "length", "body"]).where(~F.col("place").eqNullSafe(F.col("keeper"))).select("place", "n")
+    gone = gone.unionByName(more).groupBy("place.doc_id", "place.th").agg(F.collect_set(F.struct("place.first", "n")).alias("gone"))
+    whole, likely = _with(met.drop("found"), written(gone, "gone"), "gone")
+
+    def out(rows: DataFrame, text: Column, removed: Column) -> DataFrame:
+        new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+        return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns), removed.cast("long").alias("removed_lines"))
+
+    gone = F.col("gone")
+    cut = F.when(gone.isNotNull(), _cut(text, gone)).otherwise(text)
+    same = out(clear.select("row").unionByName(whole.select("row")), text, F.lit(0))
+    return same.unionByName(out(likely, cut, F.when(gone.isNotNull(), F.size(_covered(gone))).otherwise(0)))

@@ -68,3 +68,19 @@ def test_short_passages_go_whole(spark):
     _, got = run(spark, rows)
     assert {r.doc_id: r.text for r in got} == own
     assert all(r.removed_lines == (2 + r.doc_id // 2 % 6 if r.doc_id % 2 else 0) for r in got)
+
+
+def test_columns_that_clash_and_hashes_that_collide(spark, monkeypatch):
+    names = ["_id", "_th", "th", "found", "_found", "gone", "_gone", "row", "node", "removed_lines", "place", "c.d"]
+    rows = [(1, "a b\nc d\nx"), (2, "q\na b\nc d"), (3, "own\nline"), (None, "a b\nc d"), (3, "own\nline")]
+    frame = spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    want = {(1, "x", 2), (2, "q", 2), (3, "own\nline", 0), (None, "a b\nc d", 0)}
+    got = linededup.dedup_lines(frame)
+    assert sorted(got.columns) == sorted(frame.columns)
+    for r in (found := got.collect()):
+        assert [r[n] for n in names if n != "removed_lines"] == [k for k, n in enumerate(names) if n != "removed_lines"]
+    assert len(found) == 5 and {(r.doc_id, r.text, r.removed_lines) for r in found} == want
+    # with one hash for all, bytes alone tell chunks apart
+    plain = frame.select("doc_id", "text")
+    monkeypatch.setattr(linededup, "chunk_hash", lambda body: linededup.F.lit(7).cast("long"))
+    assert {(r.doc_id, r.text, r.removed_lines) for r in linededup.dedup_lines(plain).collect()} == want
