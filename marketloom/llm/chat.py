@@ -96,9 +96,7 @@ def visit(parts: Column) -> tuple[Column, Column]:
         ),
         lambda acc: acc["body"],
     )
-    # most turns are one text, which needs no fold
-    one = (F.size(some) == 1) & ~_is_attachment(F.get(some, F.lit(0)))
-    return F.when(one, escape(F.coalesce(F.get(some, F.lit(0))["text"], F.lit("")))).otherwise(folded), attachments
+    return folded, attachments
 
 
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -58,6 +59,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """A worker process's one large object between tasks: another key's is let go first."""
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Frees what earlier tasks of this process have left, for operators that keep nothing."""
+    if _held:
+        _held.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # gives freed memory back, where the C library can
+        if trim:
+            trim(0)
+
+
 class BoundedCache(dict):
     """A dictionary of strings or bytes that takes nothing more at about ``size`` bytes, and no key of ``longest`` or more."""
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches
+from .common import bounded_batches, let_go
 
 WINDOW, HIDDEN, CHUNK = 64, 8, 2048
 
@@ -215,6 +215,7 @@ def verdicts(spark: SparkSession, model: Model | None) -> Callable[[Column], Col
         ]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        let_go()
         model = shared.value
         for batch in batches:
             found: list[tuple[str, float]] = []

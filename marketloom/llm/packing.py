@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import BoundedCache, bounded_batches, written
+from .common import BoundedCache, bounded_batches, held, written
 
 PIECES = T.StructType(
     [
@@ -43,8 +43,9 @@ PIECES = T.StructType(
 PLACED = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
 #: Bytes of the words that a worker process keeps.
-CACHE_BYTES = 64 << 20
-_caches: dict[str, "WordCache"] = {}
+CACHE_BYTES = 48 << 20
+#: Pieces of one length that share a salt: so many, or this share of all pieces if that is more.
+SALTED, SALTS = 1024, 4096
 
 
 class WordCache:
@@ -91,13 +92,6 @@ class WordCache:
         return b"".join(parts)
 
 
-def _cache(path: str) -> WordCache:
-    if path not in _caches:
-        _caches.clear()
-        _caches[path] = WordCache(path)
-    return _caches[path]
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 1) -> DataFrame:
     """One row per piece of every document: doc_id, piece, start, length, ids_crc32.
 
@@ -107,7 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, end, step = _cache(tokenizer_path), end_id.to_bytes(4, "little"), 4 * capacity
+        cache, end, step = held((WordCache, tokenizer_path), lambda: WordCache(tokenizer_path)), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -218,29 +212,32 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 6)
 
 
-def place(pieces: DataFrame, capacity: int, salts: int = 64) -> DataFrame:
+def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """Gives every piece (doc_id, piece, start, length, ids_crc32) a sequence_id and
-    an offset. ``pieces`` is read twice and should be a written table.
+    an offset. ``pieces`` is read three times and should be a written table.
 
     A piece's rank among its like is the number of like pieces in lower salts plus
-    its place in its own salt, so that a length shared by a third of all
-    pieces is still dealt to ``salts`` partitions. Repeated rows get ranks of their
+    its place in its own salt. A length gets as many salts as keep each to SALTED pieces, or to
+    one in SALTS of all pieces if that is more, so that a length shared by a third of all
+    pieces is dealt to many partitions. Repeated rows get ranks of their
     own. An empty input gives an empty result.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    # at most capacity rows
+    totals = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    each = max(SALTED, sum(totals.values()) // SALTS)
+    salts = {n: -(-k // each) for n, k in totals.items()}
+    several = spark.createDataFrame([(n, k) for n, k in salts.items() if k > 1], "_length long, _salts int")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted = pieces.join(F.broadcast(several), F.col("length") == F.col("_length"), "left").withColumn("_salt", salt).drop("_length", "_salts")
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
-    # at most capacity * salts rows, whatever the input
-    known = sorted((r["length"], r["_salt"], r["n"]) for r in counts.toLocalIterator())
-    totals: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for length, salt, n in known:
-        before[length, salt] = totals.get(length, 0)
-        totals[length] = totals.get(length, 0) + n
+    # at most capacity + SALTS rows
+    before = dict.fromkeys(totals, 0)
+    base = np.zeros((capacity + 1, max(salts.values(), default=1)), dtype=np.int64)
+    for length, k, n in sorted((r["length"], r["_salt"], r["n"]) for r in counts.collect()):
+        base[length, k] = before[length]
+        before[length] += n
     runs = plan(totals, capacity)
-    base = np.zeros((capacity + 1, salts), dtype=np.int64)
-    for (length, salt), n in before.items():
-        base[length, salt] = n
     shared = spark.sparkContext.broadcast((runs, base))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

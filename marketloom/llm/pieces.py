@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import bounded_batches, held
 
 SPACE = "▁"
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
@@ -46,9 +46,6 @@ SHORT, NEVER = 40, 1 << 40
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
-_loaded: dict[tuple, "PieceCoder"] = {}
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _B
     x = (x ^ (x >> np.uint64(27))) * _C
@@ -205,10 +202,7 @@ class PieceCoder:
 
 
 def coder(*key) -> PieceCoder:
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = PieceCoder(*key)
-    return _loaded[key]
+    return held((PieceCoder, *key), lambda: PieceCoder(*key))
 
 
 def encode(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0, variants: int | None = None) -> DataFrame:

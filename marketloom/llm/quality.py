@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, written
+from .common import bounded_batches, let_go, written
 
 #: Relative width of a bucket.
 ACCURACY = 0.02
@@ -84,6 +84,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """The counts of every text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             counts = pd.DataFrame([measure(t or "") for t in batch["text"]], columns=["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"], dtype="int64")
             out = batch[["doc_id", "lang", "source"]].reset_index(drop=True)

@@ -40,6 +40,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "n_attachment_tokens",
     )
 
 
@@ -59,7 +61,8 @@ SELECT conv_id,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text_out)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text_out) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<|turn|>') + length(role_out) + length('<|sep|>') + length(text_out) + length('<|end|>')) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<|turn|>') + length(role_out) + length('<|sep|>') + length(text_out) + length('<|end|>')) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS n_attachment_tokens -- every turn is one text part
 FROM marked GROUP BY conv_id
 """
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, bounded_batches, sampled
+from .common import BoundedCache, bounded_batches, let_go, sampled
 
 BITS = 20
 SENTENCE = re.compile(r"[.?!\n]+")
@@ -175,6 +175,7 @@ def scores(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     bounded_batches(spark)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        let_go()
         scorer = Scorer(shared.value)
         for batch in batches:
             out = pd.DataFrame([scorer.document(t or "") for t in batch], columns=["score", "sentence", "sentence_score"])
@@ -195,6 +196,7 @@ def offending(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         scorer = Scorer(shared.value)
         for batch in batches:
             rows = []
