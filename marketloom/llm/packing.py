@@ -45,7 +45,7 @@ PLACED = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()
 #: Bytes of the words that a worker process keeps.
 CACHE_BYTES = 48 << 20
 #: Pieces of one length that share a salt: so many, or this share of all pieces if that is more.
-SALTED, SALTS = 1024, 4096
+SALTED, SALTS = 512, 4096
 
 
 class WordCache:
