@@ -39,7 +39,8 @@ def with_distribution_flag(bars: DataFrame) -> DataFrame:
 
 
 def drawdown_percent(n: int = 250) -> Column:
-    return (F.col("close") / F.max("close").over(frame(n)) - 1) * 100
+    """Percent below the highest close of the last n bars; 0 where that is 0."""
+    return F.coalesce((F.try_divide("close", F.max("close").over(frame(n))) - 1) * 100, F.lit(0.0))
 
 
 def percentile_rank(value: str, *by: str) -> Column:
@@ -72,18 +73,19 @@ def swings(bars: DataFrame, k: int = 3) -> DataFrame:
 
 
 def relative_strength(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Ratio of closes on shared dates, each rebased to its first shared date's close."""
+    """Ratio of closes on shared dates, each rebased to its first shared date's close; 0 where a base is 0."""
     joined = a.select("ticker", "date", "close").join(b.select("date", F.col("close").alias("base")), "date")
     first = lambda c: F.first(c).over(over().rowsBetween(Window.unboundedPreceding, 0))
-    return joined.select("ticker", "date", (F.col("close") / first("close") / (F.col("base") / first("base"))).alias("rs"))
+    rebased = lambda c: F.try_divide(c, first(c))
+    return joined.select("ticker", "date", F.coalesce(F.try_divide(rebased("close"), rebased("base")), F.lit(0.0)).alias("rs"))
 
 
 def relative_strength_by_position(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Parity mode: bars zipped by position from the oldest, ratio of closes."""
+    """Parity mode: bars zipped by position from the oldest, ratio of closes; 0 where the base is 0."""
     at = F.row_number().over(over())
     left = a.select("ticker", "date", "close", at.alias("k"))
     right = b.withColumn("ticker", F.lit("base")).select(F.row_number().over(over()).alias("k"), F.col("close").alias("base"))
-    return left.join(right, "k").select("ticker", "date", F.try_divide("close", "base").alias("ratio"))
+    return left.join(right, "k").select("ticker", "date", F.coalesce(F.try_divide("close", "base"), F.lit(0.0)).alias("ratio"))
 
 
 def breadth(bars: DataFrame, n: int) -> Column:

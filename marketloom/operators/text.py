@@ -31,18 +31,31 @@ def braced_json(text: Column) -> Column:
 
 
 def table_rows(text: Column) -> Column:
-    """Rows of the first markdown table as maps from header to trimmed cell."""
+    """Rows of the first markdown table as maps from header to trimmed cell; of equal headers the first counts."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s.startswith("|") & s.endswith("|"))
     cells = F.transform(lines, lambda s: F.transform(F.split(F.substring(s, F.lit(2), F.length(s) - 2), r"\|"), lambda c: F.trim(F.regexp_replace(F.trim(c), r"[*|]+$", ""))))
     head = F.transform(F.get(cells, F.lit(0)), lambda c: F.lower(c))
     body = F.filter(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))), lambda r: ~F.forall(r, lambda c: F.rlike(c, F.lit(r"^:?-+:?$"))))
-    return F.transform(F.filter(body, lambda r: F.size(r) == F.size(head)), lambda r: F.map_from_arrays(head, r))
+    own = lambda r: F.transform(head, lambda h, i: F.struct(h.alias("h"), r[i].alias("cell"), (F.array_position(head, h) == i + 1).alias("first")))
+    entry = lambda r: F.transform(F.filter(own(r), lambda e: e["first"]), lambda e: F.struct(e["h"].alias("key"), e["cell"].alias("value")))
+    return F.transform(F.filter(body, lambda r: F.size(r) == F.size(head)), lambda r: F.map_from_entries(entry(r)))
 
 
 def anonymous_name(n: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA."""
-    letter = lambda x: F.char(x + 65)
-    return F.when(n < 26, letter(n)).otherwise(F.concat(letter((F.floor(n / 26) - 1).cast("int")), letter(n % 26)))
+    """0 -> A, 25 -> Z, 26 -> AA, 701 -> ZZ, 702 -> AAA, for any bigint from 0 on."""
+    n, out, before = n.cast("long"), F.lit(None).cast("string"), 0
+    for length in range(1, 15):  # no bigint needs more letters
+        digit = lambda k, rest=n - before: F.char((F.call_function("div", rest, F.lit(26**k)) % 26 + 65).cast("long"))
+        out = F.when(n >= before, F.concat(*(digit(k) for k in reversed(range(length))))).otherwise(out)
+        before += 26**length
+    return out
+
+
+def put_back(text: Column, names: Column) -> Column:
+    """``text`` with aliases replaced, ``names`` being an array of structs (alias, name): longest alias
+    first, so that AA is not read as A twice; aliases count as whole words."""
+    ordered = F.array_sort(names, lambda a, b: F.when(F.length(a["alias"]) != F.length(b["alias"]), F.length(b["alias"]) - F.length(a["alias"])).otherwise(F.when(a["alias"] < b["alias"], -1).when(a["alias"] > b["alias"], 1).otherwise(0)))
+    return F.aggregate(ordered, text, lambda s, x: F.regexp_replace(s, F.concat(F.lit(r"\b"), x["alias"], F.lit(r"\b")), x["name"]))
 
 
 def version_hash(prefix: str, *parts: Column) -> Column:

@@ -115,7 +115,7 @@ def e13_swing_points(spark: SparkSession, d: str) -> DataFrame:
 def e10_rate_of_change(spark: SparkSession, d: str) -> DataFrame:
     b = src.benchmark(spark, d).withColumn("ticker", F.lit("SPY"))
     p = F.lag("close").over(src.over())
-    return b.withColumn("p", p).where("p is not null").select("date", ((F.col("close") - F.col("p")) / F.col("p") * 100).alias("change_pct"))
+    return b.withColumn("p", p).where("p is not null").select("date", F.coalesce(F.try_divide(F.col("close") - F.col("p"), F.col("p")) * 100, F.lit(0.0)).alias("change_pct"))
 
 
 @register(with_(BARS) + """, v AS (SELECT date, close, lag(close, 5) OVER w AS c5, lag(close, 10) OVER w AS c10, lag(close, 20) OVER w AS c20 FROM spy WINDOW w AS (ORDER BY date))
@@ -124,7 +124,7 @@ SELECT round(avg(CASE WHEN close > c5 THEN 1.0 WHEN c5 IS NOT NULL THEN 0.0 END)
 def l20_index_base_rates(spark: SparkSession, d: str) -> DataFrame:
     b, out = src.benchmark(spark, d).withColumn("ticker", F.lit("SPY")), []
     for n in (5, 10, 20):
-        b = b.withColumn(f"r{n}", F.col("close") / F.lag("close", n).over(src.over()) - 1)
+        b = b.withColumn(f"r{n}", F.try_divide("close", F.lag("close", n).over(src.over())) - 1)
         out.append(F.round(F.avg(F.when(F.col(f"r{n}") > 0, 1.0).when(F.col(f"r{n}").isNotNull(), 0.0)), 6).alias(f"win_{n}"))
         out.append(F.round(F.percentile(f"r{n}", F.lit(0.5)), 6).alias(f"median_{n}"))
     return b.agg(*out)
@@ -241,28 +241,6 @@ def c6_lateral_avg_volume(spark: SparkSession, d: str) -> DataFrame:
     return last.groupBy("ticker").agg(F.round(F.avg("volume")).cast("long").alias("avg_volume"), F.count(F.lit(1)).alias("n")).where("n >= 5").drop("n")
 
 
-@register(with_(BARS) + """SELECT s.date, s.close, c.date AS as_of, c.close AS bar_close FROM spy s ASOF LEFT JOIN (SELECT * FROM candles WHERE ticker = 'T1') c ON s.date >= c.date""")
-def c7_asof_join(spark: SparkSession, d: str) -> DataFrame:
-    """Newest bar of one ticker at or before each index date: union, then the last known bar."""
-    bar = src.candles(spark, d).where("ticker = 'T1'")
-    both = src.benchmark(spark, d).select("date", "close", F.lit(None).cast("struct<as_of:date,bar_close:double>").alias("bar")).unionByName(
-        bar.select("date", F.lit(None).cast("double").alias("close"), F.struct(F.col("date").alias("as_of"), F.col("close").alias("bar_close")).alias("bar"))
-    )
-    both = both.withColumn("ticker", F.lit("T1"))
-    w = src.over("date", F.col("bar").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("last", F.last("bar", ignorenulls=True).over(w)).where(F.col("close").isNotNull())
-    return found.select("date", "close", F.col("last.as_of").alias("as_of"), F.col("last.bar_close").alias("bar_close"))
-
-
-@register(with_(BARS) + """, o AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM candles WHERE date >= DATE '2001-06-01')
-SELECT a.ticker, a.date AS older, b.date AS newer, CAST(b.n - a.n AS BIGINT) AS sessions FROM o a JOIN o b ON a.ticker = b.ticker AND a.date < b.date WHERE b.n - a.n <= 3""")
-def c5_theta_days_between(spark: SparkSession, d: str) -> DataFrame:
-    """Older and newer bars of a ticker within three sessions: ordinals make it an equi-join."""
-    o = src.candles(spark, d).where("date >= '2001-06-01'").select("ticker", "date", ind.ordinal().alias("n"))
-    older = o.select("ticker", F.col("date").alias("older"), F.explode(F.sequence(F.col("n") + 1, F.col("n") + 3)).alias("n"), F.col("n").alias("m"))
-    return older.join(o.withColumnRenamed("date", "newer"), ["ticker", "n"]).select("ticker", "older", "newer", (F.col("n") - F.col("m")).cast("long").alias("sessions"))
-
-
 @register(with_(BARS) + """, x AS (SELECT t.ticker, s.date, s.close FROM (SELECT DISTINCT ticker FROM candles) t CROSS JOIN spy s)
 SELECT x.ticker, x.date, x.close, c.date AS as_of, c.close AS bar_close FROM x ASOF LEFT JOIN candles c ON x.ticker = c.ticker AND x.date >= c.date""")
 def c7_asof_join_all(spark: SparkSession, d: str) -> DataFrame:
@@ -285,9 +263,16 @@ def c5_theta_days_between_all(spark: SparkSession, d: str) -> DataFrame:
     return older.join(o.withColumnRenamed("date", "newer"), ["ticker", "n"]).select("ticker", "older", "newer", (F.col("n") - F.col("m")).cast("long").alias("sessions"))
 
 
+# the shorter names that these queries had when they covered one ticker and the last months
+for _name in ("c5_theta_days_between", "c7_asof_join"):
+    QUERIES[_name], ORACLES[_name] = QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"]
+
+
 @register(with_(BARS) + "SELECT date, close FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS k FROM spy) WHERE k = 250")
 def f3_offset(spark: SparkSession, d: str) -> DataFrame:
-    return src.benchmark(spark, d).select("date", "close").orderBy(F.desc("date")).limit(250).orderBy("date").limit(1)
+    """The 250th latest index date; nothing where there are fewer. At most 250 rows are numbered."""
+    last = src.benchmark(spark, d).select("date", "close").orderBy(F.desc("date")).limit(250)
+    return last.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("date")))).where("k = 250").drop("k")
 
 
 @register(with_(BARS) + "SELECT ticker, count(*) AS bars, min(date) AS first_date, max(date) AS last_date FROM candles GROUP BY ticker")

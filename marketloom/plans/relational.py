@@ -162,14 +162,19 @@ def h18_version_hash(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", text.version_hash("v7", F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))).alias("version"))
 
 
-@register("""SELECT s_suppkey, CASE WHEN n < 26 THEN chr(CAST(65 + n AS INT)) ELSE chr(CAST(64 + n // 26 AS INT)) || chr(CAST(65 + n % 26 AS INT)) END AS alias FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS n FROM supplier WHERE s_suppkey < 700) WHERE n < 700""")
+@register("""WITH RECURSIVE n AS (SELECT s_suppkey, s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS left_over FROM supplier),
+ l AS (SELECT s_suppkey, s_name, left_over, '' AS alias FROM n UNION ALL SELECT s_suppkey, s_name, (left_over - 1) // 26, chr(CAST(65 + (left_over - 1) % 26 AS INT)) || alias FROM l WHERE left_over > 0)
+SELECT s_suppkey, alias, 'buy ' || s_name || '.' AS restored FROM l WHERE left_over = 0""")
 def h29_anonymous_names(spark: SparkSession, d: str) -> DataFrame:
-    """A report's few hundred names get letters in key order."""
+    """Each nation's suppliers get letters in key order; a text that uses them is turned back."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy(F.lit(0)).orderBy("s_suppkey")
-    s = t(spark, d, "supplier").where("s_suppkey < 700").select("s_suppkey", (F.row_number().over(w) - 1).alias("n")).where("n < 700")
-    return s.select("s_suppkey", text.anonymous_name(F.col("n")).alias("alias"))
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = t(spark, d, "supplier").select("s_suppkey", "s_name", text.anonymous_name(F.row_number().over(w) - 1).alias("alias"))
+    # a longer alias, which is not in the text, is tried before its own
+    names = F.array(F.struct("alias", F.col("s_name").alias("name")), F.struct(F.concat("alias", F.lit("A")).alias("alias"), F.lit("another").alias("name")))
+    said = F.concat(F.lit("buy "), F.col("alias"), F.lit("."))
+    return s.select("s_suppkey", "alias", text.put_back(said, names).alias("restored"))
 
 
 @register("""WITH m AS (SELECT doc_id, '| Ticker | Price |\n|---|---|\n| D' || doc_id || ' | $' || n_chars || ' |' AS body, n_chars FROM documents) SELECT doc_id, 'D' || doc_id AS ticker, CAST(n_chars AS DOUBLE) AS price FROM m""")

@@ -151,7 +151,7 @@ def l16_l17_pivot_levels(spark: SparkSession, d: str) -> DataFrame:
     bars = src.candles(spark, d)
     pivot = ind.swings(bars).where("swing_high").groupBy("ticker").agg(F.max_by("high", "date").alias("pivot_high"))
     rows = ind.last_bars(bars).join(pivot, "ticker")
-    pct = (F.col("close") / F.col("pivot_high") - 1) * 100
+    pct = (F.try_divide("close", "pivot_high") - 1) * 100
     return rows.select("ticker", "pivot_high", F.round(pct, 6).alias("pct_from_pivot"), (F.col("pivot_high") * 1.05).alias("t1"), (F.col("pivot_high") * 0.95).alias("stop"), (F.abs(pct) <= 15).alias("near"))
 
 
@@ -159,7 +159,7 @@ def l16_l17_pivot_levels(spark: SparkSession, d: str) -> DataFrame:
 SELECT ticker, top, bottom, round(1 - bottom / top, 6) AS depth, 1 - bottom / top <= 0.2 AS flat_base, 1 - bottom / top BETWEEN 0.08 AND 0.5 AS cup_depth FROM f""")
 def l17_base_shape(spark: SparkSession, d: str) -> DataFrame:
     f = ind.last_bars(src.candles(spark, d), 25).groupBy("ticker").agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
-    depth = 1 - F.col("bottom") / F.col("top")
+    depth = 1 - F.try_divide("bottom", "top")
     return f.select("ticker", "top", "bottom", F.round(depth, 6).alias("depth"), (depth <= 0.2).alias("flat_base"), depth.between(0.08, 0.5).alias("cup_depth"))
 
 

@@ -191,3 +191,21 @@ def test_smoothing_as_a_stream_resumes(spark, tmp_path):
     run()
     write([("s", DAY + dt.timedelta(days=2), 0.2), ("s", DAY + dt.timedelta(days=3), 0.4)])
     assert values(run(), "smoothed") == pytest.approx([0.8, 0.7, 0.2, 0.3])
+
+
+def test_zero_prices_do_not_stop_a_job(spark):
+    rows = [("A", dt.date(2024, 1, k), 0.0) for k in (1, 2)] + [("A", dt.date(2024, 1, 3), 5.0)]
+    a = spark.createDataFrame(rows, "ticker string, date date, close double")
+    base = spark.createDataFrame([(d, c) for _, d, c in rows], "date date, close double")
+    assert [r.d for r in a.withColumn("d", indicators.drawdown_percent()).orderBy("date").collect()] == [0, 0, 0]
+    assert [r.rs for r in indicators.relative_strength(a, base).collect()] == [0, 0, 0]
+    assert sorted(r.ratio for r in indicators.relative_strength_by_position(a, base).collect()) == [0, 0, 1]
+
+
+def test_equal_headers_and_long_names(spark):
+    table = spark.createDataFrame([("| T | T | P |\n|---|---|---|\n| X | Y | 5 |",)], "s string").select(text.table_rows(F.col("s")).alias("t")).first().t
+    assert table == [{"t": "X", "p": "5"}]
+    names = spark.createDataFrame([(0,), (25,), (26,), (701,), (702,), (18277,), (18278,), (2**62,)], "n long").select(text.anonymous_name(F.col("n")).alias("v")).collect()
+    assert [r.v for r in names[:7]] == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA"] and len(names[7].v) == 14
+    back = spark.sql("select array(named_struct('alias', 'A', 'name', 'one'), named_struct('alias', 'AA', 'name', 'two')) as m").select(text.put_back(F.lit("A, AA; B AAA"), F.col("m")).alias("s"))
+    assert back.first().s == "one, two; B AAA"
