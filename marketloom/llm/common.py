@@ -19,10 +19,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is used.
+    Only in a local session without the setting (tests, a laptop) a temporary folder is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-marketloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

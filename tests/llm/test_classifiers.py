@@ -122,3 +122,39 @@ def test_language_held_out_accuracy_and_edge_cases(spark):
     assert by[1000] == by[1001] == by[1002] == "und" and by[None] == "bb" and by[1003] == "cc"
     nothing = langid.train(docs(spark, []))
     assert nothing is None and {r.lang_pred for r in langid.predict(frame, nothing).collect()} == {"und"}
+
+
+def test_noisy_or_against_brute_force():
+    rng = random.Random(6)
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS, dtype=np.float32), -2.0)
+    vocabulary = [f"w{i}" for i in range(30)] + ["#", "Long-word", "(Long-word)"]
+    for w in vocabulary:
+        for i in toxicity.word_features(w):
+            model.weights[i] = rng.random() * 2
+    scorer = toxicity.Scorer(model)
+    for text in ["", " . ", "#", "w1 w1 w2. w3\n\nw4", *(". ".join(" ".join(rng.choices(vocabulary, k=5)) for _ in range(rng.randrange(1, 6))) for _ in range(50)), "w1 " * 50_000 + ". w2"]:
+        clean, parts = 1.0, []
+        for sentence in toxicity.SENTENCE.split(text):
+            if words := set(sentence.split()):
+                parts.append(1 / (1 + np.exp(-(sum(float(model.weights[i]) for w in words for i in toxicity.word_features(w)) - 2.0))))
+                clean *= 1 - parts[-1]
+        score, at, strongest = scorer.document(text)
+        assert abs(score - (1 - clean)) < 1e-5
+        assert (at, strongest) == (None, None) if not parts else abs(strongest - max(parts)) < 1e-5 and abs(parts[at] - max(parts)) < 1e-5
+
+
+def test_forward_pass_against_a_plain_network():
+    rng, h = np.random.default_rng(2), langid.HIDDEN
+    model = langid.Model(["a", "b"], rng.standard_normal((512, 3 * h)), rng.standard_normal((2, h, 3 * h)), rng.standard_normal((2, h, 2)), rng.standard_normal(2))
+    x = rng.integers(0, 256, (3, 9))
+    sigmoid = lambda v: 1 / (1 + np.exp(-2 * v))  # noqa: E731  the gates' weights are halved
+    want = np.zeros((9, 2, 3, h))
+    for b in range(3):
+        for direction in (0, 1):
+            state = np.zeros(h)
+            for t in range(9) if direction == 0 else reversed(range(9)):
+                into, back = model.inputs[256 * direction + x[b, t]], state @ model.recurrent[direction]
+                z, r = sigmoid(into[:h] + back[:h]), sigmoid(into[h : 2 * h] + back[h : 2 * h])
+                state = (1 - z) * np.tanh(into[2 * h :] + r * back[2 * h :]) + z * state
+                want[t, direction, b] = state
+    assert np.abs(langid.forward(model, x) - want).max() < 1e-4
