@@ -17,7 +17,7 @@ TIERS = [
     ("ep_tier2", 2.0, 2_000_000.0, 100.0, 40.0),
     ("default", 0.0, 0.0, 75.0, 30.0),
 ]
-HORIZONS = (1, 5, 10, 20)
+HORIZONS = (1, 2, 3, 4, 5, 10, 20)
 
 
 def forward_paths(bars: DataFrame, signals: DataFrame, n: int = 20, span_days: int = 50) -> DataFrame:
@@ -144,3 +144,14 @@ def phrase_5d(r: Column) -> Column:
         F.when(r.isNull(), "First week: still open.").when(pct >= 5, say("First week: exceptional, +%.1f%%.")).when(pct >= 3, say("First week: strong, +%.1f%%."))
         .when(pct >= 0, say("First week: up %.1f%%.")).when(pct >= -3, say("First week: normal pullback, %.1f%%.")).otherwise(say("First week: down, %.1f%%."))
     )
+
+
+def phrases() -> list[Column]:
+    """Lines of text about an outcome: two_weeks, whole, best, worst and tracked; empty where there is nothing to say."""
+    r10, r20, up, down, days = (F.col(c) for c in ("return_10d", "return_20d", "max_runup", "max_drawdown", "evaluated_days"))
+    say = lambda form, r: F.format_string(form, r * 100)
+    either = lambda name, r: F.when(r.isNull(), "").when(r >= 0, say(f"{name}: up %.1f%%.", r)).otherwise(say(f"{name}: down %.1f%%.", r))
+    best = F.when(up * 100 >= 10, say("Best: outstanding, +%.1f%%.", up)).when(up * 100 >= 5, say("Best: +%.1f%% before a pullback.", up)).when(up >= 0, say("Best: +%.1f%%.", up)).otherwise("")
+    worst = F.when(down.isNull(), "").when(down * 100 >= -2, say("Worst: minimal, %.1f%%.", down)).when(down * 100 >= -5, say("Worst: controlled, %.1f%%.", down)).otherwise(say("Worst: %.1f%%.", down))
+    tracked = F.when(days >= 20, "Fully tracked.").when(days >= 10, F.format_string("%d days, extended window.", days)).otherwise(F.format_string("%d days, in progress.", days))
+    return [either("Two weeks", r10).alias("two_weeks"), either("Whole period", r20).alias("whole"), best.alias("best"), worst.alias("worst"), tracked.alias("tracked")]

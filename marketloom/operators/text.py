@@ -62,6 +62,34 @@ def version_hash(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.concat_ws("", *parts), 256), 1, 8))
 
 
+def fnv_id(s: Column) -> Column:
+    """FNV-1a of 64 bits over an ASCII text, without the sign bit.
+
+    The state is kept as two halves of 32 bits, so that no product overflows: the prime is 2^40 + 435.
+    """
+    low32 = F.lit(0xFFFFFFFF)
+    shift = lambda c, n: F.call_function("shiftleft" if n > 0 else "shiftright", c, F.lit(abs(n)))
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+
+    def step(h: Column, c: Column) -> Column:
+        lo = h["lo"].bitwiseXOR(F.ascii(c).cast("long"))
+        carry = shift(lo * 435, -32)
+        hi = (h["hi"] * 435 + carry + shift(lo.bitwiseAND(F.lit(0xFFFFFF)), 8)).bitwiseAND(low32)
+        return F.struct(hi.alias("hi"), (lo * 435).bitwiseAND(low32).alias("lo"))
+
+    return F.aggregate(F.split(s, ""), start, step, lambda h: shift(h["hi"].bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(h["lo"]))
+
+
+def pattern_label(base: Column) -> Column:
+    """The name shown for a base type; the type itself where it is of no known kind."""
+    kind = F.lower(base)
+    has = lambda *words: F.rlike(kind, F.lit("|".join(words)))
+    return (
+        F.when(has("vcp", "contraction", "volatility"), "VCP (Volatility Contraction)").when(has("cup"), "Cup with Handle")
+        .when(has("tight"), "Tight Base").when(has("flat"), "Flat Base").otherwise(base)
+    )
+
+
 def shortened_size(text: Column) -> Column:
     """Size guidance cut to seven tenths: numbers scaled and rounded, words stepped down."""
     scaled = lambda g: F.round(F.regexp_extract(text, r"(\d+(?:\.\d+)?)(?:\s*-\s*(\d+(?:\.\d+)?))?\s*%", g).try_cast("double") * 0.7, 1)

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..operators import indicators as ind
-from ..operators import market
+from ..operators import market, vectors
 from ..sources import market as src
 from ..sources import sinks
 from ..streaming import events as ev
 from .lists import exits, rank_lists, scored_lists
 from .lists import _TRADES as TRADES
-from .sql import BARS, LISTS, OUTCOMES, SNAPS, with_
+from .sql import BARS, LISTS, NEAREST, OUTCOMES, SNAPS, with_
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -131,15 +131,11 @@ def l14_c11_attribution(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*keys, "recommended", "return_5d", only("exit_type"), only("actual_rr"))
 
 
-@register("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 1), m AS (SELECT vec_id, label, embedding FROM embeddings WHERE label IN (1, 3, 5) AND vec_id <> 1), c AS (
- SELECT vec_id, label, round(1 - list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[])))), 6) AS distance FROM m, q)
-SELECT vec_id, label, distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS k FROM c) WHERE k <= 3""")
+@register(NEAREST + "SELECT query_id, vec_id, label, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) AS k FROM m) WHERE k <= 3")
 def l15_b19_memory_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest stored vectors of each wanted label to one query vector."""
+    """The three nearest stored vectors of each label to each query vector."""
     e = src.table(spark, d, "embeddings")
-    q = e.where("vec_id = 1").select(F.col("embedding").alias("q"))  # one row
-    rows = e.where("label in (1, 3, 5) and vec_id <> 1").join(F.broadcast(q)).select("vec_id", "label", F.round(fn.cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
-    return market.top_per(rows, 3, [F.asc("distance"), F.asc("vec_id")], "label").select("vec_id", "label", "distance")
+    return vectors.nearest(e.where("vec_id % 50 = 0"), e.where("label is not null"), 3, "label").select("query_id", "vec_id", "label", "distance")
 
 
 @register(with_(BARS) + """, s AS (SELECT *, max(high) OVER b AS hb, max(high) OVER a AS ha, count(*) OVER b AS nb, count(*) OVER a AS na, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM candles

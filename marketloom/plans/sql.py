@@ -73,5 +73,11 @@ paths AS (
 )"""
 
 
+#: Every query vector against every other labelled one.
+NEAREST = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM v),
+m AS (SELECT q.vec_id AS query_id, r.vec_id, r.label, round(1 - list_dot_product(q.e, r.e) / (q.size * r.size), 6) AS distance FROM n q JOIN n r ON r.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0 AND r.label IS NOT NULL AND q.size * r.size > 0)
+"""
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ", ".join(p.strip() for p in parts) + "\n"

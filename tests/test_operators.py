@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import columns as fn
-from marketloom.operators import evaluation, indicators, market, outcomes, text
+from marketloom.operators import evaluation, indicators, market, outcomes, text, vectors
 from marketloom.plans.relational import memory_status
 from marketloom.sources import market as src
 from marketloom.sources import sinks
@@ -209,3 +209,39 @@ def test_equal_headers_and_long_names(spark):
     assert [r.v for r in names[:7]] == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ", "AAAA"] and len(names[7].v) == 14
     back = spark.sql("select array(named_struct('alias', 'A', 'name', 'one'), named_struct('alias', 'AA', 'name', 'two')) as m").select(text.put_back(F.lit("A, AA; B AAA"), F.col("m")).alias("s"))
     assert back.first().s == "one, two; B AAA"
+
+
+def test_labels_ids_and_phrases(spark):
+    df = spark.createDataFrame([("Deep VCP",), ("Cup",), ("flat_base",), ("TIGHT",), ("other",), ("",), (None,)], "s string")
+    assert [r[0] for r in df.select(text.pattern_label(F.col("s"))).collect()] == ["VCP (Volatility Contraction)", "Cup with Handle", "Flat Base", "Tight Base", "other", "", None]
+
+    def fnv(s):
+        h = 0xCBF29CE484222325
+        for b in s.encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h % 2**63
+
+    names = ["a", "ABC_2024-01-02", "T999_1999-12-31"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "s string").select(text.fnv_id(F.col("s"))).collect()]
+    assert got == [fnv(n) for n in names] and got[0] == 0xAF63DC4C8601EC8C % 2**63
+    rows = spark.createDataFrame([(0.021, -0.04, 0.12, -0.01, 20), (None, None, 0.06, -0.04, 12), (-0.1, 0.0, -0.01, None, 3)], "return_10d double, return_20d double, max_runup double, max_drawdown double, evaluated_days int")
+    assert [tuple(r) for r in rows.select(*outcomes.phrases()).collect()] == [
+        ("Two weeks: up 2.1%.", "Whole period: down -4.0%.", "Best: outstanding, +12.0%.", "Worst: minimal, -1.0%.", "Fully tracked."),
+        ("", "", "Best: +6.0% before a pullback.", "Worst: controlled, -4.0%.", "12 days, extended window."),
+        ("Two weeks: down -10.0%.", "Whole period: up 0.0%.", "", "", "3 days, in progress."),
+    ]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Several blocks give what comparing every pair gives; vectors without a direction take no part."""
+    import random
+
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    rng = random.Random(5)
+    data = [(i, [rng.gauss(0, 1) for _ in range(4)], i % 3) for i in range(40)] + [(40, [0.0] * 4, 0), (41, None, 1), (42, [1.0, None, 0.0, 0.0], 2)]
+    e = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
+    want = {(q, c, i) for q in range(0, 40, 5) for c in range(3) for _, i in sorted((round(1 - cos(data[q][1], v), 6), i) for i, v, k in data[:40] if i != q and k == c)[:2]}
+    got = vectors.nearest(e.where("vec_id % 5 = 0"), e, 2, "label").collect()
+    assert {(r.query_id, r.label, r.vec_id) for r in got} == want
+    assert vectors.nearest(e.where("vec_id < 0"), e, 2).count() == 0

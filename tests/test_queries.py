@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from marketloom.plans import indicators, lists, relational, reports
+from marketloom.plans import indicators, lists, records, relational, reports
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = indicators.QUERIES | lists.QUERIES | relational.QUERIES | reports.QUERIES
-ORACLES = indicators.ORACLES | lists.ORACLES | relational.ORACLES | reports.ORACLES
+QUERIES = indicators.QUERIES | lists.QUERIES | records.QUERIES | relational.QUERIES | reports.QUERIES
+ORACLES = indicators.ORACLES | lists.ORACLES | records.ORACLES | relational.ORACLES | reports.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 
