@@ -71,8 +71,10 @@ class PieceCoder:
         for b, i in enumerate(self.byte_ids):
             self.plain[i] = bytes([b])
         self.limit, self.seed, self.variants = int(rate * 2**32), seed, variants
-        #: by unit: [its candidates that may still be skipped, ids (none if there are more than DRAWN), nodes by the next one skipped]
+        self.packed = {p.piece: array("I", [i]).tobytes() for i, p in enumerate(pieces) if p.type == NORMAL}
+        #: nodes by unit, and the units that have occurred once
         self.kept: dict[str, list] = {}
+        self.met: set[str] = set()
         self.nodes = 0
 
     def variant(self, doc_id: int | None) -> int:
@@ -89,26 +91,24 @@ class PieceCoder:
         step = np.arange(1, candidates // 2 + 1, dtype=np.uint64) * _A
         return _mixed(unit[:, None] + step[None, :]).view(np.uint32) <= np.uint32(self.limit - 1)
 
-    def _merged_short(self, parts: list[str], skipped: set[int]) -> tuple[list[str], int]:
-        """The parts and the number of candidates. For short units the agenda is a list of ranks beside the parts."""
-        rank_of, n = self.rank_of.get, -1
+    def _merged_short(self, parts: list[str], skipped: int) -> tuple[list[str], int]:
+        """The parts and the number of candidates. For short units the agenda is a list of ranks beside the parts;
+        a bit of ``skipped`` stands for a candidate."""
+        rank_of, n = self.rank_of.get, 0
         agenda = [rank_of(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
-        while agenda:
-            rank = min(agenda)
-            if rank == NEVER:
-                break
+        while agenda and (rank := min(agenda)) != NEVER:
             i = agenda.index(rank)
-            n += 1
-            if n in skipped:
+            if skipped >> n & 1:
                 agenda[i] = NEVER
-                continue
-            parts[i] += parts[i + 1]
-            del parts[i + 1], agenda[i]
-            if i:
-                agenda[i - 1] = rank_of(parts[i - 1] + parts[i], NEVER)
-            if i < len(agenda):
-                agenda[i] = rank_of(parts[i] + parts[i + 1], NEVER)
-        return parts, n + 1
+            else:
+                part = parts[i] = parts[i] + parts.pop(i + 1)
+                del agenda[i]
+                if i:
+                    agenda[i - 1] = rank_of(parts[i - 1] + part, NEVER)
+                if i < len(agenda):
+                    agenda[i] = rank_of(part + parts[i + 1], NEVER)
+            n += 1
+        return parts, n
 
     def _merged_long(self, parts: list[str], skipped: set[int]) -> tuple[list[str], int]:
         """The same with a heap and linked neighbours."""
@@ -138,60 +138,80 @@ class PieceCoder:
                 add(before[i], i)
         return [p for p in parts if p], candidate + 1
 
-    def _segmented(self, text: str, skipped: set[int]) -> tuple[int, bytes]:
-        """The number of candidates of one unit, and its ids as unsigned 32-bit integers."""
+    def _segmented(self, text: str, skipped: int) -> tuple[int, bytes]:
+        """The number of candidates of one unit, and its ids as unsigned 32-bit integers; a bit of ``skipped``
+        stands for a candidate."""
         if SPACE in text:  # the character itself has no piece
             parts = ["\0" + c if c == SPACE else SPACE if c == " " else c for c in text]
         else:
             parts = list(text.replace(" ", SPACE))
-        out = array("I")
-        parts, n = self._merged_short(parts, skipped) if len(parts) <= SHORT else self._merged_long(parts, skipped)
-        for part in parts:
-            rank = self.rank_of.get(part)
-            if rank is not None:
-                out.append(self.id_of[rank])
-            else:
-                out.extend(self.byte_ids[b] for b in part[-1:].encode())
-        return n, out.tobytes()
+        if len(parts) <= SHORT:
+            parts, n = self._merged_short(parts, skipped)
+        else:
+            parts, n = self._merged_long(parts, {k for k, bit in enumerate(reversed(f"{skipped:b}")) if bit == "1"})
+        known = self.packed.get
+        return n, b"".join([known(part) or self._as_bytes(part) for part in parts])
+
+    def _as_bytes(self, part: str) -> bytes:
+        """The byte pieces of a character without a piece of its own."""
+        return array("I", (self.byte_ids[b] for b in part[-1:].encode())).tobytes()
 
     def unit(self, text: str, variant: int, at: int = 0) -> bytes:
         """The ids of the unit at this place; each merge makes two candidates at most."""
         most = -(-max(3 * len(text), DRAWN) // 2) * 2
-        return self._segmented(text, set(np.flatnonzero(self._skips(variant, at, 1, most)[0]).tolist()))[1]
+        row = np.packbits(self._skips(variant, at, 1, most)[0], bitorder="little")
+        return self._segmented(text, int.from_bytes(row.tobytes(), "little"))[1]
 
     def _node(self, text: str, skipped: int) -> list:
-        n, data = self._segmented(text, {k for k in range(DRAWN) if skipped >> k & 1})
-        return [((1 << n) - 1) >> skipped.bit_length() << skipped.bit_length(), data if n <= DRAWN else None, None]
+        """[candidates that may be skipped next, ids, nodes by the next one skipped]; with more candidates than
+        are drawn there are no ids, and every bit is set."""
+        n, data = self._segmented(text, skipped)
+        if n > DRAWN:
+            return [-1, None, None]
+        return [((1 << n) - 1) >> skipped.bit_length() << skipped.bit_length(), data, None]
+
+    def _at_once(self, text: str, mask: int) -> bytes | None:
+        n, data = self._segmented(text, mask)
+        return data if n <= DRAWN else None
 
     def _found(self, text: str, mask: int) -> bytes | None:
         """The ids of a unit whose candidates in ``mask`` are skipped; none if it has more than are drawn."""
         node = self.kept.get(text)
         if node is None:
-            node = self._node(text, 0)
-            if self.nodes < CACHE_UNITS and len(text) < 64:
-                self.kept[text], self.nodes = node, self.nodes + 1
+            if self.nodes >= CACHE_UNITS or len(text) >= 64:
+                return self._at_once(text, mask)
+            if text not in self.met:  # kept from its second occurrence on
+                if len(self.met) >= CACHE_UNITS:
+                    self.met.clear()
+                self.met.add(text)
+                return self._at_once(text, mask)
+            self.met.discard(text)
+            node = self.kept[text] = self._node(text, 0)
+            self.nodes += 1
         skipped = 0
         while node[1] is not None and (hit := mask & node[0]):
             low = hit & -hit
             skipped |= low
             after = node[2].get(low) if node[2] else None
             if after is None:
+                if self.nodes >= CACHE_UNITS:
+                    return self._at_once(text, mask)
                 after = self._node(text, skipped)
-                if self.nodes < CACHE_UNITS and len(text) < 64:
-                    if node[2] is None:
-                        node[2] = {}
-                    node[2][low], self.nodes = after, self.nodes + 1
+                if node[2] is None:
+                    node[2] = {}
+                node[2][low], self.nodes = after, self.nodes + 1
             node = after
         return node[1]
 
     def encode(self, text: str, variant: int = 0) -> array:
         units, kept, parts = UNIT.findall(" " + text) if text else [], self.kept.get, []
+        found = self._found
         for first in range(0, len(units), BATCH):
             some = units[first : first + BATCH]
             masks = np.packbits(self._skips(variant, first, len(some), DRAWN), axis=1, bitorder="little").view("<u4").ravel().tolist()
             for at, (unit, mask) in enumerate(zip(some, masks, strict=True), first):
                 node = kept(unit)
-                data = self._found(unit, mask) if node is None or node[1] is None or mask & node[0] else node[1]
+                data = found(unit, mask) if node is None or mask & node[0] else node[1]
                 parts.append(self.unit(unit, variant, at) if data is None else data)
         out = array("I")
         out.frombytes(b"".join(parts))
