@@ -10,8 +10,8 @@ agenda is skipped when a hash keyed by seed, document id, the unit's place in th
 candidate's number falls under the rate, so that a seed fixes the segmentation, other
 seeds vary it, and so does each occurrence of a unit.
 
-What is kept by unit does not depend on those keys: the segmentation for each set of skipped
-candidates, reached from one skip to the next, beginning with none.
+What is kept by unit does not depend on those keys: its segmentation without skips and the number of
+its candidates. Units with a skipped candidate are merged each for itself, many at a time.
 Characters without a piece, and the character U+2581 itself, become byte pieces: decoding
 gives every text back exactly.
 
@@ -26,7 +26,7 @@ import heapq
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,11 +38,14 @@ SPACE = "▁"
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Segmentations that are kept, at most.
 CACHE_UNITS = 500_000
-#: Candidates of a unit that are drawn at once, and units.
-DRAWN, BATCH = 32, 4096
+#: Candidates of a unit that are drawn at once, and units; units that are worked on together, about.
+DRAWN, BATCH, TOGETHER = 32, 4096, 100_000
 NORMAL = 1
 #: Units of up to so many characters are merged in a list, longer ones with a heap.
 SHORT, NEVER = 40, 1 << 40
+#: No union, in arrays; units of up to the second number of characters share arrays.
+NONE = 1 << 30
+WIDTHS = ((0, 6), (6, 9), (9, 14), (14, SHORT))
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -72,10 +75,20 @@ class PieceCoder:
             self.plain[i] = bytes([b])
         self.limit, self.seed, self.variants = int(rate * 2**32), seed, variants
         self.packed = {p.piece: array("I", [i]).tobytes() for i, p in enumerate(pieces) if p.type == NORMAL}
-        #: nodes by unit, and the units that have occurred once
-        self.kept: dict[str, list] = {}
+        #: by symbol (a piece's place in the order, from 1 on; 0 is none): its id; by code point: the symbol; by two symbols: their union
+        self.id_at = np.array([0, *order], np.uint32)
+        self.symbol = np.zeros(0x110000, np.int32)
+        for piece, rank in self.rank_of.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = rank + 1
+        self.symbol[ord(" ")], self.symbol[ord(SPACE)] = self.symbol[ord(SPACE)], 0
+        place = self.rank_of.get
+        cuts = ((place(p[:k]), place(p[k:]), rank) for p, rank in self.rank_of.items() for k in range(1, len(p)))
+        union = sorted((a + 1 << 32 | b + 1, rank) for a, b, rank in cuts if a is not None and b is not None)
+        self.pairs, self.union = np.array([k for k, _ in union], np.int64), np.array([r for _, r in union], np.int32)
+        #: by unit: the candidates that it has when none is skipped, as bits, and its ids then; and the units that have occurred in one slice
+        self.kept: dict[str, tuple[int, bytes]] = {}
         self.met: set[str] = set()
-        self.nodes = 0
 
     def variant(self, doc_id: int | None) -> int:
         if self.variants is None:
@@ -162,60 +175,119 @@ class PieceCoder:
         row = np.packbits(self._skips(variant, at, 1, most)[0], bitorder="little")
         return self._segmented(text, int.from_bytes(row.tobytes(), "little"))[1]
 
-    def _node(self, text: str, skipped: int) -> list:
-        """[candidates that may be skipped next, ids, nodes by the next one skipped]; with more candidates than
-        are drawn there are no ids, and every bit is set."""
-        n, data = self._segmented(text, skipped)
-        if n > DRAWN:
-            return [-1, None, None]
-        return [((1 << n) - 1) >> skipped.bit_length() << skipped.bit_length(), data, None]
-
-    def _at_once(self, text: str, mask: int) -> bytes | None:
-        n, data = self._segmented(text, mask)
-        return data if n <= DRAWN else None
-
-    def _found(self, text: str, mask: int) -> bytes | None:
-        """The ids of a unit whose candidates in ``mask`` are skipped; none if it has more than are drawn."""
-        node = self.kept.get(text)
-        if node is None:
-            if self.nodes >= CACHE_UNITS or len(text) >= 64:
-                return self._at_once(text, mask)
-            if text not in self.met:  # kept from its second occurrence on
-                if len(self.met) >= CACHE_UNITS:
-                    self.met.clear()
-                self.met.add(text)
-                return self._at_once(text, mask)
-            self.met.discard(text)
-            node = self.kept[text] = self._node(text, 0)
-            self.nodes += 1
-        skipped = 0
-        while node[1] is not None and (hit := mask & node[0]):
-            low = hit & -hit
-            skipped |= low
-            after = node[2].get(low) if node[2] else None
-            if after is None:
-                if self.nodes >= CACHE_UNITS:
-                    return self._at_once(text, mask)
-                after = self._node(text, skipped)
-                if node[2] is None:
-                    node[2] = {}
-                node[2][low], self.nodes = after, self.nodes + 1
-            node = after
-        return node[1]
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place in the order of merging of each union of two symbols, NONE where it is no piece."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.union[at], NONE)
+
+    def _segment_all(self, texts: list[str], masks: list[int]) -> list[tuple[int, bytes]]:
+        """What _segmented gives for each unit; those of known characters go in steps through arrays."""
+        if len(texts) > TOGETHER:  # of one very long text
+            return [x for k in range(0, len(texts), TOGETHER) for x in self._segment_all(texts[k : k + TOGETHER], masks[k : k + TOGETHER])]
+        out: list[tuple[int, bytes]] = [(0, b"")] * len(texts)
+        if not texts:
+            return out
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        start = np.cumsum(size) - size
+        flat = self.symbol[np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")]
+        plain = (np.minimum.reduceat(flat, start) > 0) & (size <= SHORT)
+        drawn = np.array(masks, np.int64)
+        for low, high in WIDTHS:
+            some = np.flatnonzero(plain & (size > low) & (size <= high))
+            if some.size:
+                self._steps(flat, start[some], size[some], drawn[some], high, some, out)
+        for k in np.flatnonzero(~plain).tolist():
+            out[k] = self._segmented(texts[k], masks[k])
+        return out
+
+    def _steps(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, drawn: np.ndarray, width: int, place: np.ndarray, out: list) -> None:
+        """One unit a row; in each step every row takes its next candidate off its agenda."""
+        column = np.arange(width + 1)
+        symbol = np.where(column < size[:, None], flat[np.minimum(start[:, None] + column, flat.size - 1)], 0)
+        agenda = np.full(symbol.shape, NONE, np.int32)
+        agenda[:, :-1] = self._ranks(symbol[:, :-1], symbol[:, 1:])
+        step = 0
+        while True:
+            i = agenda.argmin(1)
+            rank = agenda[np.arange(len(i)), i]
+            ended = rank == NONE
+            if ended.any():
+                ids = self.id_at[symbol[ended]][column < size[ended][:, None]].tobytes()
+                end = (np.cumsum(size[ended]) * 4).tolist()
+                for k, a, b in zip(place[ended].tolist(), [0, *end], end, strict=False):
+                    out[k] = step, ids[a:b]
+                on = ~ended
+                symbol, agenda, size, drawn, place, i, rank = symbol[on], agenda[on], size[on], drawn[on], place[on], i[on], rank[on]
+            if not place.size:
+                return
+            skip = (drawn >> step & 1).astype(bool) if step < DRAWN else np.zeros(place.size, bool)
+            agenda[np.flatnonzero(skip), i[skip]] = NONE
+            merge = np.flatnonzero(~skip)
+            at, row = i[merge], np.arange(merge.size)
+            source = np.minimum(column + (column > at[:, None]), width)
+            left, waiting = np.take_along_axis(symbol[merge], source, 1), np.take_along_axis(agenda[merge], source, 1)
+            left[row, at] = rank[merge] + 1
+            waiting[row, at] = self._ranks(left[row, at], left[row, at + 1])
+            inner = np.flatnonzero(at)
+            before = at[inner] - 1
+            waiting[inner, before] = self._ranks(left[inner, before], left[inner, before + 1])
+            symbol[merge], agenda[merge] = left, waiting
+            size[merge] -= 1
+            step += 1
+
+    def _encoded(self, units: list[str], masks: list[int], docs: list[tuple[int, int]]) -> Iterator[array]:
+        """The ids of each document, given as (number of units, variant)."""
+        kept = self.kept
+        data: list[bytes | None] = [None] * len(units)
+        find, to_do = kept.get, []
+        for k, (unit, mask) in enumerate(zip(units, masks, strict=True)):
+            node = find(unit)
+            if node is None or mask & node[0]:
+                to_do.append(k)
+            else:
+                data[k] = node[1]
+        texts = [units[k] for k in to_do]
+        new = {u for u in texts if len(u) < 64 and u not in kept}
+        fresh = list(new & self.met)[: max(0, CACHE_UNITS - len(kept))]  # kept from the second slice on in which they occur
+        if len(self.met) > CACHE_UNITS:
+            self.met.clear()
+        self.met |= new
+        self.met.difference_update(fresh)
+        found = self._segment_all(texts + fresh, [masks[k] for k in to_do] + [0] * len(fresh))
+        for k, (n, ids) in zip(to_do, found, strict=False):
+            if n <= DRAWN:
+                data[k] = ids
+        for unit, (n, ids) in zip(fresh, found[len(to_do) :], strict=True):
+            if n <= DRAWN:
+                kept[unit] = (1 << n) - 1, ids
+        first = 0
+        for count, variant in docs:
+            parts = data[first : first + count]
+            if None in parts:  # units with more candidates than are drawn at once
+                parts = [self.unit(units[first + at], variant, at) if p is None else p for at, p in enumerate(parts)]
+            out = array("I")
+            out.frombytes(b"".join(parts))
+            yield out
+            first += count
+
+    def encode_all(self, texts: Iterable[str], variants: Iterable[int]) -> Iterator[array]:
+        """The ids of each text, in order; units of several texts are worked on together."""
+        units, masks, docs = [], [], []
+        for text, variant in zip(texts, variants, strict=True):
+            own = UNIT.findall(" " + text) if text else []
+            for first in range(0, len(own), BATCH):
+                drawn = self._skips(variant, first, min(BATCH, len(own) - first), DRAWN)
+                masks += np.packbits(drawn, axis=1, bitorder="little").view("<u4").ravel().tolist()
+            units += own
+            docs.append((len(own), variant))
+            if len(units) >= TOGETHER:
+                yield from self._encoded(units, masks, docs)
+                units, masks, docs = [], [], []
+        yield from self._encoded(units, masks, docs)
 
     def encode(self, text: str, variant: int = 0) -> array:
-        units, kept, parts = UNIT.findall(" " + text) if text else [], self.kept.get, []
-        found = self._found
-        for first in range(0, len(units), BATCH):
-            some = units[first : first + BATCH]
-            masks = np.packbits(self._skips(variant, first, len(some), DRAWN), axis=1, bitorder="little").view("<u4").ravel().tolist()
-            for at, (unit, mask) in enumerate(zip(some, masks, strict=True), first):
-                node = kept(unit)
-                data = found(unit, mask) if node is None or mask & node[0] else node[1]
-                parts.append(self.unit(unit, variant, at) if data is None else data)
-        out = array("I")
-        out.frombytes(b"".join(parts))
-        return out
+        return next(self.encode_all([text], [variant]))
 
     def decode(self, ids) -> str:
         return b"".join(map(self.plain.__getitem__, ids))[1:].decode()
@@ -233,7 +305,7 @@ def encode(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0, variant
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                ids = [list(c.encode(t or "", c.variant(_whole(i)))) for i, t in zip(part["doc_id"], part["text"], strict=True)]
+                ids = [list(x) for x in c.encode_all((t or "" for t in part["text"]), (c.variant(_whole(i)) for i in part["doc_id"]))]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object), "ids": ids})
 
     bounded_batches(docs.sparkSession)
@@ -261,8 +333,8 @@ def digests(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0, varian
         c = coder(path, rate, seed, variants)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = c.encode(text or "", c.variant(_whole(doc_id)))
+            encoded = c.encode_all((t or "" for t in batch["text"]), (c.variant(_whole(i)) for i in batch["doc_id"]))
+            for doc_id, text, ids in zip(batch["doc_id"], batch["text"], encoded, strict=True):
                 back = c.decode(ids)
                 rows.append((doc_id, len(ids), zlib.crc32(ids.tobytes()), len(back), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
             out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_crc32", "decoded_chars", "decoded_sha256", "lossless"])

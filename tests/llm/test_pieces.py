@@ -30,6 +30,20 @@ def test_both_agendas_agree(monkeypatch):
     assert short == [coder.unit(u, v) for u in units for v in (0, 1)]
 
 
+def test_arrays_as_single_units(monkeypatch):
+    coder, rng = pieces.PieceCoder(PATH, 0.25, 4), random.Random(18)
+    units = [u for _ in range(400) for u in pieces.UNIT.findall(" " + random_text(rng))] + ["internationalisation", "  ▁ab", " aaaaaaaaaa", " " + "ab" * 40, "国", "\n", " "]
+    masks = [rng.getrandbits(32) & rng.getrandbits(32) if rng.random() < 0.7 else 0 for _ in units]
+    want = [coder._segmented(u, m) for u, m in zip(units, masks, strict=True)]
+    assert coder._segment_all(units, masks) == want and coder._segment_all([], []) == []
+    monkeypatch.setattr(pieces, "TOGETHER", 50)
+    assert coder._segment_all(units, masks) == want
+    # texts worked on together, in slices of any size, give what each gives alone
+    texts = [random_text(rng) * 5 for _ in range(80)] + TEXTS
+    together = list(pieces.PieceCoder(PATH, 0.25, 4).encode_all(texts * 2, range(2 * len(texts))))
+    assert together == [coder.encode(t, v) for v, t in enumerate(texts * 2)]
+
+
 def test_dropout_varies_by_seed_and_decodes_losslessly():
     rng = random.Random(6)
     a, b, same = (pieces.PieceCoder(PATH, 0.3, seed, 3) for seed in (1, 2, 1))
