@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, langid, linededup, packing, pieces, quality, toxicity, warc
+from . import ann, chat, jaccard, langid, linededup, packing, pieces, quality, simhash, toxicity, warc
 from .common import Query, crc32_mod, table
 
 
@@ -119,6 +119,12 @@ SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_di
 FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
 """
 
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_one_bit_neighbours": op2_one_bit_neighbours,
@@ -130,6 +136,7 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_pieces": op9_pieces,
     "op10_warc": op10_warc,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLES: dict[str, str] = {
