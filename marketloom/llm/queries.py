@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, langid, linededup, packing, pieces, quality, simhash, toxicity, warc
+from . import ann, chat, divergence, jaccard, langid, linededup, packing, pieces, quality, simhash, toxicity, warc
 from .common import Query, crc32_mod, table
 
 
@@ -120,6 +120,43 @@ FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
 """
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), occ AS (SELECT rid, lang, source, unnest(words) AS term FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM occ GROUP BY ALL),
+keep AS (SELECT lang, term, count(*) AS common FROM occ GROUP BY ALL HAVING count(DISTINCT rid) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(common) AS total FROM keep GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+full_counts AS (
+  SELECT g.lang, g.source, k.term, k.common, coalesce(c.n, 0) AS n
+  FROM groups g JOIN keep k USING (lang) LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS gn FROM full_counts),
+p AS (
+  SELECT s.lang, s.source, s.term, s.n,
+    CAST(1 + (1000000000::HUGEINT * (s.n + 5)) // (s.gn + 5 * l.v) AS BIGINT) AS p,
+    CAST(1 + (1000000000::HUGEINT * (s.common + 5)) // (l.total + 5 * l.v) AS BIGINT) AS q
+  FROM sums s JOIN langs l USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
@@ -136,10 +173,12 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_pieces": op9_pieces,
     "op10_warc": op10_warc,
+    "op11_divergence": op11_divergence,
     "op13_simhash": op13_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_formatting": OP3_SQL,
     "op10_warc": OP10_SQL,
+    "op11_divergence": OP11_SQL,
 }
