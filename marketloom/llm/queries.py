@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, divergence, jaccard, langid, linededup, packing, pieces, quality, simhash, toxicity, warc
+from . import ann, chat, covertree, divergence, jaccard, langid, linededup, packing, pieces, quality, simhash, toxicity, warc
 from .common import Query, crc32_mod, table
 
 
@@ -157,6 +157,35 @@ SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranke
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    point = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    usable = rows.where(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
+    return covertree.mine(usable.select("vec_id", label.alias("label"), point.alias("point")), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.rid, a.vec_id AS anchor_id, a.label = b.label AS same, b.rid AS other, b.vec_id, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, other) <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.rid, p.other ORDER BY s.score DESC, s.vec_id, s.other) AS rank
+  FROM p JOIN s ON p.rid = s.rid AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
@@ -174,6 +203,7 @@ QUERIES: dict[str, Query] = {
     "op9_pieces": op9_pieces,
     "op10_warc": op10_warc,
     "op11_divergence": op11_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_simhash": op13_simhash,
 }
 
@@ -181,4 +211,5 @@ ORACLES: dict[str, str] = {
     "op3_chat_formatting": OP3_SQL,
     "op10_warc": OP10_SQL,
     "op11_divergence": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
