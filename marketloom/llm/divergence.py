@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,7 +39,7 @@ from pyspark.sql.window import Window
 from .common import bounded_batches, let_go, written
 
 #: Terms that a task counts before it hands its counts on.
-HELD_TERMS = 200_000
+HELD_TERMS = 400_000
 #: Rows of skybands that a task holds before it hands them on.
 HELD_ROWS = 200_000
 
@@ -54,29 +55,35 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences) and docs (documents with it) by group; a row with a null
     term for each group, also one without terms."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         counts: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
 
-        def out() -> Iterator[pd.DataFrame]:
+        def out() -> pa.RecordBatch:
+            columns: list[list[pa.Array]] = [[], [], [], [], []]
             for (lang, source), (n, found) in counts.items():
-                names = [None, *(t.decode() for t in n)]
-                yield pd.DataFrame({"lang": lang, "source": source, "term": names, "n": [0, *n.values()], "docs": [0, *(found[t] for t in n)]})
+                size = len(n) + 1
+                names = pa.array([None, *n], pa.binary()).cast(pa.string())
+                parts = (pa.repeat(lang, size), pa.repeat(source, size), names, pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(found.__getitem__, n)], pa.int64()))
+                for column, part in zip(columns, parts, strict=True):
+                    column.append(part)
             counts.clear()
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
+            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                 n, found = counts[lang, source]
                 words = terms(text)
                 n.update(words)
                 found.update(set(words))
             if sum(len(n) + 1 for n, _ in counts.values()) > HELD_TERMS:
-                yield from out()
-        yield from out()
+                yield out()
+        if counts:
+            yield out()
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    found = rows.mapInPandas(run, "lang string, source string, term string, n long, docs long")
+    found = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
