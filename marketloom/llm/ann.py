@@ -129,8 +129,12 @@ def _blocks(rows: DataFrame, keys: list[str], size: int, columns: list[str], num
     return cut.groupBy(*keys, number).agg(F.collect_list(F.struct(*columns)).alias(f"{number}_rows"))
 
 
-def probe(queries: DataFrame, model: Model, probes: int) -> DataFrame:
-    """Each query (row, embedding, bar) with the ``probes`` lists whose centroids are nearest."""
+def probe(queries: DataFrame, model: Model, probes: int, sizes: np.ndarray, k: int) -> DataFrame:
+    """Each query (row, embedding, bar) with the ``probes`` lists whose centroids are nearest, and with as many
+    further ones, nearest first, as it takes to hold ``k`` other rows (all, if there are fewer).
+
+    ``sizes`` are the lists' numbers of rows.
+    """
     shared = queries.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,9 +143,12 @@ def probe(queries: DataFrame, model: Model, probes: int) -> DataFrame:
             if batch.empty:
                 continue
             near = _unit(np.stack(batch["embedding"].to_numpy())) @ m.centroids.T
-            n = min(probes, near.shape[1])
-            lists = np.argpartition(-near, n - 1, axis=1)[:, :n]
-            yield pd.DataFrame({"row": np.repeat(batch["row"].to_numpy(), n), "list": lists.ravel().astype("int32"), "embedding": np.repeat(batch["embedding"].to_numpy(), n), "bar": np.repeat(batch["bar"].astype("Float64").to_numpy(), n)})
+            order = np.argsort(-near, axis=1, kind="stable")
+            held = np.cumsum(sizes[order], axis=1)
+            n = np.maximum(probes, (held <= k).sum(axis=1) + 1)  # the query's own row is one of those held
+            n = np.minimum(n, near.shape[1])
+            lists = order[np.arange(order.shape[1]) < n[:, None]]
+            yield pd.DataFrame({"row": np.repeat(batch["row"].to_numpy(), n), "list": lists.astype("int32"), "embedding": np.repeat(batch["embedding"].to_numpy(), n), "bar": np.repeat(batch["bar"].astype("Float64").to_numpy(), n)})
 
     return queries.select("row", "embedding", "bar").mapInPandas(run, "row long, list int, embedding array<float>, bar double")
 
@@ -220,7 +227,8 @@ def nearest(
     query_id, rank, vec_id, score.
 
     ``lists`` defaults to a number that grows with the square root of the rows;
-    each query looks into the share ``probed`` of them, and into a seventh of those first. A list's rows are dealt to as
+    each query looks into the share ``probed`` of them, and into a seventh of those first, but always into enough to
+    hold ``k`` other rows. A list's rows are dealt to as
     many parts as keep the largest possible list at about ``lists`` blocks a part.
     """
     spark = vectors.sparkSession
@@ -233,17 +241,20 @@ def nearest(
     numbered = usual.where(F.size("embedding") == dim["dim"]).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding", norm.alias("norm"), "asks")
     rows = written(numbered, "vectors")  # row numbers are fixed from here on
     n, asked_n = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    lists = lists or int(min(1024, max(8, n**0.5 / 3.5)))
+    lists = lists or int(min(1024, max(1, n**0.5 / 3.5)))
     model = fit(rows, lists, n)
     lists = len(model.centroids)
     probes = max(1, round(lists * probed))
     v_parts, q_parts = max(1, n * 8 // (lists * block)), max(1, asked_n * probes // (lists * query_block))
     index = written(build_index(rows, model, v_parts), "codes")
+    sizes = np.zeros(lists, np.int64)  # at most 1,024 rows, one a list
+    for r in index.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
     v = _blocks(index, ["list", "part"], block, ["row", "bits", "offset", "align", "along"], "v")
     shared, asked = spark.sparkContext.broadcast(model), rows.where("asks")
 
     def scanned(queries: DataFrame, probes: int, first: int | None = None) -> DataFrame:
-        near = probe(queries, model, probes).withColumn("q_part", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(q_parts)))
+        near = probe(queries, model, probes, sizes, k).withColumn("q_part", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(q_parts)))
         q = _blocks(near, ["list", "q_part"], query_block, ["row", "embedding", "bar"], "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1))))
         return q.join(v, ["list", "part"]).select("list", "q_rows", "v_rows").mapInPandas(_scan(shared, k, first), FOUND)
 

@@ -138,6 +138,13 @@ def sampled(df: DataFrame, n: int, total: int, seed: int, *keys: str) -> DataFra
     return df.where(near).orderBy(F.pmod(h, F.lit(1 << 30)), *keys).limit(n)
 
 
+def one_text_an_id(docs: DataFrame, ids: DataFrame, longest: int) -> DataFrame:
+    """``ids`` (doc_id and more; few rows, once each) with a text of that id: the smallest of those of at
+    most ``longest`` bytes. Repeated ids are merged map-side, so that what is gathered stays bounded."""
+    near = docs.select("doc_id", "text").where(F.octet_length("text") <= longest).join(F.broadcast(ids), "doc_id")
+    return near.groupBy(*ids.columns).agg(F.min("text").alias("text"))
+
+
 def unsigned_crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, let_go
+from .common import bounded_batches, let_go, one_text_an_id
 
 WINDOW, HIDDEN, CHUNK = 64, 8, 2048
 
@@ -126,7 +126,7 @@ def windows_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(n, WINDOW), lengths
 
 
-def sample_windows(docs: DataFrame, per_lang: int, windows: int, seed: int, langs: int) -> pd.DataFrame:
+def sample_windows(docs: DataFrame, per_lang: int, windows: int, seed: int, langs: int, longest: int) -> pd.DataFrame:
     h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
     w = Window.partitionBy("lang").orderBy(h, "doc_id")
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
@@ -151,14 +151,14 @@ def sample_windows(docs: DataFrame, per_lang: int, windows: int, seed: int, lang
 
     # at most per_lang narrow rows for each of at most ``langs`` languages
     bounded_batches(docs.sparkSession)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    chosen = one_text_an_id(docs, few, longest)
     return chosen.mapInPandas(run, "doc_id long, k int, label string, window binary").toPandas()
 
 
-def train(docs: DataFrame, per_lang: int = 400, windows: int = 10, steps: int = 260, batch: int = 192, seed: int = 5, langs: int = 1000) -> Model | None:
+def train(docs: DataFrame, per_lang: int = 400, windows: int = 10, steps: int = 260, batch: int = 192, seed: int = 5, langs: int = 1000, longest: int = 1 << 22) -> Model | None:
     """``docs``: the documents that may be learned from (doc_id, text, lang). At most the ``langs``
-    commonest languages are learned."""
-    rows = sample_windows(docs, per_lang, windows, seed, langs).sort_values(["doc_id", "k"], kind="stable")
+    commonest languages are learned, and one text an id and language, of ``longest`` bytes at most."""
+    rows = sample_windows(docs, per_lang, windows, seed, langs, longest).sort_values(["doc_id", "k"], kind="stable")
     labels = sorted(rows["label"].unique())
     if not labels:
         return None

@@ -2,21 +2,23 @@
 
 Everything here is built from DataFrame functions.
 
-Every run of ``WINDOW_LINES`` lines that holds something but white space is a chunk; chunks
-overlap, so no boundary has to be found and a passage's chunks are the same wherever it
-stands. They are counted by (64-bit hash, length). Only chunks counted twice or more are
-looked at again: they are grouped by their bytes, and the lines of all but the
-first occurrence (smallest id, then text hash, then line) are removed. A passage of two
-lines or more that occurred before is covered by such chunks from its first line to its last.
-A removed line's text stays where it occurred first.
-
-Plan: a narrow pass counts hashes; documents with repeated chunks are found by a bit
-filter and shuffled once to get the list of these; the chunks' bytes are grouped with their
-first places map-side; documents that lose lines are shuffled a second time to be cut. All
-others stay where they are.
+Lines with something but white space are a text's lines; blank ones between them are passed over. Lines are
+hashed, and a rolling hash over ``WINDOW_LINES`` line hashes runs along them. Where it is divisible
+by ``DIVISOR`` a chunk ends: boundaries depend on the lines next to them alone, so a passage is cut alike
+wherever it stands. Spans of two sizes are counted by (64-bit hash, length) over the corpus:
+chunks, and the rolling hash's own windows, which also reach passages that hold no whole chunk.
+A window that occurs no more often than a repeated chunk around it occurs only there, and the chunk speaks
+for it. All other spans that occur twice or more are compared by their bytes, and all but the
+first occurrence (smallest id, then text hash, then line) go. So every run of two text lines or more that
+occurred before is removed from its first line to its last, with the blank lines inside it; blank lines at
+its edges stay, and so does a single line that repeats. A removed line's text stays where it occurred first.
+
+Plan: narrow passes over the documents hash lines and fill counts map-side; a bit filter of repeated spans
+lets only these into a shuffle, as a few numbers each; their bytes are grouped with their first places
+map-side; texts are shuffled only where they lose lines.
 
 Defined results: a null text stays null. Rows with the same id and text are one document
-twice and are cut alike. Different chunks under one hash and length are told apart. Other
+twice and are cut alike. Different spans under one hash and length are told apart. Other
 columns are carried through, whatever their names; ``n_chars``, if present, is set anew, and a
 column ``removed_lines`` is replaced. Null ids are smaller than all others. An empty table
 gives an empty result.
@@ -31,7 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import parted, written
 
+#: Lines under the rolling hash.
 WINDOW_LINES = 2
+#: A chunk ends at one in so many lines.
+DIVISOR = 4
+
+#: A span: its first and last line in the text, and the same in text lines.
+SPAN = ["first", "last", "a", "b", "hash", "length"]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,49 +47,81 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def chunk_hash(body: Column) -> Column:
-    return F.xxhash64(body)
+def span_hash(hashes: Column) -> Column:
+    return F.xxhash64(hashes)
 
 
-def _chunks(lines: Column) -> Column:
-    """Structs (first, n, hash, length) of the runs of WINDOW_LINES lines of an array of lines."""
+def split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-    def of(lines: Column) -> Column:
-        last = F.size(lines) - WINDOW_LINES
-        firsts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: i <= last)
-        spans = F.transform(firsts, lambda i: F.struct(i.alias("first"), F.lit(WINDOW_LINES).alias("n")))
-        full = F.transform(
-            spans,
-            lambda s: let(body_of(lines, s), lambda b: F.struct(s["first"].alias("first"), s["n"].alias("n"), chunk_hash(b).alias("hash"), F.octet_length(b).alias("length"), F.rlike(b, F.lit(r"\S")).alias("some"))),
-        )
-        return F.transform(F.filter(full, lambda c: c["some"]), lambda c: F.struct(c["first"].alias("first"), c["n"].alias("n"), c["hash"].alias("hash"), c["length"].alias("length")))
 
-    return let(lines, of)
+def text_lines(lines: Column) -> Column:
+    """(i, line) of the lines with something but white space."""
+    return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: F.rlike(x["line"], F.lit(r"\S")))
 
 
-def body_of(lines: Column, span: Column) -> Column:
-    return F.array_join(F.slice(lines, span["first"] + 1, span["n"]), "\n")
+def _numbers(first: int, past: Column) -> Column:
+    """first .. past - 1, none if there are none."""
+    return F.filter(F.sequence(F.lit(first), F.greatest(past, F.lit(first))), lambda j: j < past)
 
 
-def split_lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def _spans(some: Column) -> Column:
+    """The windows and chunks of an array of text lines, each chunk with its windows (``inner``)."""
+
+    def of(t: Column) -> Column:
+        rolling = lambda j: F.xxhash64(t[j - 1]["h"], t[j]["h"])
+        m = F.size(t)
+
+        def span(a: Column, b: Column) -> Column:
+            own = F.slice(t, a + 1, b - a + 1)
+            length = F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+            return F.struct(t[a]["i"].alias("first"), t[b]["i"].alias("last"), a.alias("a"), b.alias("b"), span_hash(F.transform(own, lambda x: x["h"])).alias("hash"), length.alias("length"))
+
+        windows = F.transform(_numbers(WINDOW_LINES - 1, m), lambda j: span(j - (WINDOW_LINES - 1), j))
+        ends = F.filter(_numbers(1, m), lambda j: (F.pmod(rolling(j), F.lit(DIVISOR)) == 0) | (j == m - 1))
 
+        def chunks(e: Column) -> Column:
+            pairs = F.transform(e, lambda j, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(e[k - 1] + 1).alias("a"), j.alias("b")))
+            return F.transform(F.filter(pairs, lambda p: p["b"] - p["a"] >= WINDOW_LINES), lambda p: span(p["a"], p["b"]))
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, th (text hash) and ``found``: the chunks whose hash and length occur twice or more."""
-    chunks = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(_chunks(split_lines(F.col("text")))).alias("c")).select("doc_id", "th", "c.*")
-    # written, so that the join below has plain exchanges, whose large partitions are split
-    again = written(chunks.groupBy("hash", "length").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash", "length"), "repeated")
-    return chunks.join(again, ["hash", "length"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "n", "hash", "length")).alias("found"))
+        return let(windows, lambda w: F.concat(
+            F.transform(w, lambda x: F.struct(*(x[c].alias(c) for c in SPAN), F.lit(None).cast("array<struct<hash:bigint,length:bigint>>").alias("inner"))),
+            F.transform(let(ends, chunks), lambda x: F.struct(*(x[c].alias(c) for c in SPAN), F.transform(F.slice(w, x["a"] + 1, x["b"] - x["a"] + 1 - (WINDOW_LINES - 1)), lambda y: F.struct(y["hash"].alias("hash"), y["length"].alias("length"))).alias("inner"))),
+        ))
+
+    return let(F.transform(some, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["line"]).alias("h"), F.octet_length(x["line"]).cast("long").alias("n"))), of)
+
+
+def body_of(some: Column, span: Column) -> Column:
+    return F.array_join(F.transform(F.slice(some, span["a"] + 1, span["b"] - span["a"] + 1), lambda x: x["line"]), "\n")
+
+
+def spans_of(docs: DataFrame) -> DataFrame:
+    """doc_id, th (text hash) and the spans of every row; nothing is shuffled."""
+    spans = F.explode(_spans(text_lines(split_lines(F.col("text")))))
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), spans.alias("c")).select("doc_id", "th", "c.*")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, th, first, last, hash and length of the spans that occur twice or more, without the windows for
+    which a chunk speaks."""
+    key = ["hash", "length"]
+    again = written(spans_of(docs).groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "repeated")
+    met = parted(spans_of(docs), again.select("hash"), "hash")[1].join(again, key)
+    met = written(met.select("doc_id", "th", *SPAN[:2], *key, "k", "inner"), "places")
+    chunks = met.where(F.col("inner").isNotNull()).groupBy(*key).agg(F.first("inner").alias("inner"), F.first("k").alias("k"))
+    within = chunks.select("k", F.explode("inner").alias("w")).select("w.hash", "w.length", "k")
+    spoken = within.join(again, [*key, "k"]).select(*key).distinct()
+    return written(met.drop("k", "inner").join(spoken, key, "left_anti"), "spans")
 
 
 def _covered(gone: Column) -> Column:
-    """The lines of the spans ``gone`` (first, n), once each."""
-    return F.array_distinct(F.flatten(F.transform(gone, lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1))))
+    """The lines of the spans ``gone`` (first, last), once each."""
+    return F.array_distinct(F.flatten(F.transform(gone, lambda s: F.sequence(s["first"], s["last"]))))
 
 
 def _cut(text: Column, gone: Column) -> Column:
-    """``text`` without the lines of the spans ``gone`` (first, n)."""
+    """``text`` without the lines of the spans ``gone`` (first, last)."""
 
     def of(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), _covered(gone))
@@ -100,12 +140,12 @@ def _with(rows: DataFrame, found: DataFrame, name: str) -> tuple[DataFrame, Data
 
 
 def _keepers(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks of equal bytes by (hash, length) with the place of their first: those whose hash and
+    """Spans of equal bytes by (hash, length) with the place of their first: those whose hash and
     length no other bytes have, and the others, with their bytes."""
-    groups = bodies.groupBy("hash", "length", "body").agg(F.min("place").alias("keeper"))
+    groups = written(bodies.groupBy("hash", "length", "body").agg(F.min("place").alias("keeper")), "bodies")
     seen = groups.groupBy("hash", "length").agg(F.count(F.lit(1)).alias("k"), F.min("keeper").alias("keeper"))
     several = seen.where("k > 1").select("hash", "length")
-    return written(seen.where("k = 1").select("hash", "length", "keeper"), "keepers"), written(groups.join(several, ["hash", "length"]), "keepers")
+    return seen.where("k = 1").select("hash", "length", "keeper"), written(groups.join(several, ["hash", "length"]), "keepers")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -115,21 +155,25 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # the input's columns travel in one struct, so that none can clash with those made here
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
     rows = rows.withColumn("node", F.xxhash64("doc_id", "th"))
-    found = written(repeated_chunks(docs.select("doc_id", "text")), "chunks")
-    clear, likely = _with(rows, found, "found")
-    met = written(likely, "line-chunks")
-
+    plain = docs.select("doc_id", "text")
+    spans = repeated_spans(plain)
+
+    place = F.struct("doc_id", "th", "first")
+    # bytes of spans whose hash is wanted, and of a few others, which occur in no row of ``spans``
+    full = let(
+        text_lines(split_lines(F.col("text"))),
+        lambda some: F.transform(_spans(some), lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), c["hash"].alias("hash"), c["length"].alias("length"), body_of(some, c).alias("body"))),
+    )
+    bodies = plain.select("doc_id", F.xxhash64("text").alias("th"), F.explode(full).alias("c")).select("doc_id", "th", "c.*")
+    bodies = parted(bodies, spans.select("hash").distinct(), "hash")[1].withColumn("place", place)
+    single, several = _keepers(bodies.select("hash", "length", "body", "place"))
+    gone = spans.withColumn("place", place).join(single, ["hash", "length"]).where(~F.col("place").eqNullSafe(F.col("keeper"))).select("place", "last")
+    if several.limit(1).count():
+        more = bodies.join(several, ["hash", "length", "body"]).where(~F.col("place").eqNullSafe(F.col("keeper"))).select("place", "last")
+        gone = gone.unionByName(more)
+    gone = gone.groupBy("place.doc_id", "place.th").agg(F.collect_set(F.struct("place.first", "last")).alias("gone"))
+    clear, likely = _with(rows, written(gone, "gone"), "gone")
     text = F.col("row.text")
-    body = F.transform("found", lambda c: F.struct(F.struct("doc_id", "th", c["first"].alias("first")).alias("place"), c["n"].alias("n"), c["hash"].alias("hash"), c["length"].alias("length")))
-    spans = met.select(F.explode(body).alias("c")).select("c.*")
-    bodies = met.where(F.col("found").isNotNull()).select(
-        F.explode(let(split_lines(text), lambda lines: F.transform("found", lambda c: F.struct(F.struct("doc_id", "th", c["first"].alias("first")).alias("place"), c["n"].alias("n"), c["hash"].alias("hash"), c["length"].alias("length"), body_of(lines, c).alias("body"))))).alias("c")
-    ).select("c.*")
-    single, several = _keepers(bodies)
-    gone = spans.join(single, ["hash", "length"]).where(~F.col("place").eqNullSafe(F.col("keeper"))).select("place", "n")
-    more = bodies.join(several, ["hash", "length", "body"]).where(~F.col("place").eqNullSafe(F.col("keeper"))).select("place", "n")
-    gone = gone.unionByName(more).groupBy("place.doc_id", "place.th").agg(F.collect_set(F.struct("place.first", "n")).alias("gone"))
-    whole, likely = _with(met.drop("found"), written(gone, "gone"), "gone")
 
     def out(rows: DataFrame, text: Column, removed: Column) -> DataFrame:
         new = {"text": text, "n_chars": F.char_length(text).cast("long")}
@@ -137,5 +181,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     gone = F.col("gone")
     cut = F.when(gone.isNotNull(), _cut(text, gone)).otherwise(text)
-    same = out(clear.select("row").unionByName(whole.select("row")), text, F.lit(0))
+    same = out(clear.select("row"), text, F.lit(0))
     return same.unionByName(out(likely, cut, F.when(gone.isNotNull(), F.size(_covered(gone))).otherwise(0)))

@@ -212,6 +212,18 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 6)
 
 
+def lower_salts(counts: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """For counts (length, salt, pieces): the sorted keys (length << 24) + salt, and for each the number of
+    pieces of its length in lower salts."""
+    counts = sorted(counts)
+    before: dict[int, int] = {}
+    keys, lower = np.empty(len(counts), np.int64), np.empty(len(counts), np.int64)
+    for i, (length, salt, n) in enumerate(counts):
+        keys[i], lower[i] = (length << 24) + salt, before.get(length, 0)
+        before[length] = lower[i] + n
+    return keys, lower
+
+
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """Gives every piece (doc_id, piece, start, length, ids_crc32) a sequence_id and
     an offset. ``pieces`` is read three times and should be a written table.
@@ -232,20 +244,16 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     salted = pieces.join(F.broadcast(several), F.col("length") == F.col("_length"), "left").withColumn("_salt", salt).drop("_length", "_salts")
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     # at most capacity + SALTS rows
-    before = dict.fromkeys(totals, 0)
-    base = np.zeros((capacity + 1, max(salts.values(), default=1)), dtype=np.int64)
-    for length, k, n in sorted((r["length"], r["_salt"], r["n"]) for r in counts.collect()):
-        base[length, k] = before[length]
-        before[length] += n
+    base = lower_salts([(r["length"], r["_salt"], r["n"]) for r in counts.collect()])
     runs = plan(totals, capacity)
     shared = spark.sparkContext.broadcast((runs, base))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs, base = shared.value
+        runs, (dealt, lower) = shared.value
         keys = (runs[:, 0] << 44) + runs[:, 1]
         for batch in batches:
             length = batch["length"].to_numpy(np.int64)
-            rank = batch["_rank"].to_numpy(np.int64) - 1 + base[length, batch["_salt"].to_numpy(np.int64)]
+            rank = batch["_rank"].to_numpy(np.int64) - 1 + lower[np.searchsorted(dealt, (length << 24) + batch["_salt"].to_numpy(np.int64))]
             r = runs[np.searchsorted(keys, (length << 44) + rank, side="right") - 1]
             within = rank - r[:, 1]
             batch["sequence_id"] = r[:, 3] + within // r[:, 4]

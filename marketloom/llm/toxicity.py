@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, bounded_batches, let_go, sampled
+from .common import BoundedCache, bounded_batches, let_go, one_text_an_id, sampled
 
 BITS = 20
 SENTENCE = re.compile(r"[.?!\n]+")
@@ -100,13 +100,13 @@ def _bags(sample: DataFrame) -> pd.DataFrame:
     return sample.mapInPandas(run, "doc_id long, toxic int, features binary, lengths binary").toPandas()
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, steps: int = 120, prior: float = 20.0, seed: int = 11) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, steps: int = 120, prior: float = 20.0, seed: int = 11, longest: int = 1 << 20) -> Model:
     """``labels``: (doc_id, toxic), already limited to rows that may be learned from.
 
     A word's weight begins at its smoothed log odds between toxic and other
     documents; descent steps are scaled by how many sentences hold the word, plus
     ``prior``, so that rare words stay near 0. Weights are never negative: harmless
-    words around an offence don't make up for it.
+    words around an offence don't make up for it. One text an id is learned from, of ``longest`` bytes at most.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, steps: int
         return Model(weights, -30.0)
     first = lambda y, n: sampled(known.where(F.col("toxic") == y), n, totals[y], seed, "doc_id")
     few = first(1, per_class).unionByName(first(0, 2 * per_class))
-    bags = _bags(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic"))
+    bags = _bags(one_text_an_id(docs, few, longest).select("doc_id", "text", "toxic"))
     bags = bags[bags["lengths"].map(len) > 0].sort_values(["doc_id", "lengths"], kind="stable")
     y = bags["toxic"].to_numpy(dtype=np.float64)
     if len(set(y.tolist())) < 2:

@@ -39,7 +39,7 @@ def test_unusable_vectors_ties_and_few_rows(spark):
     bad = [None, [], [0.0, 0.0], [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [1.0, 2.0, 3.0]]
     rows = [(100 + i, v) for i, v in enumerate(bad)] + [(i, [1.0, 1.0]) for i in (50, 3, 9, 7)] + [(0, [-1.0, 1.0]), (None, [1.0, 0.0])]
     rows = [(i, v, "a", "b", None, "c") for i, v in rows]
-    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, k=5, lists=1, probed=1.0).collect()
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, k=5).collect()
     by = {q: [(r.vec_id, round(r.score, 9)) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 50)}
     assert by[50] == [(3, 1.0), (7, 1.0), (9, 1.0), (0, 0.0)]
     assert [v for v, _ in by[0]] == [3, 7, 9, 50]
@@ -53,7 +53,7 @@ def test_empty_table(spark):
 def test_each_row_stands_for_itself(spark):
     rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (3, [1.0, 0.1]), (4, [0.1, 1.0]), (3, [1.0, 0.1])]
     frame = spark.createDataFrame([(i, v, "a", "b", "c", "d") for i, v in rows], SCHEMA)
-    got = sorted((r["rank"], r.vec_id, round(r.score, 4)) for r in ann.nearest(frame, F.col("vec_id") == 50, k=3, probed=1.0).collect())
+    got = sorted((r["rank"], r.vec_id, round(r.score, 4)) for r in ann.nearest(frame, F.col("vec_id") == 50, k=3).collect())
     assert got == [(1, 3, 0.995), (1, 4, 0.995), (2, 3, 0.0995), (2, 3, 0.995), (3, 3, 0.0995), (3, 4, 0.0995)]
 
 
@@ -84,3 +84,22 @@ def test_estimates_lie_within_their_bounds(spark):
     kept = {r.row for part in ann._scan(shared, 10**6)(iter([ann.pd.DataFrame(blocks)])) for r in part.itertuples()}
     reach = {row for row, score in true.items() if score >= 0.25}
     assert len(reach & kept) >= 0.95 * len(reach) and len(kept) < 600
+
+
+def test_few_rows_give_all_candidates(spark):
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 4, 6, 9, 17, 40):
+        rows = [(i, rng.standard_normal(6).tolist()) for i in range(n)]
+        frame = spark.createDataFrame([(i, v, "a", "b", "c", "d") for i, v in rows], SCHEMA)
+        got = ann.nearest(frame, F.col("vec_id") % 2 == 0).collect()
+        want = brute(rows, range(0, n, 2), 5)
+        assert {q: [v for _, v in sorted((r.rank, r.vec_id) for r in got if r.query_id == q)] for q in want} == {q: [v for v, _ in best] for q, best in want.items()}, n
+
+
+def test_queries_look_on_until_they_hold_enough(spark):
+    # one crowded list and eleven of one row each: those look on, whatever share they look into
+    rng = np.random.default_rng(9)
+    rows = [(i, (np.eye(12)[0] + 0.001 * rng.standard_normal(12)).tolist()) for i in range(60)] + [(100 + i, np.eye(12)[i].tolist()) for i in range(1, 12)]
+    frame = spark.createDataFrame([(i, v, "a", "b", "c", "d") for i, v in rows], SCHEMA)
+    got = ann.nearest(frame, F.col("vec_id") > 100, lists=12, probed=0.01).collect()
+    assert all(sorted(r["rank"] for r in got if r.query_id == 100 + i) == [1, 2, 3, 4, 5] for i in range(1, 12))

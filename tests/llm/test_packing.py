@@ -91,3 +91,11 @@ def test_one_length_over_many_salts(spark):
     )
     rows = packing.place(pieces, 100).collect()
     assert check_sequences([(r.length, r.sequence_id, r.offset) for r in rows], 100) == 1667
+
+
+def test_lower_salts_hold_a_number_for_each_filled_cell():
+    counts = [(4096, s, 3 + s % 2) for s in range(4000)] + [(5, 0, 7), (9, 1, 2), (9, 0, 4)]
+    keys, lower = packing.lower_salts(counts)
+    assert keys.nbytes + lower.nbytes == 16 * len(counts)
+    at = lambda n, s: int(lower[keys.searchsorted((n << 24) + s)])
+    assert (at(5, 0), at(9, 0), at(9, 1), at(4096, 0), at(4096, 2)) == (0, 0, 4, 0, 7)
