@@ -1,7 +1,8 @@
 """The verdict of the quality rules against a brute-force version, and what moves it."""
 
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,42 +35,56 @@ def corpus(seed):
     return rng, rows
 
 
-def exact_quantile(values, q):
-    values = sorted(values)
-    need = q * len(values)
-    return next(v for k, v in enumerate(values, 1) if k >= need - 1e-9)
+def quantile(pairs, q):
+    """Of (value, weight), the value up to which a share q of the weight lies."""
+    pairs, below = sorted(pairs), 0.0
+    need = q * sum(w for _, w in pairs)
+    for v, w in pairs:
+        below += w
+        if below >= need - 1e-9:
+            return v
+    return pairs[-1][0]
 
 
 def brute(rows):
-    """lang, source -> measure -> (low, high), from exact quantiles."""
-    counts = {}
-    for i, t, lang, source in rows:
+    """(lang, source), measure -> (low, high), from the values themselves, with the rule as the README states it."""
+    groups = defaultdict(list)
+    for _, t, lang, source in rows:
         n_words, word_chars, n_symbols, n_lines, n_dup, n_rep = quality.measure(t or "")
         if n_words >= 50 and 100 * n_rep <= 50 * n_words:
-            counts[i] = lang, source, {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup, "n_repeat_words": n_rep}
-    groups = defaultdict(list)
-    for lang, source, c in counts.values():
-        for key in ((lang, source), (lang,), ()):
-            groups[key].append(c)
-
-    def quantiles(key, m, of):
-        level = quality.MEASURES[m][2] if of == "ratio" else 0.9
-        value = (lambda c: c[quality.MEASURES[m][0]] / c[quality.MEASURES[m][1]]) if of == "ratio" else (lambda c: c[quality.MEASURES[m][1]])
-        own = [exact_quantile(map(value, groups[key]), q) for q in (1 - level, 0.5, level)]
+            for key in ((lang, source), (lang,), ()):
+                groups[key].append({"word_length": (word_chars, n_words), "symbols": (n_symbols, word_chars), "repeated_lines": (n_dup, n_lines), "repeated_words": (n_rep, n_words)})
+
+    def own(key, m, event):
+        if not event:
+            values = [(c[m][0] / c[m][1], 1) for c in groups[key]]
+            low, mid, high = (quantile(values, q) for q in (0.25, 0.5, 0.75))
+            return mid - 21 * (mid - low), mid + 21 * (high - mid)
+        step, total = event / quantile([(c[m][1], 1) for c in groups[key]], 0.5), len(groups[key])
+        merged = Counter(c[m][0] / c[m][1] for c in groups[key])
+        places, stretches = sorted(merged), []
+        for i, x in enumerate(places):
+            between, above = 0, sum(merged[v] for v in places[i + 1 :])
+            for y in places[i + 1 :]:
+                if above <= 0.2 * total and between <= 0.001 * total:
+                    stretches.append(((y + step) / (x + step), ((y + step) * (x + step)) ** 0.5 - step))
+                between += merged[y]
+        if stretches and max(stretches)[0] >= 3.4:
+            return None, max(stretches)[1]
+        some = [(v, n) for v, n in merged.items() if v > 0]
+        mid, high = (quantile(some, q) for q in (0.5, 0.99)) if some else (0, float("inf"))
+        return None, mid + 3 * (high - mid) if high > mid else 3 * high
+
+    def drawn(key, m, event):
+        low, high = own(key, m, event)
         if not key:
-            return own
-        parent, n = quantiles(key[:-1], m, of), len(groups[key])
-        return [(a * n + b * quality.PRIOR) / (n + quality.PRIOR) for a, b in zip(own, parent, strict=True)]
+            return low, high
+        above, n = drawn(key[:-1], m, event), len(groups[key])
+        high = above[1] if high == float("inf") else math.exp((math.log(high) * n + math.log(above[1]) * 100) / (n + 100))
+        return None if low is None else (low * n + above[0] * 100) / (n + 100), high
 
-    out = {}
-    for key in (k for k in groups if len(k) == 2):
-        for m, (_, _, _, fence, two_sides) in quality.MEASURES.items():
-            low, mid, high = quantiles(key, m, "ratio")
-            top = mid + (1 + fence) * (high - mid)
-            if m in quality.FINE:
-                top = max(top, (1 + fence) / quantiles(key, m, "size")[0])
-            out[key, m] = (mid - (1 + fence) * (mid - low) if two_sides else None), top
-    return out
+    events = {"word_length": None, "symbols": 1, "repeated_lines": 1, "repeated_words": 6}
+    return {(key, m): drawn(key, m, event) for key in groups if len(key) == 2 for m, event in events.items()}
 
 
 def test_cutoffs_and_verdict_against_exact_quantiles(spark):
@@ -80,9 +95,10 @@ def test_cutoffs_and_verdict_against_exact_quantiles(spark):
     found = {(r.lang, r.source): r.cutoffs for r in quality.cutoffs(stats).collect()}
     assert {(k, m) for k in found for m in quality.MEASURES} == set(want)
     for (key, m), (low, high) in want.items():
-        fence = quality.MEASURES[m][3]
-        mine, slack = found[key][m], 2 * (1 + fence) * quality.ACCURACY  # each quantile is known to within a bucket
-        assert mine["high"] == pytest.approx(high, rel=slack, abs=slack * max(high, 0.02))
+        mine = found[key][m]
+        # values are known to within a bucket, and word lengths' distances are multiplied by the fence
+        slack = 2 * (1 + quality.FENCE) * quality.ACCURACY if m == "word_length" else 4 * quality.ACCURACY
+        assert mine["high"] == pytest.approx(high, rel=slack, abs=0.002), (key, m)
         assert (mine["low"] is None) == (low is None) and (low is None or abs(mine["low"] - low) < slack * high)
     for r in quality.judge(docs(spark, rows)).where("not base_failed").collect():
         ratio = lambda m: quality.measure(next(t for i, t, *_ in rows if i == r.doc_id) or "")  # noqa: E731, B023
@@ -122,3 +138,28 @@ def test_a_moved_group_moves_its_cutoff(spark):
     assert after["aa", "s1"]["word_length"]["high"] > before["aa", "s1"]["word_length"]["high"] + 1
     moved = lambda group: abs(after[group]["word_length"]["high"] - before[group]["word_length"]["high"])
     assert moved(("bb", "s1")) < moved(("aa", "s1"))
+
+
+def test_mostly_zero_symbols_get_the_cutoffs_of_their_sketches(spark):
+    """Nine texts in ten hold no symbol; what else a source holds decides where its cutoff lies."""
+    rng, rows = random.Random(10), []
+    plain = lambda: text(rng, 240, (3, 8))
+    marked = lambda n: plain() + " " + " ".join("x#" for _ in range(n))
+    for i in range(600):
+        rows.append((i, marked(60) if i % 20 == 0 else plain(), "aa", "s1"))
+        rows.append((1000 + i, marked(rng.randrange(2, 12)) if i % 12 == 0 else marked(230) if i % 40 == 1 else plain(), "bb", "s2"))
+    by = {r.doc_id: r for r in quality.judge(docs(spark, rows)).collect()}
+    stats = quality.measured(docs(spark, rows))
+    cut = {r.lang: r.cutoffs["symbols"]["high"] for r in quality.cutoffs(stats).collect()}
+    assert 3 * cut["aa"] < cut["bb"]
+    assert {i for i, r in by.items() if "symbols" in r.outside} == {i for i, t, *_ in rows if t.count("#") in (60, 230)}
+    zeros = sum("#" not in t for _, t, *_ in rows) / len(rows)
+    assert zeros > 0.9
+
+
+def test_emptiest_stretch():
+    values, weights = quality.np.array([0.0, 0.001, 0.002, 0.05, 0.06]), quality.np.array([900.0, 40, 20, 30, 10])
+    assert 0.002 < quality.emptiest(values, weights, 0.001) < 0.05
+    assert quality.emptiest(values[:1], weights[:1], 0.001) == float("inf")
+    # a tail that is no tail is kept
+    assert quality.emptiest(values, quality.np.array([600.0, 40, 20, 330, 10]), 0.001) > 0.06
