@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,22 +57,29 @@ def raw_bull_strength() -> Column:
     return points / MAX_REGIME_POINTS
 
 
-def smoothed(days: DataFrame, raw: str = "raw", alpha: float = 0.5, bypass: float = -0.25, *by: str) -> DataFrame:
-    """Recursive smoothing in date order: a fall of more than ``bypass`` counts in full.
+def smooth(last: float | None, raw: float, alpha: float = 0.5, bypass: float = -0.25) -> float:
+    """One step of the smoothing: a fall of more than ``bypass`` counts in full, and so does a first value."""
+    return raw if last is None or raw - last < bypass else alpha * raw + (1 - alpha) * last
 
-    One value follows from the one before, so a series is one fold: a few thousand days
-    a series, however many series there are.
-    """
-    rows = F.array_sort(F.collect_list(F.struct("date", F.col(raw).alias("raw"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        before = F.get(acc, F.size(acc) - 1)["s"]
-        s = F.when(before.isNull() | (x["raw"] - before < bypass), x["raw"]).otherwise(alpha * x["raw"] + (1 - alpha) * before)
-        return F.concat(acc, F.array(F.struct(x["date"].alias("date"), x["raw"].alias("raw"), s.alias("s"))))
+def smoothed(days: DataFrame, raw: str = "raw", alpha: float = 0.5, bypass: float = -0.25, *by: str) -> DataFrame:
+    """Recursive smoothing of (date, raw) rows in date order, within each of the series ``by``.
 
-    start = F.array().cast("array<struct<date:date,raw:double,s:double>>")
-    folded = days.groupBy(*by).agg(F.aggregate(rows, start, step).alias("f"))
-    return folded.select(*by, F.explode("f").alias("x")).select(*by, "x.date", F.col("x.raw").alias("raw"), F.col("x.s").alias("smoothed"))
+    One value follows from the one before, so a series is one sorted pass: a few thousand days a series,
+    two numbers a day, however many series there are.
+    """
+    keys = ", ".join(f"`{c}` {days.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("date", kind="stable")
+        last, out = None, []
+        for value in group["raw"]:
+            last = smooth(last, value, alpha, bypass)
+            out.append(last)
+        return group[[*by, "date", "raw"]].assign(smoothed=out)
+
+    rows = days.select(*by, "date", F.col(raw).cast("double").alias("raw"))
+    return rows.groupBy(*by).applyInPandas(run, ", ".join(x for x in (keys, "date date, raw double, smoothed double") if x))
 
 
 def regime_label(strength: Column, drawdown: Column | None = None) -> Column:

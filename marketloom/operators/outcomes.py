@@ -132,8 +132,12 @@ def cross_list_duplicates(signals: DataFrame) -> DataFrame:
     return signals.withColumn("cross_list_duplicate", F.row_number().over(w) > 1)
 
 
+#: Least return of a badge, from the best down; below them all a pick counts as stopped out.
+BADGES = [(0.05, "big winner"), (0.03, "strong winner"), (0.01, "winner"), (-0.01, "flat"), (-0.03, "small loss")]
+
+
 def badge(r: Column) -> Column:
-    return F.when(r.isNull(), "tracking").otherwise(ladder(r * 100, [(5, "exceptional"), (3, "strong"), (0, "gain"), (-3, "pullback")], "drop"))
+    return F.when(r.isNull(), "tracking").otherwise(ladder(r, BADGES, "stopped out"))
 
 
 def phrase_5d(r: Column) -> Column:

@@ -91,13 +91,18 @@ def pattern_label(base: Column) -> Column:
 
 
 def shortened_size(text: Column) -> Column:
-    """Size guidance cut to seven tenths: numbers scaled and rounded, words stepped down."""
-    scaled = lambda g: F.round(F.regexp_extract(text, r"(\d+(?:\.\d+)?)(?:\s*-\s*(\d+(?:\.\d+)?))?\s*%", g).try_cast("double") * 0.7, 1)
-    low, high = scaled(1), scaled(2)
+    """Size guidance cut to seven tenths: a range of percents, else a single one, scaled and rounded; else the first
+    Half becomes Third, or Full Two-thirds, within the text; else a note is put after it."""
+    number = r"(\d+(?:\.\d+)?)"
+    scaled = lambda pattern, g: F.round(F.regexp_extract(text, pattern, g).try_cast("double") * 0.7, 1)
+    span, single = rf"{number}\s*-\s*{number}\s*%", rf"{number}\s*%"
+    one = lambda x: F.format_string("%.1f", x)
     t = F.lower(text)
+    first = lambda word, by: F.regexp_replace(text, F.lit(rf"(?s)^(.*?){word}"), F.lit(rf"$1{by}"))
     return (
-        F.when(low.isNotNull() & high.isNotNull(), F.concat(low.cast("string"), F.lit("-"), high.cast("string"), F.lit("%"))).when(low.isNotNull(), F.concat(low.cast("string"), F.lit("%")))
-        .when(t.contains("half"), "third").when(t.contains("full"), "two-thirds").otherwise(text)
+        F.when(text == "", "").when(scaled(span, 1).isNotNull(), F.concat(one(scaled(span, 1)), F.lit("-"), one(scaled(span, 2)), F.lit("%")))
+        .when(scaled(single, 1).isNotNull(), F.concat(one(scaled(single, 1)), F.lit("%"))).when(t.contains("half"), first("Half", "Third")).when(t.contains("full"), first("Full", "Two-thirds"))
+        .otherwise(F.concat(text, F.lit(" (reduced 30%)")))
     )
 
 

@@ -278,7 +278,7 @@ def i9_input_checks(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.input_problems(rows, ["score"], "won")
 
 
-@register(with_(BARS, LISTS, OUTCOMES) + """SELECT list_type, ticker, date, CASE WHEN return_5d IS NULL THEN 'tracking' WHEN return_5d * 100 >= 5 THEN 'exceptional' WHEN return_5d * 100 >= 3 THEN 'strong' WHEN return_5d * 100 >= 0 THEN 'gain' WHEN return_5d * 100 >= -3 THEN 'pullback' ELSE 'drop' END AS badge,
+@register(with_(BARS, LISTS, OUTCOMES) + """SELECT list_type, ticker, date, CASE WHEN return_5d IS NULL THEN 'tracking' WHEN return_5d >= 0.05 THEN 'big winner' WHEN return_5d >= 0.03 THEN 'strong winner' WHEN return_5d >= 0.01 THEN 'winner' WHEN return_5d >= -0.01 THEN 'flat' WHEN return_5d >= -0.03 THEN 'small loss' ELSE 'stopped out' END AS badge,
  CAST(CAST(trunc(return_5d * 10000 + 0.5) AS BIGINT) AS DOUBLE) AS breakeven_bps, coalesce(return_20d, return_10d, return_5d, return_1d) IS NULL AS pending FROM outcomes""")
 def h31_h14_badges(spark: SparkSession, d: str) -> DataFrame:
     r = F.col("return_5d")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.market import smooth
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -69,14 +71,18 @@ def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def smoothed_stream(days: DataFrame, alpha: float = 0.5, bypass: float = -0.25) -> DataFrame:
-    """Recursive smoothing of (series, date, raw) rows, the last value kept as state."""
+    """Recursive smoothing of (series, date, raw) rows, each series' last value kept as state.
+
+    Days of a series come in order from batch to batch, in any order within one; a job that goes on from its
+    checkpoint goes on from these values.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("date")
         last = state.get[0] if state.exists else None
         out = []
         for date, raw in zip(rows["date"], rows["raw"], strict=True):
-            last = raw if last is None or raw - last < bypass else alpha * raw + (1 - alpha) * last
+            last = smooth(last, raw, alpha, bypass)
             out.append((key[0], date, raw, last))
         state.update((last,))
         yield pd.DataFrame(out, columns=["series", "date", "raw", "smoothed"])

@@ -131,8 +131,8 @@ def test_parsers(spark):
     assert got[0].f == '{"a": 1}' and got[1].f is None and got[2].b == '{"a": {"b": 2}}' and got[3].b is None
     table = spark.createDataFrame([("a\n| T | P |\n|:--|--:|\n| X** | 5 |\n| bad |\n",), ("none",)], "s string").select(text.table_rows(F.col("s")).alias("t")).collect()
     assert table[0].t == [{"t": "X", "p": "5"}] and table[1].t == []
-    sizes = spark.createDataFrame([("5-10%",), ("4%",), ("half position",), ("full",), ("none",)], "s string").select(text.shortened_size(F.col("s")).alias("v")).collect()
-    assert [r.v for r in sizes] == ["3.5-7.0%", "2.8%", "third", "two-thirds", "none"]
+    sizes = spark.createDataFrame([("5-10%",), ("4%",), ("Half position",), ("Full",), ("none",)], "s string").select(text.shortened_size(F.col("s")).alias("v")).collect()
+    assert [r.v for r in sizes] == ["3.5-7.0%", "2.8%", "Third position", "Two-thirds", "none (reduced 30%)"]
     names = spark.createDataFrame([(0,), (25,), (26,), (51,), (52,)], "n int").select(text.anonymous_name(F.col("n")).alias("v")).collect()
     assert [r.v for r in names] == ["A", "Z", "AA", "AZ", "BA"]
 
