@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import evaluation, market, outcomes
+from ..operators import evaluation, learning, market, outcomes
 from ..operators import indicators as ind
 from ..sources import market as src
 from ..sources import sinks
@@ -259,7 +259,7 @@ def i2_i8_logistic_weights(spark: SparkSession, d: str) -> DataFrame:
     rows = scored_lists(spark, d).where("return_5d is not null").select(
         F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("score"))).alias("s"), (F.lit(4) - F.col("rank")).cast("double").alias("place"), (F.col("return_5d") > 0).cast("double").alias("y")
     )
-    weights = evaluation.logistic_weights(rows, ["s", "place"], "y", epochs=40)
+    weights = learning.bounded_weights(rows, ["s", "place"], "y")
     names = spark.createDataFrame(list(zip(["s", "place"], weights, strict=True)), "feature string, weight double")
     return names.join(rows.agg(F.count(F.lit(1)).alias("samples")))
 
