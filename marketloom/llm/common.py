@@ -65,9 +65,11 @@ _held: dict[tuple, object] = {}
 
 
 def held(key: tuple, make: Callable[[], object]) -> object:
-    """A worker process's one large object between tasks: another key's is let go first."""
+    """A worker process's one large object between tasks: another key's is let go first, and so is
+    what batches of earlier operators have left."""
     if key not in _held:
-        let_go()
+        _held.clear()
+        _trim()
         _held[key] = make()
     return _held[key]
 
@@ -76,9 +78,17 @@ def let_go() -> None:
     """Frees what earlier tasks of this process have left, for operators that keep nothing."""
     if _held:
         _held.clear()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # gives freed memory back, where the C library can
-        if trim:
-            trim(0)
+        _trim()
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system, where allocators can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class BoundedCache(dict):
