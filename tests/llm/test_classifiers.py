@@ -158,3 +158,12 @@ def test_forward_pass_against_a_plain_network():
                 state = (1 - z) * np.tanh(into[2 * h :] + r * back[2 * h :]) + z * state
                 want[t, direction, b] = state
     assert np.abs(langid.forward(model, x) - want).max() < 1e-4
+
+
+def test_one_text_an_id_is_learned_from(spark):
+    from marketloom.llm.common import one_text_an_id
+
+    rows = spark.createDataFrame([(1, t) for t in ["b", "a", None] * 50] + [(2, "c" * 20), (3, "d"), (None, "e")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1, 0), (2, 1), (4, 1)], "doc_id long, toxic int")
+    assert [tuple(r) for r in one_text_an_id(rows, ids, 10).collect()] == [(1, 0, "a")]
+    assert {tuple(r) for r in one_text_an_id(rows, ids, 20).collect()} == {(1, 0, "a"), (2, 1, "c" * 20)}
