@@ -28,16 +28,30 @@ def two_proportions(wins_a: Column, n_a: Column, wins_b: Column, n_b: Column) ->
     return z, 2 * (1 - normal_cdf(F.abs(z)))
 
 
+#: Stretches that the scores of an ungrouped area are cut into.
+STRETCHES = 64
+
+
 def auc(df: DataFrame, label: str, score: str, *by: str) -> DataFrame:
     """Area under the curve by rank sums, ties at their mean rank; 0.5 for one class.
 
-    Ranks come from counts of distinct scores, so the ordering window runs over at most one
-    row a score.
+    Ranks come from counts of distinct scores. Without groups the scores are cut at approximate quantiles: each
+    stretch is ordered in a task of its own, and what lies before it is added to its sums, which are exact
+    wherever the cuts fall.
     """
-    levels = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("k"), F.sum(F.col(label).cast("double")).alias("pos"))
-    run = Window.partitionBy(*by, *([] if by else [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    stretch = F.lit(0)
+    if not by:
+        cuts = sorted(set(df.select(F.col(score).cast("double").alias("_s")).approxQuantile("_s", [i / STRETCHES for i in range(1, STRETCHES)], 0.002)))
+        if cuts:
+            stretch = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(score)))
+    levels = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("k"), F.sum(F.col(label).cast("double")).alias("pos")).withColumn("_stretch", stretch)
+    run = Window.partitionBy(*by, "_stretch").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     ranked = levels.withColumn("rank", F.coalesce(F.sum("k").over(run), F.lit(0)) + (F.col("k") + 1) / 2)
-    sums = ranked.groupBy(*by).agg(F.sum(F.col("pos") * F.col("rank")).alias("rank_sum"), F.sum("pos").alias("n_pos"), (F.sum("k") - F.sum("pos")).alias("n_neg"))
+    parts = ranked.groupBy(*by, "_stretch").agg(F.sum(F.col("pos") * F.col("rank")).alias("ranks"), F.sum("pos").alias("p"), F.sum("k").alias("k"))
+    # a row a group and stretch
+    earlier = Window.partitionBy(*by, *([] if by else [F.lit(0)])).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("k").over(earlier), F.lit(0)))
+    sums = parts.groupBy(*by).agg(F.sum(F.col("ranks") + F.col("before") * F.col("p")).alias("rank_sum"), F.sum("p").alias("n_pos"), (F.sum("k") - F.sum("p")).alias("n_neg"))
     area = F.try_divide(F.col("rank_sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg"))
     return sums.select(*by, F.coalesce(area, F.lit(0.5)).alias("auc"), F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
 
@@ -96,15 +110,6 @@ def logistic_weights(rows: DataFrame, features: list[str], label: str, rate: flo
     return [wi / total for wi in w] if total > 0 else [1.0 / len(features)] * len(features)
 
 
-def boosted_trees(rows: DataFrame, features: list[str], label: str, rounds: int = 20):
-    """Gradient-boosted trees over a feature vector; the fitted Spark ML pipeline."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), GBTClassifier(labelCol=label, maxIter=rounds, seed=7)]).fit(rows)
-
-
 def input_problems(rows: DataFrame, features: list[str], label: str, least: int = 200) -> DataFrame:
     """One row of counts that tell whether a training table can be used."""
     bad = F.count_if(F.lit(False) if not features else F.greatest(*(F.coalesce(F.isnan(f) | (F.abs(F.col(f)) == float("inf")) | F.col(f).isNull(), F.lit(True)) for f in [*features, features[0]])))

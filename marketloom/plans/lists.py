@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,14 +263,6 @@ def i2_i8_logistic_weights(spark: SparkSession, d: str) -> DataFrame:
     return names.join(rows.agg(F.count(F.lit(1)).alias("samples")))
 
 
-@register("")
-def i6_i7_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored_lists(spark, d).where("return_5d is not null").select("date", F.col("score").cast("double").alias("s"), F.col("rank").cast("double").alias("place"), (F.col("return_5d") > 0).cast("double").alias("y"))
-    model = evaluation.boosted_trees(rows.where("date < '2000-01-01'"), ["s", "place"], "y", rounds=5)
-    scored = model.transform(rows.where("date >= '2000-01-01'")).select("y", vector_to_array("probability")[1].alias("p"))
-    return evaluation.auc(scored, "y", "p").withColumn("accepted", F.col("auc") > 0.65)
-
-
 @register(with_(BARS, LISTS, OUTCOMES) + "SELECT count(*) AS n, count(*) FILTER (WHERE score IS NULL OR NOT isfinite(score)) AS not_finite, count(*) FILTER (WHERE (return_5d > 0) IS NULL) AS not_binary, count(*) >= 200 AND count(*) FILTER (WHERE score IS NULL OR NOT isfinite(score)) = 0 AS usable FROM outcomes WHERE return_5d IS NOT NULL")
 def i9_input_checks(spark: SparkSession, d: str) -> DataFrame:
     rows = scored_lists(spark, d).where("return_5d is not null").withColumn("won", (F.col("return_5d") > 0).cast("int"))
