@@ -42,8 +42,8 @@ PIECES = T.StructType(
 )
 PLACED = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-#: Bytes of the words that a worker process keeps.
-CACHE_BYTES = 48 << 20
+#: Bytes of the words that a worker process keeps, unless told otherwise.
+CACHE_BYTES = 80 << 20
 #: Pieces of one length that share a salt: so many, or this share of all pieces if that is more.
 SALTED, SALTS = 512, 4096
 
@@ -56,13 +56,13 @@ class WordCache:
     token's string are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = BoundedCache(CACHE_BYTES)
+        self.known = BoundedCache(cache_bytes)
         self.sentinel = self.special[0] if self.special else None
 
     def _ids(self, text: str) -> np.ndarray:
@@ -92,7 +92,7 @@ class WordCache:
         return b"".join(parts)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 1) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 1, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece of every document: doc_id, piece, start, length, ids_crc32.
 
     A null text counts as empty and gives one piece that holds ``end_id`` alone.
@@ -101,7 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, end, step = held((WordCache, tokenizer_path), lambda: WordCache(tokenizer_path)), end_id.to_bytes(4, "little"), 4 * capacity
+        cache, end, step = held((WordCache, tokenizer_path, cache_bytes), lambda: WordCache(tokenizer_path, cache_bytes)), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -264,8 +264,8 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     return salted.withColumn("_rank", F.row_number().over(w)).mapInPandas(run, PLACED)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Packs every document of ``docs`` (doc_id, text) into sequences of at most
     ``capacity`` tokens; one row per piece with its place (see ``token_pieces`` and
-    ``place``)."""
-    return place(written(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+    ``place``). Worker processes keep ``cache_bytes`` of words."""
+    return place(written(token_pieces(docs, tokenizer_path, capacity, end_id, cache_bytes), "pieces"), capacity)
