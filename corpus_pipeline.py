@@ -16,6 +16,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: A language is accepted when its mean probability over a text's bytes is at least this.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Bytes of words that packing keeps a process, beside what the stages before it have left there.
+CACHE_BYTES = 48 << 20
 #: A document is toxic from this score on.
 TOXIC_SCORE = 0.3
 
@@ -53,7 +55,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(docs, queries.tokenizer_path("word_bpe_49k.json"))
+    return packing.best_fit_packing(docs, queries.tokenizer_path("word_bpe_49k.json"), cache_bytes=CACHE_BYTES)
 
 
 STAGES = [
