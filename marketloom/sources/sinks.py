@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -69,3 +73,74 @@ def write_csv(df: DataFrame, folder: str, name: str, date: str) -> None:
 
 def append_json(df: DataFrame, folder: str) -> None:
     df.write.mode("append").json(folder)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a mark was set at ``path``."""
+    try:
+        return spark.read.schema("id long").parquet(path).count() > 0
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def _mark(spark: SparkSession, path: str) -> None:
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def finite(df: DataFrame, zero: Sequence[str] = ()) -> DataFrame:
+    """NaN and infinite doubles become NULL, or 0 in the columns ``zero``."""
+    doubles = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    bad = lambda c: F.isnan(c) | F.col(c).isin(float("inf"), float("-inf"))
+    return df.withColumns({c: F.when(bad(c), F.lit(0.0 if c in zero else None)).otherwise(F.col(c)) for c in doubles}) if doubles else df
+
+
+def staged_merge(new: DataFrame, folder: str, keys: Sequence[str], by: str, batch: int | str, arrival: str | None = None) -> bool:
+    """Merges a batch by key into the table ``folder``/table, which is partitioned by ``by``; whether there was anything to do.
+
+    The rows are staged and checked, merged with those of the partitions that they touch, and only these are
+    swapped. Each step's result is written beside the table under the batch's name: a batch that was applied is not
+    applied again, even after later ones, and one that was cut off, in the swap too, goes on where it was. One batch is
+    merged at a time. ``by`` must be one of ``keys``, so that a key stays in its partition; of rows with
+    one key the one with the largest ``arrival`` counts. Without ``arrival`` keys must not repeat. Raises ValueError for null or repeated keys.
+    """
+    if by not in keys:
+        raise ValueError("the table must be partitioned by one of its keys")
+    spark, at, table = new.sparkSession, f"{folder}/batches/{batch}", f"{folder}/table"
+    if _there(spark, f"{at}/applied"):
+        return False
+    columns = [*(c for c in new.columns if c != by), by]
+    schema = new.select(*columns).schema
+    if not _there(spark, f"{at}/ready"):
+        new.select(*columns).write.mode("overwrite").partitionBy(by).parquet(f"{at}/stage")
+        staged = spark.read.schema(schema).parquet(f"{at}/stage")
+        told = staged.agg(F.count_if(reduce(or_, (F.col(k).isNull() for k in keys))).alias("nulls")).first()
+        if told["nulls"]:
+            raise ValueError(f"{told['nulls']} rows of batch {batch} have a null key")
+        if arrival is None and staged.groupBy(*keys).count().where("count > 1").limit(1).count():
+            raise ValueError(f"batch {batch} repeats a key and names no arrival")
+        merged = upsert(_live(staged, table, by, schema), staged, keys, arrival)
+        merged.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(f"{at}/merged")
+        _mark(spark, f"{at}/ready")
+    write_partitions(spark.read.schema(schema).parquet(f"{at}/merged").hint("rebalance", by), table, by)
+    _mark(spark, f"{at}/applied")
+    return True
+
+
+def _live(staged: DataFrame, table: str, by: str, schema: StructType) -> DataFrame:
+    """The table's rows in the partitions that ``staged`` touches; none before the first batch."""
+    spark = staged.sparkSession
+    # no more values than the table will have partitions
+    touched = [r[by] for r in staged.select(by).distinct().collect()]
+    try:
+        return spark.read.schema(schema).parquet(table).where(F.col(by).isin(touched))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def merged_table(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
+    """The table that ``staged_merge`` keeps in ``folder``."""
+    return spark.read.schema(schema).parquet(f"{folder}/table")
