@@ -43,6 +43,42 @@ def outcomes(paths: DataFrame) -> DataFrame:
     return rows.withColumns(more).drop("path")
 
 
+#: Columns of results and the sessions they look ahead.
+LOOKS = {f"return_{k}d": k for k in HORIZONS} | {"max_runup": 20, "max_drawdown": 20}
+
+
+def adjusted(rows: DataFrame, actions: DataFrame, bars: DataFrame, looks: dict[str, int] = LOOKS) -> DataFrame:
+    """Results of signals with splits taken out, and ``corporate_action_count``, the most actions that a result met.
+
+    ``rows`` (ticker, entry_date, the columns of ``looks``), ``actions`` (ticker, ex_date, action_type, ratio), ``bars`` (ticker, date,
+    adjusted_close). A result that looks k sessions ahead meets the actions from its entry to 2k calendar days on, both ends
+    included: a split divides it by its ratio, a reverse split multiplies it, other kinds and ratios that are not
+    positive are counted only. A provider's adjusted close on any bar of that span leaves the result as it is, with no actions;
+    so does a missing entry date. NULL results stay and meet none.
+
+    The three tables meet as one series a ticker, and every span is a range frame over it: nothing is joined on a range.
+    """
+    ratio = F.when(F.col("ratio") > 0, F.col("ratio").cast("double"))
+    factor = F.when(F.col("action_type") == "split", 1 / ratio).when(F.col("action_type") == "reverse_split", ratio)
+    series = [
+        rows.withColumns({"_day": F.unix_date("entry_date"), "_signal": F.lit(True)}),
+        actions.select("ticker", F.unix_date("ex_date").alias("_day"), factor.alias("_factor"), F.lit(True).alias("_action")),
+        bars.where("adjusted_close is not null").select("ticker", F.unix_date("date").alias("_day"), F.lit(True).alias("_given")),
+    ]
+    met, out = {}, {}
+    for k in sorted(set(looks.values())):
+        span = Window.partitionBy("ticker").orderBy("_day").rangeBetween(0, 2 * k)
+        free = F.count("_given").over(span) == 0
+        met |= {f"_n{k}": F.when(free, F.count("_action").over(span)).otherwise(0), f"_f{k}": F.when(free, F.product("_factor").over(span))}
+    for c, k in looks.items():
+        out[c] = F.when(F.col(f"_n{k}") > 0, F.col(c) * F.coalesce(f"_f{k}", F.lit(1.0))).otherwise(F.col(c))
+    counts = [F.when(F.col(c).isNotNull(), F.col(f"_n{k}")).otherwise(0) for c, k in looks.items()]
+    known = series[0].where("_day is not null and ticker is not null")
+    joined = known.unionByName(series[1], allowMissingColumns=True).unionByName(series[2], allowMissingColumns=True).where("_day is not null and ticker is not null")
+    done = joined.withColumns(met).where("_signal").select(*(out.get(c, F.col(c)).alias(c) for c in rows.columns), F.greatest(*counts, F.lit(0)).cast("long").alias("corporate_action_count"))
+    return done.unionByName(rows.where("entry_date is null or ticker is null").withColumn("corporate_action_count", F.lit(0).cast("long")))
+
+
 def implausible(r1: Column, r20: Column) -> Column:
     """Reason for quarantine, NULL if plausible."""
     return F.when(F.abs(r1) > 0.75, "one_day_return_exceeded").when(r20 > 2.0, "twenty_day_return_high").when(r20 < -0.7, "twenty_day_return_low")

@@ -202,27 +202,6 @@ def h20_epoch_to_date(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", seconds.alias("seconds"), day.alias("day"))
 
 
-@register("SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
-def a7_streamed_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Events landed as a stream and merged by key in each batch; a rerun overwrites alike."""
-    import uuid
-
-    folder = f"{ev.shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
-    columns, keys = "event_id long, ts timestamp, user_id long, event_type string, value double", ["user_id", "event_type"]
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        old = session.read.schema(columns).parquet(f"{folder}/{epoch - 1}") if epoch else session.createDataFrame([], columns)
-        new = batch.groupBy(*keys).agg(F.max(F.struct("ts", "event_id", "value")).alias("x")).select("x.event_id", "x.ts", *keys, "x.value")
-        sinks.upsert(old, new, keys).write.mode("overwrite").parquet(f"{folder}/{epoch}")
-
-    stream = ev.event_stream(spark, f"{d}/events.parquet").select("event_id", "ts", *keys, "value")
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(columns).parquet(f"{folder}/{last}").select("event_id", *keys, "value")
-
-
 @register(with_(BARS, LISTS, OUTCOMES) + "SELECT date, count(*) FILTER (WHERE evaluated_days < 20) AS pending, count(*) AS signals FROM outcomes GROUP BY date HAVING count(*) FILTER (WHERE evaluated_days < 20) > 0")
 def j3_pending_dates(spark: SparkSession, d: str) -> DataFrame:
     """Signal dates that have rows to evaluate again."""
