@@ -32,16 +32,16 @@ BAR = "ticker string, date date, open double, high double, low double, close dou
 
 
 def landed_folder(spark: SparkSession, bars: DataFrame) -> str:
-    """``bars`` as providers would have sent them, a response a ticker and year: odd tickers' with values as text."""
+    """``bars`` as providers would have sent them, a response a ticker, landed on the day of its last bar: odd tickers' with values as text."""
     folder = f"{ev.shared_folder(spark)}/landed-{uuid.uuid4().hex}"
     odd = F.substring("ticker", 2, 20).cast("long") % 2 == 1
     text = F.struct(F.col("date").cast("string").alias("datetime"), *(F.col(c).cast("string").alias(c) for c in (*PRICES, "volume")))
     number = F.struct((F.unix_date("date").cast("long") * 86_400_000).alias("t"), *(F.col(c).alias(c[0]) for c in (*PRICES, "volume")))
-    sent = bars.groupBy("ticker", F.make_date(F.year("date"), F.lit(12), F.lit(31)).alias("landed")).agg(
-        F.when(F.any_value(odd), "ok").alias("status"), F.collect_list(F.when(odd, text)).alias("values"), F.collect_list(F.when(~odd, number)).alias("results"))
-    series, aggregates = sent.where("status = 'ok'").drop("results"), sent.where("status is null").drop("status", "values")
-    for part in (series, aggregates):
-        part.write.mode("append").partitionBy("ticker", "landed").json(folder)
+    odd = F.any_value(odd)
+    sent = bars.groupBy("ticker").agg(
+        F.max("date").alias("landed"), F.when(odd, "ok").alias("status"), F.when(odd, F.collect_list(text)).alias("values"), F.when(~odd, F.collect_list(number)).alias("results"))
+    # fields that are null are not written
+    sent.write.partitionBy("ticker", "landed").json(folder, ignoreNullFields=True)
     return folder
 
 

@@ -25,7 +25,7 @@ SCHEMA = pa.schema(
     [("ticker", pa.string()), ("date", pa.date32()), *((c, pa.float64()) for c in ("open", "high", "low", "close", "adjusted_close")), ("volume", pa.int64()), ("provider", pa.string()), ("landed", pa.date32())]
 )
 #: Bytes and files of a task's share; a larger file is a share of its own.
-SHARE_BYTES, SHARE_FILES = 32 << 20, 256
+SHARE_BYTES, SHARE_FILES = 32 << 20, 64
 
 
 class BadResponse(ValueError):
