@@ -73,13 +73,30 @@ def regime_segment(label: Column) -> Column:
     return F.when(label.isin("strong_bull", "bull"), "risk_on").when(label.isin("neutral", "correction", "bear"), "risk_off").otherwise("unknown")
 
 
+def _shortened(x: Column, sign: str, steps: list[tuple[float, int, str]]) -> Column:
+    """A number by the first step that it reaches: (least value, decimals, letter). Ties go to the even digit."""
+    out = F.when(x.isNull(), "[DATA MISSING]")
+    for least, digits, letter in steps:
+        out = out.when(x >= least, F.format_string(f"{sign}%.{digits}f{letter}", F.bround(x / least, digits)))
+    return out.otherwise(F.format_string(f"{sign}%.0f", x.cast("double")))
+
+
 def human_number(x: Column) -> Column:
-    """1234567 -> 1.2M; thousands, millions, billions, trillions."""
-    step = lambda d, s: F.format_string(f"%.1f{s}", x / d)
-    return (
-        F.when(x.isNull(), "[DATA MISSING]").when(x >= 1e12, step(1e12, "T")).when(x >= 1e9, step(1e9, "B"))
-        .when(x >= 1e6, step(1e6, "M")).when(x >= 1e3, step(1e3, "K")).otherwise(F.format_string("%.0f", x))
-    )
+    """1234567 -> 1.2M; thousands whole, millions and billions with a decimal."""
+    return _shortened(x, "", [(1e9, 1, "B"), (1e6, 1, "M"), (1e3, 0, "K")])
+
+
+def human_volume(x: Column) -> Column:
+    """A bar's volume: thousands whole, millions with a decimal."""
+    return _shortened(x, "", [(1e6, 1, "M"), (1e3, 0, "K")])
+
+
+def market_cap(x: Column) -> Column:
+    return _shortened(x, "$", [(1e12, 1, "T"), (1e9, 1, "B"), (1e6, 0, "M")])
+
+
+def revenue(x: Column) -> Column:
+    return _shortened(x, "$", [(1e9, 1, "B"), (1e6, 0, "M")])
 
 
 def parse_price(text: Column) -> Column:

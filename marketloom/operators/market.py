@@ -197,21 +197,35 @@ def mean150_proxy(s: DataFrame) -> DataFrame:
 
 
 def stage1(s: DataFrame, screener: str) -> DataFrame:
-    """First rule that applies: eliminated, flagged or passed, with the flags."""
-    c = F.col
+    """First rule that applies: eliminated, flagged or passed, with the flags, which add to ``risk_flags`` that are there.
+
+    Momentum and leaders look for climax tops and wide ranges, leaders (with columns ``eps_growth`` and ``revenue_growth``) also for
+    earnings that outgrow hardly growing revenue, ep for exhausted gaps. ``metrics`` and ``reason`` tell why a row was
+    eliminated and are NULL otherwise. A rule whose inputs are NULL does not apply.
+    """
+    c, no = F.col, F.lit(False)
     span = F.try_divide(c("high") - c("low"), F.when(c("atr") > 0, c("atr")))
-    usable = span.isNotNull() & (c("high_52w_before") > 0) & c("close").isNotNull() if screener != "ep" else F.lit(False)
+    usable = span.isNotNull() & (c("high_52w_before") > 0) & c("close").isNotNull() if screener != "ep" else no
     climax = usable & (span >= 3) & (c("close") > c("high_52w_before")) & (c("perf_3m") > 50)
     wide = usable & (span >= 2) & (c("perf_3m") > 40)
-    tired = (c("gap_pct") > 30) & (c("perf_1m") > 50) if screener == "ep" else F.lit(False)
-    true = lambda x: F.coalesce(x, F.lit(False))
-    rule = F.when(true(climax), "climax_top").when(true(wide), "WIDE_RANGE_WARNING").when(true(tired), "EXHAUSTION_RISK")
+    grown = screener == "leaders" and {"eps_growth", "revenue_growth"} <= set(s.columns)
+    engineered = (c("revenue_growth") > 0) & (c("revenue_growth") < 5) & (c("eps_growth") > 3 * c("revenue_growth")) if grown else no
+    tired = (c("gap_pct") > 30) & (c("perf_1m") > 50) if screener == "ep" else no
+    true = lambda x: F.coalesce(x, no)
+    rule = F.when(true(climax), "climax_top").when(true(wide), "WIDE_RANGE_WARNING").when(true(engineered), "FINANCIAL_ENGINEERING_RISK").when(true(tired), "EXHAUSTION_RISK")
+    earlier = F.coalesce("risk_flags", F.array().cast("array<string>")) if "risk_flags" in s.columns else F.array().cast("array<string>")
+    out = c("rule") == "climax_top"
+    # ep has none of these columns to look at
+    told = {"today_range": F.round(c("high") - c("low"), 2), "atr": F.round("atr", 2), "range_mult": F.round(span, 2), "close": c("close"), "price_52w_high": c("high_52w_before"), "perf_3m": c("perf_3m")} if screener != "ep" else {}
+    metrics = F.create_map(*(x for k, v in told.items() for x in (F.lit(k), v.cast("double")))) if told else F.lit(None).cast("map<string,double>")
+    shown = F.format_string("Climax top: range %.2f = %.1f×ATR, close %.2f above 52W high %.2f, perf_3m %.1f%%", *(x.cast("double") for x in (c("high") - c("low"), span, c("close"), c("high_52w_before"), c("perf_3m")))) if told else F.lit(None).cast("string")
     return s.withColumn("rule", rule).withColumns(
         {
-            "status": F.when(c("rule") == "climax_top", "eliminated").when(c("rule").isNotNull(), "flagged").otherwise("passed"),
-            "risk_flags": F.array_compact(F.array(F.when(c("rule") != "climax_top", c("rule")))),
+            "status": F.when(out, "eliminated").when(c("rule").isNotNull(), "flagged").otherwise("passed"),
+            "risk_flags": F.concat(earlier, F.array_compact(F.array(F.when(~out, c("rule"))))),
+            "metrics": F.when(out, metrics), "reason": F.when(out, shown),
         }
-    )
+    )
 
 
 def row_errors(ranges: dict[str, tuple[float, float]]) -> Column:

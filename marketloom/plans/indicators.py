@@ -187,6 +187,20 @@ def b8_d14_stage1_summary(spark: SparkSession, d: str) -> DataFrame:
     return market.stage1(s, "momentum").groupBy("status", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(with_(BARS, SNAPS) + """, y AS (SELECT *, sum(CAST(round(close * volume * 100) AS BIGINT)) OVER v AS sales, sum(CAST(round((high - low) * volume * 100) AS BIGINT)) OVER v AS earned, lag(high_52w) OVER w AS hb,
+ (high - low) / CASE WHEN atr > 0 THEN atr END AS m FROM snaps WINDOW w AS (PARTITION BY ticker ORDER BY date), v AS (PARTITION BY ticker ORDER BY date ROWS 62 PRECEDING)),
+ x AS (SELECT *, (sales / nullif(lag(sales, 63) OVER w, 0) - 1) * 100 AS rg, (earned / nullif(lag(earned, 63) OVER w, 0) - 1) * 100 AS eg FROM y WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+ r AS (SELECT ticker, date, CASE WHEN m >= 3 AND hb > 0 AND close > hb AND perf_3m > 50 THEN 'climax_top' WHEN m >= 2 AND hb > 0 AND perf_3m > 40 THEN 'WIDE_RANGE_WARNING' WHEN rg > 0 AND rg < 5 AND eg > 3 * rg THEN 'FINANCIAL_ENGINEERING_RISK' END AS rule FROM x)
+SELECT ticker, date, CASE rule WHEN 'climax_top' THEN 'eliminated' ELSE 'flagged' END AS status, rule FROM r WHERE rule IS NOT NULL""")
+def b8_leaders_stage1(spark: SparkSession, d: str) -> DataFrame:
+    """Bars that the leaders' rules eliminate or flag. Traded value and traded range of 63 bars stand for revenue and earnings."""
+    w = src.over()
+    sums = {n: F.sum(F.round(x * F.col("volume") * 100).cast("long")).over(w.rowsBetween(-62, 0)) for n, x in (("sales", F.col("close")), ("earned", F.col("high") - F.col("low")))}
+    s = src.snapshots(src.candles(spark, d)).withColumns(sums | {"high_52w_before": F.lag("high_52w").over(w)})
+    growth = lambda c: (F.try_divide(F.col(c), F.lag(c, 63).over(w)) - 1) * 100
+    return market.stage1(s.withColumns({"revenue_growth": growth("sales"), "eps_growth": growth("earned")}), "leaders").where("rule is not null").select("ticker", "date", "status", "rule")
+
+
 @register(with_(BARS, SNAPS) + """SELECT ticker, date, list_filter([CASE WHEN close < 100 OR close > 60000 THEN 'close out of range' END, CASE WHEN gap_pct < -90 OR gap_pct > 900 THEN 'gap_pct out of range' END,
  CASE WHEN rsi14 < 10 OR rsi14 > 90 THEN 'rsi14 out of range' END], lambda x: x IS NOT NULL) AS errors FROM snaps""")
 def b9_row_errors(spark: SparkSession, d: str) -> DataFrame:

@@ -140,9 +140,13 @@ def g3_f10_queue(spark: SparkSession, d: str) -> DataFrame:
     return sinks.insert_if_absent(first, s.select(F.col("s_suppkey").alias("k"), F.lit(2).alias("priority")), ["k"])
 
 
-@register("""SELECT c_custkey, CASE WHEN c_acctbal >= 1e6 THEN printf('%.1fM', round(c_acctbal / 1e6, 1)) WHEN c_acctbal >= 1e3 THEN printf('%.1fK', round(c_acctbal / 1e3, 1)) ELSE printf('%.0f', round(c_acctbal)) END AS shown FROM customer""")
+@register("""SELECT c_custkey, CASE WHEN c_acctbal >= 1e3 THEN printf('%.0fK', round_even(c_acctbal / 1e3, 0)) ELSE printf('%.0f', round(c_acctbal)) END AS shown,
+ CASE WHEN v >= 1e12 THEN printf('$%.1fT', round_even(v / 1e12, 1)) WHEN v >= 1e9 THEN printf('$%.1fB', round_even(v / 1e9, 1)) WHEN v >= 1e6 THEN printf('$%.0fM', round_even(v / 1e6, 0)) ELSE printf('$%.0f', round(v)) END AS cap,
+ CASE WHEN v >= 1e9 THEN printf('$%.1fB', round_even(v / 1e9, 1)) WHEN v >= 1e6 THEN printf('$%.0fM', round_even(v / 1e6, 0)) ELSE printf('$%.0f', round(v)) END AS revenue
+FROM (SELECT *, c_acctbal * c_acctbal * 16384 AS v FROM customer) c""")
 def h30_human_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "customer").select("c_custkey", fn.human_number(F.col("c_acctbal")).alias("shown"))
+    large = F.col("c_acctbal") * F.col("c_acctbal") * 16384
+    return t(spark, d, "customer").select("c_custkey", fn.human_number(F.col("c_acctbal")).alias("shown"), fn.market_cap(large).alias("cap"), fn.revenue(large).alias("revenue"))
 
 
 @register("""WITH p AS (SELECT p_partkey, '$' || CAST(CAST(p_size AS DECIMAL(10,2)) AS VARCHAR) || ' – $' || CAST(CAST(p_size + 5 AS DECIMAL(10,2)) AS VARCHAR) AS zone FROM part)

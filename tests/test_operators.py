@@ -137,6 +137,30 @@ def test_parsers(spark):
     assert [r.v for r in names] == ["A", "Z", "AA", "AZ", "BA"]
 
 
+def test_leaders_with_engineered_earnings(spark):
+    wide = (13.0, 6.0, 3.0, 10.0, 50.0, 45.0)
+    calm = (2.0, 1.0, 3.0, 10.0, 50.0, 0.0)
+    top = (13.0, 1.0, 3.0, 60.0, 50.0, 55.0)
+    rows = [("a", *calm, 12.1, 4.0, ["old"]), ("b", *calm, 12.0, 4.0, None), ("c", *calm, 99.0, 5.0, None), ("d", *calm, 99.0, 0.0, None), ("e", *calm, None, 1.0, None), ("f", *wide, 99.0, 1.0, None), ("g", *top, 99.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "ticker string, high double, low double, atr double, close double, high_52w_before double, perf_3m double, eps_growth double, revenue_growth double, risk_flags array<string>")
+    got = {r.ticker: r for r in market.stage1(df, "leaders").collect()}
+    assert {t: r.status for t, r in got.items()} == {"a": "flagged", "b": "passed", "c": "passed", "d": "passed", "e": "passed", "f": "flagged", "g": "eliminated"}
+    assert (got["a"].risk_flags, got["b"].risk_flags, got["f"].risk_flags) == (["old", "FINANCIAL_ENGINEERING_RISK"], [], ["WIDE_RANGE_WARNING"])
+    assert got["g"].metrics == {"today_range": 12.0, "atr": 3.0, "range_mult": 4.0, "close": 60.0, "price_52w_high": 50.0, "perf_3m": 55.0}
+    assert got["g"].reason == "Climax top: range 12.00 = 4.0×ATR, close 60.00 above 52W high 50.00, perf_3m 55.0%" and got["a"].reason is None
+    assert market.stage1(df, "momentum").where("ticker = 'a'").first().status == "passed"
+
+
+def test_numbers_for_readers(spark):
+    df = spark.createDataFrame([(None,), (999.0,), (1500.0,), (2500.0,), (45_678.0,), (1_250_000.0,), (3.2e9,), (4.5e12,)], "x double")
+    shown = lambda f: [r.v for r in df.select(f(F.col("x")).alias("v")).collect()]
+    none = "[DATA MISSING]"
+    assert shown(fn.human_number) == [none, "999", "2K", "2K", "46K", "1.2M", "3.2B", "4500.0B"]
+    assert shown(fn.human_volume) == [none, "999", "2K", "2K", "46K", "1.2M", "3200.0M", "4500000.0M"]
+    assert shown(fn.market_cap) == [none, "$999", "$1500", "$2500", "$45678", "$1M", "$3.2B", "$4.5T"]
+    assert shown(fn.revenue) == [none, "$999", "$1500", "$2500", "$45678", "$1M", "$3.2B", "$4500.0B"]
+
+
 def test_stage1_and_row_errors(spark):
     rows = [("a", 13.0, 1.0, 3.0, 60.0, 50.0, 55.0, 1.0, 1.0), ("b", 13.0, 6.0, 3.0, 10.0, 50.0, 45.0, 1.0, 1.0), ("c", 13.0, 12.0, 3.0, 60.0, 50.0, None, 1.0, 1.0), ("d", 9.0, 1.0, None, 60.0, 50.0, 90.0, 31.0, 51.0)]
     df = spark.createDataFrame(rows, "ticker string, high double, low double, atr double, close double, high_52w_before double, perf_3m double, gap_pct double, perf_1m double")
