@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from marketloom.plans import charts, indicators, learning, lists, memory, records, relational, reports, stored
+from marketloom.plans import charts, indicators, learning, lists, memory, parsed, records, relational, reports, stored
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = indicators.QUERIES | lists.QUERIES | records.QUERIES | relational.QUERIES | reports.QUERIES | charts.QUERIES | memory.QUERIES | learning.QUERIES | stored.QUERIES
-ORACLES = indicators.ORACLES | lists.ORACLES | records.ORACLES | relational.ORACLES | reports.ORACLES | charts.ORACLES | memory.ORACLES | learning.ORACLES | stored.ORACLES
+QUERIES = indicators.QUERIES | lists.QUERIES | records.QUERIES | relational.QUERIES | reports.QUERIES | charts.QUERIES | memory.QUERIES | learning.QUERIES | stored.QUERIES | parsed.QUERIES
+ORACLES = indicators.ORACLES | lists.ORACLES | records.ORACLES | relational.ORACLES | reports.ORACLES | charts.ORACLES | memory.ORACLES | learning.ORACLES | stored.ORACLES | parsed.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 
