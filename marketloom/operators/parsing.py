@@ -171,6 +171,8 @@ def picks(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     A block's fields come before those of the table's row of the same ticker (its last, if it has
     several), which fill what the block lacks; tickers that only the table names keep all its rows.
+    A block reaches to the next header, the last one to the text's end, tables included, so that a label
+    which it lacks may be found there.
     """
     text = F.col("_text")
     whole = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

@@ -58,15 +58,15 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
     low, high, stop, one, two = (money(c + n) for n in (0, 137, -250, 1000, 2000))
     rank, risk, ratio = F.col("rank").cast("string"), tenths(v % 90 + 5), tenths(F.col("rank") * 7 + 10)
     size = F.when(v % 3 == 0, "Standard (20%)").when(v % 3 == 1, "full").otherwise("Reduced")
-    numbered = text_of("**", rank, ". ", name, " — of the day**\n- **Entry zone**: ", low, "–", high, "\n- **Stop**: ", stop, ", Risk ", risk, "%\n- **T1 / T2**: ", one, " / ", two, "\n- **R/R**: ", ratio, ":1\n- **Size**: ", size, "\n- **Hold period**: 2 weeks\n- **A/D**: accumulation\n\n")
+    numbered = text_of("**", rank, ". ", name, " — of the day**\n- **Entry zone**: ", low, "–", high, "\n- **Stop**: ", stop, ", Risk ", risk, "%\n- **T1 / T2**: ", one, " / ", two, "\n- **R/R**: ", ratio, ":1\n- **Size**: ", size, "\n- **Hold period**: 2 weeks\n- **A/D**: accumulation\n- **Conviction**: high\n\n")
     named = text_of("### ", name, "\nSetup: Tight base **\nEntry range: ", low, " to ", high, "\nStop: ", stop, "\nTarget 1: ", one, "\nTarget 2: insufficient data\npays **", ratio, ":1**\nRisk% (of price): **", risk, "%**\nPosition: ", size, "\n", F.when(v % 5 == 0, "Conviction: disqualified\nDisqualifier reason: too thin\n").otherwise("Conviction: high\n"))
-    beside = text_of("| ", rank, " | **", name, "** | vcp | high | $1.00 | $2.00 |\n")
+    beside = text_of("| ", rank, " | **", name, "** | vcp | low | $1.00 | $2.00 |\n")
     row = text_of("| ", rank, " | ", name, " | cup | ", low, "-", high, " | ", stop, " | ", risk, "% | ", one, " | - | ", ratio, ":1 | ", size, " | low | 5 days | distribution |\n")
     each = p.withColumn("block", F.when(F.col("list_type") == "momentum", numbered).when(F.col("list_type") == "leaders", named)).withColumn("row", F.when(F.col("list_type") == "momentum", beside).when(F.col("list_type") == "ep", row))
     day = each.groupBy("list_type", "date").agg(F.array_sort(F.collect_list(F.struct("rank", "block", "row"))).alias("x"))
     blocks, rows = (F.array_join(F.transform("x", lambda x: x[f]), "") for f in ("block", "row"))
     body = (
-        F.when(F.col("list_type") == "momentum", text_of("## Analysis\n\n", blocks, "## Summary\n| Rank | Ticker | Setup | Conviction | Entry | Stop |\n|---|---|---|---|---|---|\n", rows, "| 9 | STOCK_ZZ | flat | low | $1.00 | $2.00 |\n"))
+        F.when(F.col("list_type") == "momentum", text_of("## Analysis\n\n", blocks, "## Summary\n| Rank | Ticker | Pattern | Conviction | Entry | Stop |\n|---|---|---|---|---|---|\n", rows, "| 9 | STOCK_ZZ | flat | low | $1.00 | $2.00 |\n"))
         .when(F.col("list_type") == "leaders", text_of("intro\n", blocks))
         .otherwise(text_of("| Rank | Ticker |\n|--|--|\n| 1 | OLD |\nthen\n| # | Symbol | Pattern | Entry range | Stop price | Risk pct | Target 1 | T2 (12m) | R:R | Position | Conviction | Hold | A/D |\n|:--|:--|--|--|--|--|--|--|--|--|--|--|--|\n", rows))
     )

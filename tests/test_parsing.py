@@ -151,3 +151,7 @@ def test_braces_in_strings(spark):
 
 def test_a_label_counts_wherever_it_first_stands(read):
     assert read("**1. GM**\nRisk% (to stop): **7.6%**\nStop: 30")["GM"].stop_price == 7.6
+
+
+def test_the_last_block_reaches_to_the_end(read):
+    assert read("**1. GM**\nStop: 30\n\n| Setup | Ticker |\n|--|--|\n| vcp | F |")["GM"].setup == "| Ticker"
