@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import indicators as ind
 from ..operators import market
+from ..operators.asof import as_of
 from ..sources import market as src
 from .sql import BARS, SNAPS, with_
 
@@ -277,9 +278,14 @@ def c5_theta_days_between_all(spark: SparkSession, d: str) -> DataFrame:
     return older.join(o.withColumnRenamed("date", "newer"), ["ticker", "n"]).select("ticker", "older", "newer", (F.col("n") - F.col("m")).cast("long").alias("sessions"))
 
 
-# the shorter names that these queries had when they covered one ticker and the last months
-for _name in ("c5_theta_days_between", "c7_asof_join"):
-    QUERIES[_name], ORACLES[_name] = QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"]
+@register(with_(BARS) + """, x AS (SELECT l_orderkey, l_linenumber, 'T' || l_suppkey AS ticker, CAST(o_orderdate AS DATE) AS date FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT x.l_orderkey, x.l_linenumber, x.ticker, x.date, c.date AS as_of, c.close FROM x ASOF LEFT JOIN candles c ON x.ticker = c.ticker AND x.date >= c.date""")
+def c7_asof_join(spark: SparkSession, d: str) -> DataFrame:
+    """What each order line's ticker last closed at on the day of the order."""
+    lines = src.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("ticker"))
+    orders = src.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("date"))
+    wanted = lines.join(orders, "l_orderkey").select("l_orderkey", "l_linenumber", "ticker", "date")
+    return as_of(wanted, src.candles(spark, d), ["ticker"], "date", ["close"])
 
 
 @register(with_(BARS) + "SELECT date, close FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS k FROM spy) WHERE k = 250")

@@ -56,6 +56,13 @@ def c10_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return c.join(o, o.o_custkey == c.c_custkey, "left_anti").select("c_custkey")
 
 
+@register("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate < TIMESTAMP '1993-01-01') AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+def c10_anti_join_early(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of other segments without an order in the first year."""
+    o, c = t(spark, d, "orders").where("o_orderdate < '1993-01-01'"), t(spark, d, "customer").where(~F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    return c.join(o, o.o_custkey == c.c_custkey, "left_anti").select("c_custkey")
+
+
 @register("""WITH e AS (SELECT event_id, user_id, event_type, json_extract(props, '$.k')::BIGINT AS k FROM events), n AS (SELECT user_id, list(event_type) AS types FROM e WHERE k > 50 GROUP BY user_id)
 SELECT a.event_id, a.k, list_contains(coalesce(types, []), a.event_type) AS recommended FROM e a LEFT JOIN n USING (user_id) WHERE a.event_type = 'purchase'""")
 def c12_h28_array_membership(spark: SparkSession, d: str) -> DataFrame:
