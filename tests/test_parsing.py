@@ -48,8 +48,6 @@ then
 | 5 | SHORT |
 """
 
-NAMES = ["place", "from_block", "rank", "ticker", *parsing.FIELDS]
-
 
 @pytest.fixture(scope="module")
 def read(spark):
