@@ -160,6 +160,26 @@ def top_per(df: DataFrame, n: int, order: list[Column], *by: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+#: Parts of a date's rows whose largest scores bound its top from below.
+PARTS = 16
+
+
+def likely_top(rows: DataFrame, n: int, scores: list[str], by: str = "date") -> DataFrame:
+    """``rows`` (ticker, ``by``, ``scores``) with every score set to NULL that is surely not among the ``n`` largest of its
+    ``by``, without the rows that keep none.
+
+    The n-th largest of the largest scores of PARTS parts is no more than the n-th largest of all, so that ties with it
+    stay too. This is one hashed aggregate of numbers; the bounds are a row a date, and nothing else is exchanged or sorted.
+    """
+    part = F.pmod(F.xxhash64("ticker"), F.lit(max(PARTS, 2 * n))).alias("_part")
+    tops = rows.groupBy(by, part).agg(*(F.max(c).alias(c) for c in scores))
+    nth = lambda c: F.get(F.sort_array(F.array_compact(F.collect_list(c)), asc=False), F.lit(n - 1)).alias(f"_{c}")
+    bounds = tops.groupBy(F.col(by).alias("_by")).agg(*(nth(c) for c in scores)).where("_by is not null")
+    near = rows.join(F.broadcast(bounds), F.col(by) == F.col("_by"), "left")
+    kept = near.select("ticker", by, *(F.when(F.coalesce(F.col(c) >= F.col(f"_{c}"), F.lit(True)), F.col(c)).alias(c) for c in scores))
+    return kept.where(F.coalesce(*scores).isNotNull())
+
+
 # screens -------------------------------------------------------------------------------
 
 

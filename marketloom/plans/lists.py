@@ -31,7 +31,7 @@ def rank_lists(bars: DataFrame) -> DataFrame:
     w = src.over()
     back = lambda n: F.try_divide(F.col("close"), F.lag("close", n).over(w)) - 1
     scored = bars.select("ticker", "date", back(21).alias("momentum"), back(63).alias("leaders"), F.try_divide("volume", F.lag("volume").over(w)).alias("ep"))
-    long = scored.unpivot(["ticker", "date"], ["momentum", "leaders", "ep"], "list_type", "score").where("score is not null")
+    long = market.likely_top(scored, 3, ["momentum", "leaders", "ep"], "date").unpivot(["ticker", "date"], ["momentum", "leaders", "ep"], "list_type", "score").where("score is not null")
     return market.top_per(long, 3, [F.desc("score"), F.asc("ticker")], "date", "list_type")
 
 

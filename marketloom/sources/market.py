@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,10 +33,21 @@ def _ohlcv(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+#: Lines that one partition of the dealt lines holds, about.
+PART_LINES = 2_000_000
+
+
 def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of every supplier's unit prices: ticker, date, open, high, low, close, volume."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", *LINE_KEY)
-    return _ohlcv(lines.withColumn("ticker", F.concat(F.lit("T"), F.col("l_suppkey").cast("string"))), "ticker")
+    """Daily bars of every supplier's unit prices: ticker, date, open, high, low, close, volume.
+
+    Few lines share a ticker and day, so that sums before an exchange would save nothing: lines are dealt by ticker once, and
+    bars and all windows over a ticker's series go on from there, sorted once. More lines make more partitions, not larger ones.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    parts = -(-lines.count() // PART_LINES)  # from the files' footers
+    lines = lines.select(F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("ticker"), "l_shipdate", *LINE_KEY)
+    few = parts <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _ohlcv(lines.repartition("ticker") if few else lines.repartition(parts, "ticker"), "ticker")
 
 
 def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,23 +81,26 @@ def snapshots(bars: DataFrame) -> DataFrame:
     last = lambda n: w.rowsBetween(-(n - 1), 0)
     full = lambda c, n: F.when(F.count("close").over(last(n)) >= n, c)
     change = lambda n: (F.try_divide(F.col("close"), F.lag("close", n).over(w)) - 1) * 100
+    back = lambda c, *ns: [F.col(c), *(F.lag(c, n).over(w) for n in ns)]
+    total = lambda cs: reduce(add, cs)
+    # long frames are put together from shorter ones, so that a row costs the same whatever their length;
+    # a sum is NULL where its frame is not full of values
     rows = bars.withColumns(
         {
-            "prev_close": F.lag("close").over(w), "sma20": full(F.avg("close").over(last(20)), 20), "sma50": full(F.avg("close").over(last(50)), 50),
-            "sma150": full(F.avg("close").over(last(150)), 150), "sma200": full(F.avg("close").over(last(200)), 200), "high_52w": F.max("high").over(last(250)),
-            "perf_1m": change(21), "perf_3m": change(63), "perf_6m": change(126), "avg_volume_10d": full(F.avg("volume").over(last(10)), 10),
-            "atr": full(F.avg(F.col("high") - F.col("low")).over(last(14)), 14),
+            "prev_close": F.lag("close").over(w), "perf_1m": change(21), "perf_3m": change(63), "perf_6m": change(126), "avg_volume_10d": full(F.avg("volume").over(last(10)), 10),
+            "atr": full(F.avg(F.col("high") - F.col("low")).over(last(14)), 14), "_s10": full(F.sum("close").over(last(10)), 10), "_h10": F.max("high").over(last(10)),
             "gain": F.greatest(F.col("close") - F.lag("close").over(w), F.lit(0.0)), "loss": F.greatest(F.lag("close").over(w) - F.col("close"), F.lit(0.0)),
         }
-    )
+    ).withColumns({"_s50": total(back("_s10", 10, 20, 30, 40)), "_h50": F.greatest(*back("_h10", 10, 20, 30, 40)), "sma20": total(back("_s10", 10)) / 20})
+    rows = rows.withColumns({"_s150": total(back("_s50", 50, 100)), "high_52w": F.greatest(*back("_h50", 50, 100, 150, 200)), "sma50": F.col("_s50") / 50})
+    rows = rows.withColumns({"sma150": F.col("_s150") / 150, "sma200": (F.col("_s50") + F.lag("_s150", 50).over(w)) / 200})
     up, down = F.sum("gain").over(last(14)), F.sum("loss").over(last(14))
-    return rows.withColumns(
-        {
-            "sma200_prev": F.lag("sma200").over(w), "relative_volume": F.try_divide(F.col("volume").cast("double"), F.col("avg_volume_10d")),
-            "change_pct": (F.try_divide(F.col("close"), F.col("prev_close")) - 1) * 100, "gap_pct": (F.try_divide(F.col("open"), F.col("prev_close")) - 1) * 100,
-            "distance_52w_high": (F.try_divide(F.col("close"), F.col("high_52w")) - 1) * 100, "rsi14": full(F.try_divide(up * 100, up + down), 15),
-        }
-    ).drop("gain", "loss")
+    return rows.select(
+        *bars.columns, "prev_close", "sma20", "sma50", "sma150", "sma200", "high_52w", "perf_1m", "perf_3m", "perf_6m", "avg_volume_10d", "atr", F.lag("sma200").over(w).alias("sma200_prev"),
+        F.try_divide(F.col("volume").cast("double"), F.col("avg_volume_10d")).alias("relative_volume"), ((F.try_divide(F.col("close"), F.col("prev_close")) - 1) * 100).alias("change_pct"),
+        ((F.try_divide(F.col("open"), F.col("prev_close")) - 1) * 100).alias("gap_pct"), ((F.try_divide(F.col("close"), F.col("high_52w")) - 1) * 100).alias("distance_52w_high"),
+        full(F.try_divide(up * 100, up + down), 15).alias("rsi14"),
+    )
 
 
 def landed_bars(spark: SparkSession, path: str) -> DataFrame:
