@@ -20,16 +20,22 @@ TIERS = [
 HORIZONS = (1, 2, 3, 4, 5, 10, 20)
 
 
-def forward_paths(bars: DataFrame, signals: DataFrame, n: int = 20, span_days: int = 50) -> DataFrame:
-    """Each signal (ticker, date, ...) with its next bars as an array ``path``.
+def _paths(bars: DataFrame, signals: DataFrame, columns: list[str], first: int, last: int, days: int) -> DataFrame:
+    """``signals`` (ticker, date, ...) with the ``columns`` of their bars from ``first`` to ``last`` as an array ``path``.
 
-    A window over the series gathers at most n bars a row, so nothing is joined on a range.
+    Each ticker's wanted dates meet its series, of which only the bars that some path holds go on; windows over these
+    gather at most a path's bars, at the wanted dates alone. So no array is made or moved for other bars.
     """
-    ahead = over().rowsBetween(1, n)
-    path = F.filter(
-        F.collect_list(F.struct("date", "open", "high", "low", "close")).over(ahead), lambda b: b["date"] <= F.date_add(F.col("date"), span_days)
-    )
-    return signals.join(bars.select("ticker", "date", path.alias("path")), ["ticker", "date"])
+    wanted = signals.groupBy("ticker").agg(F.collect_set("date").alias("_dates"))
+    marked = bars.select("ticker", *columns).join(wanted, "ticker").withColumn("_signal", F.array_contains("_dates", F.col("date"))).drop("_dates")
+    near = marked.withColumn("_near", F.max("_signal").over(over().rowsBetween(-last, 0))).where("_near")
+    path = F.filter(F.collect_list(F.struct(*columns)).over(over().rowsBetween(first, last)), lambda b: b["date"] <= F.date_add(F.col("date"), days))
+    return signals.join(near.select("ticker", "date", "_signal", path.alias("path")).where("_signal").drop("_signal"), ["ticker", "date"])
+
+
+def forward_paths(bars: DataFrame, signals: DataFrame, n: int = 20, span_days: int = 50) -> DataFrame:
+    """Each signal (ticker, date, ...) with its next bars as an array ``path``, so that nothing is joined on a range."""
+    return _paths(bars, signals, ["date", "open", "high", "low", "close"], 1, n, span_days)
 
 
 def outcomes(paths: DataFrame) -> DataFrame:
@@ -90,9 +96,8 @@ def replay_exits(bars: DataFrame, trades: DataFrame, n: int = 20, include_signal
     The first bar that reaches stop (which wins ties) or second target ends it; the first
     target is noted up to then; else the last bar's close. A NULL target is never hit.
     """
-    span = over().rowsBetween(0 if include_signal_day else 1, n - (1 if include_signal_day else 0))
-    path = F.filter(F.collect_list(F.struct("date", "high", "low", "close")).over(span), lambda b: b["date"] <= F.date_add(F.col("date"), 2 * n))
-    rows = trades.join(bars.select("ticker", "date", path.alias("path")), ["ticker", "date"])
+    ahead = 0 if include_signal_day else 1
+    rows = _paths(bars, trades, ["date", "high", "low", "close"], ahead, n - 1 + ahead, 2 * n)
     first = lambda hit: F.array_min(F.transform("path", lambda b, i: F.when(F.coalesce(hit(b), F.lit(False)), i)))
     none = F.lit(1 << 20)
     rows = rows.withColumns(
