@@ -20,15 +20,26 @@ TIERS = [
 HORIZONS = (1, 2, 3, 4, 5, 10, 20)
 
 
+def _marked(bars: DataFrame, signals: DataFrame) -> DataFrame:
+    """``bars`` (ticker, date, ...) of the tickers of ``signals``, with ``_signal`` where one of them is of that date.
+
+    Each ticker's wanted dates meet its series, so that rows dealt by ticker are not dealt anew by date."""
+    wanted = signals.groupBy("ticker").agg(F.collect_set("date").alias("_dates"))
+    return bars.join(wanted, "ticker").withColumn("_signal", F.array_contains("_dates", F.col("date"))).drop("_dates")
+
+
+def with_bars(signals: DataFrame, bars: DataFrame) -> DataFrame:
+    """Inner join of ``signals`` with ``bars`` on ticker and date; only the wanted bars are exchanged."""
+    return signals.join(_marked(bars, signals).where("_signal").drop("_signal"), ["ticker", "date"])
+
+
 def _paths(bars: DataFrame, signals: DataFrame, columns: list[str], first: int, last: int, days: int) -> DataFrame:
     """``signals`` (ticker, date, ...) with the ``columns`` of their bars from ``first`` to ``last`` as an array ``path``.
 
-    Each ticker's wanted dates meet its series, of which only the bars that some path holds go on; windows over these
-    gather at most a path's bars, at the wanted dates alone. So no array is made or moved for other bars.
+    Only the bars that some path holds go on; windows over these gather at most a path's bars, and only the wanted
+    dates' arrays are moved.
     """
-    wanted = signals.groupBy("ticker").agg(F.collect_set("date").alias("_dates"))
-    marked = bars.select("ticker", *columns).join(wanted, "ticker").withColumn("_signal", F.array_contains("_dates", F.col("date"))).drop("_dates")
-    near = marked.withColumn("_near", F.max("_signal").over(over().rowsBetween(-last, 0))).where("_near")
+    near = _marked(bars.select("ticker", *columns), signals).withColumn("_near", F.max("_signal").over(over().rowsBetween(-last, 0))).where("_near")
     path = F.filter(F.collect_list(F.struct(*columns)).over(over().rowsBetween(first, last)), lambda b: b["date"] <= F.date_add(F.col("date"), days))
     return signals.join(near.select("ticker", "date", "_signal", path.alias("path")).where("_signal").drop("_signal"), ["ticker", "date"])
 
@@ -81,7 +92,9 @@ def adjusted(rows: DataFrame, actions: DataFrame, bars: DataFrame, looks: dict[s
     counts = [F.when(F.col(c).isNotNull(), F.col(f"_n{k}")).otherwise(0) for c, k in looks.items()]
     known = series[0].where("_day is not null and ticker is not null")
     joined = known.unionByName(series[1], allowMissingColumns=True).unionByName(series[2], allowMissingColumns=True).where("_day is not null and ticker is not null")
-    done = joined.withColumns(met).where("_signal").select(*(out.get(c, F.col(c)).alias(c) for c in rows.columns), F.greatest(*counts, F.lit(0)).cast("long").alias("corporate_action_count"))
+    # windows with many frames are worked out near signals alone
+    near = F.count("_signal").over(Window.partitionBy("ticker").orderBy("_day").rangeBetween(-2 * max(looks.values()), 0)) > 0
+    done = joined.withColumn("_near", near).where("_near").withColumns(met).where("_signal").select(*(out.get(c, F.col(c)).alias(c) for c in rows.columns), F.greatest(*counts, F.lit(0)).cast("long").alias("corporate_action_count"))
     return done.unionByName(rows.where("entry_date is null or ticker is null").withColumn("corporate_action_count", F.lit(0).cast("long")))
 
 

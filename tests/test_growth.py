@@ -64,3 +64,12 @@ def test_lines_are_dealt_by_ticker_once(spark):
     bars = src.candles(spark, "/root/testdata/sf0.001")
     s = src.snapshots(bars).select("ticker", "date", "sma200", "atr")
     assert _plan(s).count("Exchange") == 1
+
+
+def test_bars_are_joined_to_signals_without_an_exchange_by_date(spark):
+    bars = src.candles(spark, "/root/testdata/sf0.001")
+    signals = bars.where("date >= '1998-01-01'").groupBy("ticker").agg(F.min("date").alias("date"))
+    got = outcomes.with_bars(signals, bars.select("ticker", "date", "close"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in bars.join(signals, ["ticker", "date"]).select("ticker", "date", "close").collect()}
+    plan = _plan(got)
+    assert "array_contains" in plan[plan.index("hashpartitioning(ticker") :]
