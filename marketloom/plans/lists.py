@@ -114,7 +114,7 @@ def l5_exit_replay(spark: SparkSession, d: str) -> DataFrame:
 
 def exits(bars: DataFrame) -> DataFrame:
     c = F.col("entry")
-    trades = rank_lists(bars).join(bars.select("ticker", "date", F.col("close").alias("entry")), ["ticker", "date"]).withColumns({"stop": c * 0.9, "t1": c * 1.15, "t2": c * 1.4})
+    trades = outcomes.with_bars(rank_lists(bars), bars.select("ticker", "date", F.col("close").alias("entry"))).withColumns({"stop": c * 0.9, "t1": c * 1.15, "t2": c * 1.4})
     return outcomes.replay_exits(bars, trades)
 
 
@@ -126,7 +126,8 @@ SELECT list_type, ticker, date, tier, round(return_5d - CASE tier WHEN 'leaders'
 def l13_net_returns(spark: SparkSession, d: str) -> DataFrame:
     bars = src.candles(spark, d)
     snaps = src.snapshots(bars).select("ticker", "date", F.col("close").alias("price"), (F.col("avg_volume_10d") * F.col("close")).alias("adv"))
-    rows = scored_lists(spark, d).join(exits(bars).select("list_type", "ticker", "date", "exit_type"), ["list_type", "ticker", "date"]).join(snaps, ["ticker", "date"])
+    rows = scored_lists(spark, d).join(exits(bars).select("list_type", "ticker", "date", "exit_type"), ["list_type", "ticker", "date"])
+    rows = rows.join(outcomes.with_bars(rank_lists(bars).select("ticker", "date").distinct(), snaps), ["ticker", "date"])
     rows = rows.withColumn("tier", outcomes.slippage_tier(F.col("price"), F.coalesce("adv", F.lit(0.0))))
     size = outcomes.capped_size(F.lit(5.0), F.col("adv"), F.lit(100_000.0))
     return rows.select("list_type", "ticker", "date", "tier", F.round(outcomes.net_return(F.col("return_5d"), F.col("tier"), F.col("exit_type")), 6).alias("net_return_5d"), F.round(size, 6).alias("size_pct"))
@@ -180,7 +181,7 @@ SELECT ticker, list_type, date, CASE WHEN stop >= lo THEN 'stop_too_high' WHEN t
 def b17_level_validation(spark: SparkSession, d: str) -> DataFrame:
     bars = src.candles(spark, d)
     c, rank = F.col("close"), F.col("rank")
-    rows = rank_lists(bars).join(bars.select("ticker", "date", "close"), ["ticker", "date"])
+    rows = outcomes.with_bars(rank_lists(bars), bars.select("ticker", "date", "close"))
     setup = F.when(F.col("list_type") == "ep", " ep_tier1 ").otherwise(F.upper("list_type"))
     error = outcomes.level_error(F.round(c * 0.98, 6), c, F.round(c * (F.lit(0.8) + rank * 0.06), 6), F.when(rank < 3, F.round(c * 1.5, 6)), F.round(c * 1.4, 6), setup)
     return rows.select("ticker", "list_type", "date", error.alias("error"))
@@ -257,7 +258,7 @@ def i5_g6_walk_forward(spark: SparkSession, d: str) -> DataFrame:
 def i2_i8_logistic_weights(spark: SparkSession, d: str) -> DataFrame:
     rows = scored_lists(spark, d).where("return_5d is not null").select(
         F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("score"))).alias("s"), (F.lit(4) - F.col("rank")).cast("double").alias("place"), (F.col("return_5d") > 0).cast("double").alias("y")
-    )
+    ).cache()
     weights = learning.bounded_weights(rows, ["s", "place"], "y")
     names = spark.createDataFrame(list(zip(["s", "place"], weights, strict=True)), "feature string, weight double")
     return names.join(rows.agg(F.count(F.lit(1)).alias("samples")))
