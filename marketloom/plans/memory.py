@@ -48,7 +48,7 @@ m AS (
 def _memories(spark: SparkSession, d: str) -> DataFrame:
     """Every listed pick stored, then looked up on the last day of the bars."""
     bars, cents = src.candles(spark, d), lambda price, n=100: F.floor(price * n) / 100
-    picks = rank_lists(bars).join(bars.select("ticker", "date", "close"), ["ticker", "date"])
+    picks = outcomes.with_bars(rank_lists(bars), bars.select("ticker", "date", "close"))
     picks = picks.select(*memory.KEYS, F.lit("v1").alias("prompt_version"), F.col("list_type").alias("setup"), F.lit("").alias("conviction"), *(cents(F.col("close"), n).alias(c) for c, n in (("entry_low", 100), ("entry_high", 102), ("stop", 90))))
     x = exits(bars).select(*memory.KEYS, (F.col("exit_type") == "stop").alias("stop_hit"), F.col("t1_hit").alias("target1_hit"), cents(F.col("stop")).alias("recommended_stop"))
     known = scored_lists(spark, d).select(*memory.KEYS, "evaluated_days", "return_5d").join(x, memory.KEYS, "left")
