@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp01
-from ..operators import boosting, learning
+from ..operators import boosting, learning, outcomes
 from ..sources import market as src
-from .lists import scored_lists
+from .lists import rank_lists, scored_lists
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -19,12 +19,14 @@ OUT = "engine string, status string, samples long, train_auc double, test_auc do
 
 def _picks(spark: SparkSession, d: str) -> DataFrame:
     """Every pick with its features at the signal and whether its first week won."""
-    s = src.snapshots(src.candles(spark, d))
+    bars = src.candles(spark, d)
+    s = src.snapshots(bars)
     points = {
         "breakout": clamp01((F.col("distance_52w_high") + 30) / 30), "volume": clamp01((F.col("relative_volume") - 0.5) / 4.5),
         "strength": clamp01((F.col("perf_3m") + 20) / 120), "trend": clamp01(F.col("rsi14") / 100),
     }
-    rows = scored_lists(spark, d).where("return_5d is not null").join(s.select("ticker", "date", *(c.alias(n) for n, c in points.items())), ["ticker", "date"])
+    met = outcomes.with_bars(rank_lists(bars).select("ticker", "date").distinct(), s.select("ticker", "date", *(c.alias(n) for n, c in points.items())))
+    rows = scored_lists(spark, d).where("return_5d is not null").join(met, ["ticker", "date"])
     return rows.select("list_type", "date", "ticker", *FEATURES, (F.col("return_5d") > 0).cast("double").alias("won")).dropna()
 
 
