@@ -123,7 +123,8 @@ def staged_merge(new: DataFrame, folder: str, keys: Sequence[str], by: str, batc
         merged = upsert(_live(staged, table, by, schema), staged, keys, arrival)
         merged.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(f"{at}/merged")
         _mark(spark, f"{at}/ready")
-    write_partitions(spark.read.schema(schema).parquet(f"{at}/merged").hint("rebalance", by), table, by)
+    # dealt well already
+    write_partitions(spark.read.schema(schema).parquet(f"{at}/merged"), table, by)
     _mark(spark, f"{at}/applied")
     return True
 

@@ -8,7 +8,9 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from marketloom.plans import stored
 from marketloom.sources import landed, sinks
+from marketloom.sources import market as src
 
 D = dt.date
 
@@ -137,3 +139,39 @@ def test_rows_that_cannot_be_merged(spark, tmp_path):
 def test_numbers_that_are_not_finite(spark):
     df = spark.createDataFrame([(float("nan"), float("inf"), 1), (1.0, float("-inf"), 2), (None, 2.0, 3)], "a double, b double, n int")
     assert [tuple(r) for r in sinks.finite(df, zero=["a"]).orderBy("n").collect()] == [(0.0, None, 1), (1.0, None, 2), (None, 2.0, 3)]
+
+
+def test_files_of_many_tickers(spark, tmp_path, monkeypatch):
+    at = tmp_path / "landed=2024-01-06"
+    at.mkdir()
+    lines = [
+        json.dumps({"ticker": "A", "results": [{"t": ms(D(2024, 1, k)), "o": 1, "h": 3, "l": 0.5, "c": k, "v": 10} for k in (2, 3)]}),
+        json.dumps({"symbol": "B/C", "status": "ok", "values": [{"datetime": "2024-01-05", "open": "1", "high": "2", "low": "1", "close": "2.5", "volume": "7"}]}),
+        json.dumps({"ticker": "D", "results": None}),
+    ]
+    (at / "r.json").write_text("\n".join(lines))
+    alone = tmp_path / "ticker=E" / "landed=2024-01-06"
+    alone.mkdir(parents=True)
+    (alone / "r.json").write_text(lines[0])  # a folder's ticker counts
+    read = lambda where="true", **o: sorted((r["ticker"], r["date"].day, r["close"]) for r in landed.bars(spark, str(tmp_path), **o).where(where).collect())
+    a, b, e = [("A", 2, 2.0), ("A", 3, 3.0)], [("B/C", 5, 2.5)], [("E", 2, 2.0), ("E", 3, 3.0)]
+    assert read() == a + b + e
+    assert read("ticker = 'A'") == a and read("ticker in ('B/C', 'E')") == b + e and read("ticker = 'Z'") == []
+    assert read("landed = date'2024-01-07'") == [] and read("date >= '2024-01-07'") == []
+    # a long file is not held whole
+    monkeypatch.setattr(landed, "BATCH_BARS", 2)
+    r = landed.LandedReader({"path": str(tmp_path)})
+    assert [x.num_rows for s in r.partitions() for x in r.read(s)] == [2, 1, 2]
+    for bad in ('{"results": [', '{"results": []}', "[1]"):
+        (at / "r.json").write_text("\n".join([lines[0], bad, lines[1]]))
+        with pytest.raises(Exception, match="line 2"):
+            read()
+        assert read(bad_files="skip") == a + b + e
+
+
+def test_landed_files_do_not_grow_with_tickers(spark):
+    rows = [(f"T{t}", D(2024, 1, 1 + k), 1.0, 2.0, 0.5, 1.5, 10) for t in range(300) for k in range(2)]
+    folder = stored.landed_folder(spark, spark.createDataFrame(rows, src.CANDLE).repartition("ticker"))
+    names = [f for _, _, files in os.walk(folder.removeprefix("file://")) for f in files if f.endswith(".json")]
+    assert 0 < len(names) <= 4
+    assert landed.bars(spark, folder).select("ticker", "date").distinct().count() == 600
