@@ -73,3 +73,11 @@ def test_bars_are_joined_to_signals_without_an_exchange_by_date(spark):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in bars.join(signals, ["ticker", "date"]).select("ticker", "date", "close").collect()}
     plan = _plan(got)
     assert "array_contains" in plan[plan.index("hashpartitioning(ticker") :]
+
+
+def test_more_lines_make_more_partitions(spark, monkeypatch):
+    lines = src.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    monkeypatch.setattr(src, "PART_LINES", 500)
+    bars = src.candles(spark, "/root/testdata/sf0.001")
+    # more than the session's shuffle partitions
+    assert bars.rdd.getNumPartitions() == -(-lines // 500) > int(spark.conf.get("spark.sql.shuffle.partitions"))
