@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -104,3 +105,17 @@ def test_the_query_and_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     names = "anchor_id, positive_id, rank, negative_id, positive_score, negative_score"
     assert sorted(con.execute(f"SELECT {names} FROM ({queries.OP12_SQL})").fetchall()) == got
+
+
+def test_blocks_and_trees_are_merged_and_not_broadcast(spark, monkeypatch):
+    frame = framed(spark, points(3, 300, 4, 30))
+    plans, plain = [], type(frame).mapInPandas
+
+    def told(self, *a, **more):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return plain(self, *a, **more)
+
+    monkeypatch.setattr(type(frame), "mapInPandas", told)
+    covertree.mine(frame, F.col("vec_id") % 30 == 0, block=20)
+    # the last join of each search; Spark takes exploded blocks for small
+    assert [re.search(r"\w+Join", p).group() for p in plans] == ["SortMergeJoin"] * 2
