@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, k: int = 4, most: int = 64
     while rows is not None:
         dealt = _tables(rows, radius, family)
         shared = dealt.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*bucket)
-        dealt = written(dealt.join(shared, bucket), "buckets")
+        # merged: Spark takes rows after an explode for as few as before it, and would broadcast them all
+        dealt = written(dealt.join(shared.hint("merge"), bucket), "buckets")
         if not dealt.limit(1).count():
             break
         for seed in range(rounds):

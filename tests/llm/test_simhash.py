@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 import xxhash
@@ -120,3 +121,17 @@ def test_the_query_over_a_table(spark, tmp_path):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_buckets_are_merged_and_not_broadcast(spark, monkeypatch):
+    plans, plain = [], simhash.written
+
+    def told(df, name):
+        if name == "buckets":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(simhash, "written", told)
+    simhash.near_duplicates(docs(spark, [(i, f"some words that stand in text {i % 7}") for i in range(20)])).count()
+    # 31 rows of each fingerprint; Spark takes them for one
+    assert plans and all(re.search(r"\w+Join", p).group() == "SortMergeJoin" for p in plans)
