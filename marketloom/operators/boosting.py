@@ -94,14 +94,13 @@ def train(
     """
     if folds < 2:
         raise ValueError("at least two folds are needed")
+    kept = list(dict.fromkeys([*order, *features, label, *([group] if group else [])]))
+    rows = rows.select(*kept).persist(StorageLevel.MEMORY_AND_DISK)  # before anything is counted: what they come from is worked out once
     problems = input_problems(rows, features, label, least).first()
-    if not problems["usable"]:
-        raise ValueError(f"rows cannot be trained on: {problems.asDict()}")
     n = problems["n"]
-    if n < folds + 1:
-        raise ValueError("fewer rows than folds")
-    kept = list(dict.fromkeys([*order, *features, label, *([group] if group else [])]))
-    rows = rows.select(*kept).persist(StorageLevel.MEMORY_AND_DISK)
+    if not problems["usable"] or n < folds + 1:
+        rows.unpersist()
+        raise ValueError("fewer rows than folds" if problems["usable"] else f"rows cannot be trained on: {problems.asDict()}")
     positives = rows.agg(F.count_if(F.col(label) == 1)).first()[0]
     done = Training("no_usable_folds", n, (n - positives) / positives if positives else 1.0)
     dealt = walk_forward(rows, order, folds, embargo, group).persist(StorageLevel.MEMORY_AND_DISK)

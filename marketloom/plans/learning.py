@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp01
 from ..operators import boosting, learning, outcomes
 from ..sources import market as src
-from .lists import rank_lists, scored_lists
+from ..streaming import events as ev
+from .lists import rank_lists
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -17,17 +20,29 @@ FEATURES = ["breakout", "volume", "strength", "trend"]
 OUT = "engine string, status string, samples long, train_auc double, test_auc double, holdout_auc double, feature string, weight double, suggested double, change double, action string"
 
 
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read again; folds join them with themselves, which a cache does not always serve."""
+    spark = rows.sparkSession
+    path = f"{ev.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def _picks(spark: SparkSession, d: str) -> DataFrame:
-    """Every pick with its features at the signal and whether its first week won."""
-    bars = src.candles(spark, d)
+    """Every pick with its features at the signal and whether its first week won.
+
+    All bars are made once, for the lists, nine picks a date at most. Features and results come from the picked tickers' lines
+    alone, as no window reaches beyond a ticker; these names are as few as the picks, and so are broadcast."""
+    lists = _kept(rank_lists(src.candles(spark, d)), "lists")
+    bars = src.candles(spark, d, F.broadcast(lists.select("ticker").distinct()))
     s = src.snapshots(bars)
     points = {
         "breakout": clamp01((F.col("distance_52w_high") + 30) / 30), "volume": clamp01((F.col("relative_volume") - 0.5) / 4.5),
         "strength": clamp01((F.col("perf_3m") + 20) / 120), "trend": clamp01(F.col("rsi14") / 100),
     }
-    met = outcomes.with_bars(rank_lists(bars).select("ticker", "date").distinct(), s.select("ticker", "date", *(c.alias(n) for n, c in points.items())))
-    rows = scored_lists(spark, d).where("return_5d is not null").join(met, ["ticker", "date"])
-    return rows.select("list_type", "date", "ticker", *FEATURES, (F.col("return_5d") > 0).cast("double").alias("won")).dropna()
+    met = outcomes.with_bars(lists.select("ticker", "date").distinct(), s.select("ticker", "date", *(c.alias(n) for n, c in points.items())))
+    rows = outcomes.outcomes(outcomes.forward_paths(bars, lists)).where("return_5d is not null").join(met, ["ticker", "date"])
+    return _kept(rows.select("list_type", "date", "ticker", *FEATURES, (F.col("return_5d") > 0).cast("double").alias("won")).dropna(), "picks")
 
 
 def i6_i7_boosted_trees(spark: SparkSession, d: str) -> DataFrame:

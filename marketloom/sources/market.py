@@ -37,8 +37,8 @@ def _ohlcv(rows: DataFrame, *keys: str) -> DataFrame:
 PART_LINES = 2_000_000
 
 
-def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of every supplier's unit prices: ticker, date, open, high, low, close, volume.
+def candles(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Daily bars of every supplier's unit prices: ticker, date, open, high, low, close, volume; with ``only`` (ticker) of these alone.
 
     Few lines share a ticker and day, so that sums before an exchange would save nothing: lines are dealt by ticker once, and
     bars and all windows over a ticker's series go on from there, sorted once. More lines make more partitions, not larger ones.
@@ -46,6 +46,8 @@ def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     parts = -(-lines.count() // PART_LINES)  # from the files' footers
     lines = lines.select(F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("ticker"), "l_shipdate", *LINE_KEY)
+    if only is not None:
+        lines = lines.join(only, "ticker", "left_semi")
     few = parts <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     return _ohlcv(lines.repartition("ticker") if few else lines.repartition(parts, "ticker"), "ticker")
 

@@ -6,8 +6,12 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from marketloom.operators import boosting, evaluation
+from marketloom.functions.columns import clamp01
+from marketloom.operators import boosting, evaluation, outcomes
+from marketloom.plans import learning, lists
+from marketloom.sources import market as src
 
 FEATURES = [f"f{k}" for k in range(6)]
 TREES = boosting.Trees(rounds=12, rate=0.3)
@@ -92,3 +96,30 @@ def test_area_against_pairs(spark):
         want = ((up > down) + 0.5 * (up == down)).mean()
         got = evaluation.auc(spark.createDataFrame(list(zip(y.tolist(), s.tolist(), strict=True)), "y int, s double").repartition(5), "y", "s").first()
         assert got.auc == pytest.approx(want, abs=1e-12) and (got.n_pos, got.n_neg) == (y.sum(), n - y.sum())
+
+
+def test_rows_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    rng = np.random.default_rng(7)
+    rows = table(spark, rng.normal(size=(300, 6)), rng.uniform(size=300) < 0.5, [0] * 300).withColumn("f0", F.udf(told, "double")("f0"))
+    train(rows, trees=boosting.Trees(rounds=1), least_auc=0.99)
+    assert seen.value == 300
+
+
+def test_picks_are_read_from_a_table_and_come_from_their_tickers_lines(spark):
+    d = "/root/testdata/sf0.001"
+    got = learning._picks(spark, d)
+    assert "lineitem" not in got._jdf.queryExecution().executedPlan().toString()
+    bars = src.candles(spark, d)
+    few = spark.createDataFrame([("T1",), ("T3",)], "ticker string")
+    assert sorted(src.candles(spark, d, few).collect()) == sorted(bars.where("ticker in ('T1', 'T3')").collect())
+    names = ["list_type", "date", "ticker", "won", "volume", "trend"]
+    points = src.snapshots(bars).select("ticker", "date", clamp01((F.col("relative_volume") - 0.5) / 4.5).alias("volume"), clamp01(F.col("rsi14") / 100).alias("trend"))
+    scored = outcomes.outcomes(outcomes.forward_paths(bars, lists.rank_lists(bars))).where("return_5d is not null")
+    want = scored.withColumn("won", (F.col("return_5d") > 0).cast("double")).join(points, ["ticker", "date"]).select(*names)
+    assert sorted(got.select(*names).collect()) == sorted(want.collect()) and got.count() > 50
